@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import aggregates, catalog, joins, pipeline, projections, scalars, sources, windows  # noqa: F401
+
+QUERIES: dict = {**catalog.QUERIES, **pipeline.QUERIES}
+SQL: dict[str, str] = {**catalog.SQL, **pipeline.SQL}

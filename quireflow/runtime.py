@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,9 +55,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage; survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a compressed table in the shared checkpoint folder and read it back: lineage ends there, the
+    table survives the loss of executors, and later reads prune its columns. Removed when the application ends."""
+    spark = df.sparkSession
+    base = checkpoint_dir(spark)
+    path = f"{base}/quireflow-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if spark.sparkContext.applicationId not in _CLEANED:
+        _CLEANED.add(spark.sparkContext.applicationId)
+        atexit.register(_remove, spark, f"{base}/quireflow-{spark.sparkContext.applicationId}")
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_CLEANED: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Best effort: a context that is already gone leaves its folder to the cluster's own cleaning."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001
+        pass
 
 
 _SHIPPED: set[str] = set()

@@ -1,2 +1,352 @@
+"""Queries built from the DataFrame operators, each with an oracle where SQL can state it."""
+
+from __future__ import annotations
+
+import unicodedata
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import prosody
+from ..functions.native import stable_id
+from ..operators import furniture, matching, paragraphs, quality, sessions
+from ..operators.arrow import map_rows
+from ..runtime import checkpoint_dir, table
+from ..sources import files
+from ..streaming import windows as streams
+from . import catalog
+from .windows import EDGE
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            SQL[name] = catalog.render(sql, 1)
+        return fn
+
+    return add
+
+
+def view(spark, sf_dir: str, name: str) -> DataFrame:
+    return catalog.run_sql(spark, sf_dir, catalog.render(f"SELECT * FROM {name}", 0))
+
+
+FURNITURE = f"""WITH edge AS (SELECT document_id, page_index, block_id, max(CASE WHEN edge = 'top' THEN 1 ELSE 0 END) = 1 AS top FROM ({EDGE.replace('FROM lines WHERE h IS NOT NULL', 'FROM lines WHERE h IS NOT NULL AND text IS NOT NULL').replace('WHERE l.h IS NOT NULL', 'WHERE l.h IS NOT NULL AND l.text IS NOT NULL')}) z GROUP BY document_id, page_index, block_id),
+span AS (SELECT document_id, page_index, max(x + w) - min(x) AS span FROM lines WHERE h IS NOT NULL AND text IS NOT NULL GROUP BY document_id, page_index),
+e AS (SELECT d.document_id, d.page_index, d.block_id, d.top, trim(regexp_replace(l.text, $R'\\s+', ' '$G)) AS literal, regexp_replace(trim(regexp_replace(l.text, $R'\\s+', ' '$G)), '[0-9]+', '#'$G) AS template, l.w * 100 <= 75 * s.span AS narrow FROM edge d JOIN lines l ON l.document_id = d.document_id AND l.page_index = d.page_index AND l.block_id = d.block_id AND l.text IS NOT NULL JOIN span s ON s.document_id = d.document_id AND s.page_index = d.page_index WHERE trim(l.text) <> ''),
+el AS (SELECT document_id, count(DISTINCT page_index) AS n, count(DISTINCT CASE WHEN page_index % 2 = 0 THEN page_index END) AS n0, count(DISTINCT CASE WHEN page_index % 2 = 1 THEN page_index END) AS n1 FROM e GROUP BY document_id),
+t AS (SELECT e.document_id, template, count(DISTINCT page_index) AS s, count(DISTINCT CASE WHEN page_index % 2 = 0 THEN page_index END) AS s0, count(DISTINCT CASE WHEN page_index % 2 = 1 THEN page_index END) AS s1, count(CASE WHEN top THEN 1 END) AS heads, count(CASE WHEN NOT top THEN 1 END) AS foots, count(CASE WHEN narrow THEN 1 END) AS nar, count(CASE WHEN NOT narrow THEN 1 END) AS wid, max(el.n) AS n, max(el.n0) AS n0, max(el.n1) AS n1 FROM e JOIN el ON e.document_id = el.document_id GROUP BY e.document_id, template),
+x AS (SELECT e.document_id, template, literal, count(DISTINCT page_index) AS s, count(DISTINCT CASE WHEN page_index % 2 = 0 THEN page_index END) AS s0, count(DISTINCT CASE WHEN page_index % 2 = 1 THEN page_index END) AS s1, max(el.n) AS n, max(el.n0) AS n0, max(el.n1) AS n1 FROM e JOIN el ON e.document_id = el.document_id GROUP BY e.document_id, template, literal),
+qt AS (SELECT *, (template LIKE '%#%' AND s >= 3 AND (5 * s >= 3 * n OR (s0 >= 3 AND 5 * s0 >= 3 * n0) OR (s1 >= 3 AND 5 * s1 >= 3 * n1)) AND length(template) <= 120 AND nar >= wid) OR (template NOT LIKE '%#%' AND ((s >= 2 AND s = n) OR (s >= 3 AND (5 * s >= 3 * n OR (s0 >= 3 AND 5 * s0 >= 3 * n0) OR (s1 >= 3 AND 5 * s1 >= 3 * n1))))) AS q, CASE WHEN foots >= heads THEN 'remove_repeated_footer' ELSE 'remove_repeated_header' END AS rule FROM t),
+qx AS (SELECT document_id, template, literal FROM x WHERE s >= 3 AND (5 * s >= 3 * n OR (s0 >= 3 AND 5 * s0 >= 3 * n0) OR (s1 >= 3 AND 5 * s1 >= 3 * n1)))
+SELECT DISTINCT e.document_id, e.page_index, e.block_id, qt.rule FROM e JOIN qt ON e.document_id = qt.document_id AND e.template = qt.template LEFT JOIN qx ON e.document_id = qx.document_id AND e.template = qx.template AND e.literal = qx.literal WHERE qt.q OR qx.literal IS NOT NULL"""
+
+
+@query("join_furniture_semi", FURNITURE)
+def join_furniture_semi(spark, d):
+    return furniture.removed(view(spark, d, "lines"))
+
+
+@query("join_furniture_anti", f"SELECT document_id, page_index, block_id FROM lines EXCEPT SELECT document_id, page_index, block_id FROM ({FURNITURE}) f".replace("FROM (WITH", "FROM (WITH"))
+def join_furniture_anti(spark, d):
+    return furniture.kept(view(spark, d, "lines")).select("document_id", "page_index", "block_id").distinct()
+
+
+@query("agg_furniture_qualify")
+def agg_furniture_qualify(spark, d):
+    return furniture.qualified(furniture.edge_lines(view(spark, d, "lines")))
+
+
+def _quality_pages(spark, d):
+    docs = table(spark, d, "documents").where("text IS NOT NULL").selectExpr("doc_id", "text", "lang AS language")
+    return quality.degradation(quality.counters(docs))
+
+
+@query("prd_text_degradation")
+def prd_text_degradation(spark, d):
+    return _quality_pages(spark, d).select("doc_id", "letters", "words", "degradation")
+
+
+@query("prd_route")
+def prd_route(spark, d):
+    pages = _quality_pages(spark, d).withColumn("raster", F.col("doc_id") % 7 == 0).withColumn("trusted", F.col("words") > 0)
+    return quality.route(pages).select("doc_id", "route", "reason_code")
+
+
+@query("win_paragraph_break")
+def win_paragraph_break(spark, d):
+    return paragraphs.breaks(view(spark, d, "lines"))
+
+
+@query("agg_paragraph_text")
+def agg_paragraph_text(spark, d):
+    return paragraphs.paragraph_groups(view(spark, d, "lines"))
+
+
+@query("win_footnote_rule", "SELECT l.block_id, $LIKE(l.text, $R'^[0-9]{1,3}[.)]\\s') AND l.confidence >= 0.6 AND l.y <= p.min_y + 0.25 * (p.max_top - p.min_y) AS footnote FROM lines l JOIN page_lines p ON l.document_id = p.document_id AND l.page_index = p.page_index WHERE l.text IS NOT NULL")
+def win_footnote_rule(spark, d):
+    lines = view(spark, d, "lines").where("text IS NOT NULL")
+    page = view(spark, d, "lines").groupBy("document_id", "page_index").agg(F.min("y").alias("lo"), F.max(F.col("y") + F.col("h")).alias("hi"))
+    return lines.join(page, ["document_id", "page_index"]).select("block_id", (F.col("text").rlike("^[0-9]{1,3}[.)]\\s") & (F.col("confidence") >= 0.6) & (F.col("y") <= F.col("lo") + 0.25 * (F.col("hi") - F.col("lo")))).alias("footnote"))
+
+
+@query("win_heading_continuation")
+def win_heading_continuation(spark, d):
+    """Headings with the lower-case lines that go on with them, up to thirty words: a fold over the page."""
+    lines = view(spark, d, "lines").where("text IS NOT NULL").withColumn("words", F.size(F.split("text", "\\s+")))
+    page = lines.groupBy("document_id", "page_index").agg(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("o"), "x", "block_id", "text", "words"))).alias("ls"))
+    fold = F.aggregate(
+        F.slice("ls", 2, 1 << 20),
+        F.struct(F.col("ls")[0]["block_id"].alias("head"), F.col("ls")[0]["words"].alias("words"), F.lit(False).alias("closed")),
+        lambda a, x: F.when(~a["closed"] & x["text"].rlike("^[\\p{Ll}]") & (a["words"] + x["words"] <= 30), F.struct(a["head"].alias("head"), (a["words"] + x["words"]).alias("words"), F.lit(False).alias("closed"))).otherwise(F.struct(a["head"].alias("head"), a["words"].alias("words"), F.lit(True).alias("closed"))),
+    )
+    return page.select("document_id", "page_index", fold.alias("f")).select("document_id", "page_index", F.col("f.head").alias("head"), F.col("f.words").alias("words"))
+
+
+@query("fn_nfc", "SELECT block_id, nfc_normalize(text) AS nfc FROM truth WHERE text IS NOT NULL")
+def fn_nfc(spark, d):
+    return map_rows(view(spark, d, "truth").where("text IS NOT NULL"), ["block_id", "text"], "block_id string, nfc string", lambda ids, ts: ((i, unicodedata.normalize("NFC", t)) for i, t in zip(ids, ts)))
+
+
+def _le(v: str) -> str:
+    h = f"printf('%016x', strlen({v}))"
+    return "unhex(" + " || ".join(f"substr({h}, {15 - 2 * i}, 2)" for i in range(8)) + ")"
+
+
+def _id_sql(prefix: str, parts: list[str]) -> str:
+    return f"'{prefix}_' || sha256(" + " || ".join(f"{_le(p)} || encode({p})" for p in parts) + ")"
+
+
+@query("fn_stable_id", f"SELECT block_id, {_id_sql('unit', ['document_id', 'cast(page_index AS varchar)', 'block_id', chr(39) + 'paragraph' + chr(39), chr(39) + '0' + chr(39)])} AS unit_id FROM truth")
+def fn_stable_id(spark, d):
+    return view(spark, d, "truth").select("block_id", stable_id("unit", F.col("document_id"), F.col("page_index").cast("string"), F.col("block_id"), F.lit("paragraph"), F.lit("0")).alias("unit_id"))
+
+
+@query("fn_page_id", f"SELECT request_id, {_id_sql('page', ['document_id', chr(39) + 'page' + chr(39), 'cast(page_index AS varchar)'])} AS page_id FROM candidates")
+def fn_page_id(spark, d):
+    return view(spark, d, "candidates").select("request_id", stable_id("page", F.col("document_id"), F.lit("page"), F.col("page_index").cast("string")).alias("page_id"))
+
+
+def _units(spark, d):
+    return view(spark, d, "units").where("text IS NOT NULL")
+
+
+@query("fn_is_prosodic")
+def fn_is_prosodic(spark, d):
+    return map_rows(_units(spark, d), ["unit_id", "text"], "unit_id string, pauses int", lambda ids, ts: ((i, sum(prosody.is_pause(t, k) for k in range(len(t)))) for i, t in zip(ids, ts)))
+
+
+@query("fn_split_sentences")
+def fn_split_sentences(spark, d):
+    return map_rows(_units(spark, d), ["unit_id", "text"], "unit_id string, sentence_no int, sentence string", lambda ids, ts: ((i, n, s) for i, t in zip(ids, ts) for n, s in enumerate(prosody.sentences(t))))
+
+
+@query("fn_split_parts")
+def fn_split_parts(spark, d):
+    return map_rows(_units(spark, d), ["unit_id", "text"], "unit_id string, part_no int, kind string, value string", lambda ids, ts: ((i, n, k, v) for i, t in zip(ids, ts) for n, (k, v) in enumerate(prosody.parts(prosody.normalize(t, "es")))))
+
+
+@query("fn_chunk_text")
+def fn_chunk_text(spark, d):
+    return map_rows(_units(spark, d), ["unit_id", "text"], "unit_id string, chunk_no int, chunk string", lambda ids, ts: ((i, n, c) for i, t in zip(ids, ts) for n, c in enumerate(prosody.chunks(t, 400))))
+
+
+@query("fn_chunk_legacy")
+def fn_chunk_legacy(spark, d):
+    return map_rows(_units(spark, d), ["unit_id", "text"], "unit_id string, chunk_no int, chunk string", lambda ids, ts: ((i, n, c) for i, t in zip(ids, ts) for n, c in enumerate(prosody.balanced_chunks(t))))
+
+
+@query("prj_segments_build")
+def prj_segments_build(spark, d):
+    """Chunks as segments with a running sample offset within the unit."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("unit_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
+    return fn_chunk_text(spark, d).select("unit_id", F.col("chunk_no").alias("segment_index"), (F.char_length("chunk") * 1200).alias("sample_count"), F.coalesce(F.sum(F.char_length("chunk") * 1200).over(w), F.lit(0)).alias("unit_sample_offset"))
+
+
+def _line_pairs(spark, d):
+    scans = table(spark, d, "blocks").where("degradation = 'scanned' AND text IS NOT NULL").select("document_id", "page_index", "block_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).dropDuplicates(["block_id", "line_no"])
+    ocr = view(spark, d, "lines").where("block_id LIKE '%-ocr-%' AND text IS NOT NULL").withColumn("line_no", F.regexp_extract("block_id", "([0-9]+)$", 1).cast("int"))
+    return scans.alias("s").join(ocr.alias("o"), (F.col("s.document_id") == F.col("o.document_id")) & (F.col("s.page_index") == F.col("o.page_index")) & (F.col("s.line_no") == F.col("o.line_no"))).select(F.col("s.block_id").alias("block_id"), F.col("s.line_no").alias("line_no"), F.col("o.block_id").alias("ocr_id"), F.col("s.text").alias("text"), F.col("o.text").alias("reading"))
+
+
+@query("fn_lcs_pairs")
+def fn_lcs_pairs(spark, d):
+    return map_rows(_line_pairs(spark, d), ["block_id", "line_no", "ocr_id", "text", "reading"], "block_id string, line_no int, ocr_id string, common int", lambda b, n, o, ts, rs: ((x, y, z, len(prosody.lcs_pairs(t, r))) for x, y, z, t, r in zip(b, n, o, ts, rs)))
+
+
+@query("fn_repair_runs")
+def fn_repair_runs(spark, d):
+    return map_rows(_line_pairs(spark, d), ["block_id", "line_no", "ocr_id", "text", "reading"], "block_id string, line_no int, ocr_id string, repaired string", lambda b, n, o, ts, rs: ((x, y, z, prosody.repair_runs(t, r)) for x, y, z, t, r in zip(b, n, o, ts, rs)))
+
+
+@query("fn_repair_page")
+def fn_repair_page(spark, d):
+    return fn_repair_runs(spark, d).groupBy("block_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_set(F.struct("line_no", "repaired"))), lambda x: x["repaired"])).alias("text"))
+
+
+@query("agg_block_order_lcs")
+def agg_block_order_lcs(spark, d):
+    t = table(spark, d, "blocks").where("degradation IS NULL AND text IS NOT NULL").dropDuplicates(["block_id"]).groupBy("document_id", "page_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_order", "text"))), lambda x: x["text"]).alias("expected"))
+    p = view(spark, d, "lines").where("text IS NOT NULL AND block_id LIKE '%-direct-%'").groupBy("document_id", "page_index").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.regexp_extract("block_id", "([0-9]+)$", 1).cast("int").alias("k"), "text"))), lambda x: x["text"]).alias("got"))
+    return map_rows(t.join(p, ["document_id", "page_index"]), ["document_id", "page_index", "expected", "got"], "document_id string, page_index int, ratio double, passed boolean", lambda ds, ps, es, gs: ((a, b, r := round(prosody.lcs_length(e, g) / max(len(e), len(g), 1), 9), r >= 0.98) for a, b, e, g in zip(ds, ps, es, gs)))
+
+
+@query("join_ocr_line_fuzzy")
+def join_ocr_line_fuzzy(spark, d):
+    lines = view(spark, d, "lines").where("text IS NOT NULL AND confidence >= 0.75")
+    return matching.fuzzy_lines(lines, lines)
+
+
+@query("join_iou_greedy")
+def join_iou_greedy(spark, d):
+    r = view(spark, d, "rects")
+    return matching.greedy_pairs(r, r, 0.1)
+
+
+@query("join_spatial_cluster")
+def join_spatial_cluster(spark, d):
+    return matching.first_fit_clusters(view(spark, d, "rects").select("page", "id", "x", "y", "w", "h"))
+
+
+def _actions(spark, d):
+    kind = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "complete", "click", "fail", "error", "retry", "purchase", "skip", "signup", "show")]), F.col("event_type"))
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), kind.alias("action"), (F.col("event_id") % 8).cast("int").alias("page_index"), "ts")
+
+
+@query("st_session_fsm")
+def st_session_fsm(spark, d):
+    return sessions.fold_sessions(_actions(spark, d))
+
+
+@query("st_narration_queue")
+def st_narration_queue(spark, d):
+    ops = F.when(F.col("action") == "complete", "append").when(F.col("action") == "show", "finish").otherwise("advance")
+    return sessions.fold_queues(_actions(spark, d).withColumn("action", ops))
+
+
+def _drain(df: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over what is there and return its result table, written in the shared folder."""
+    spark = df.sparkSession
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{base}/out")
+
+    q = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+def _stream(spark, d, name: str) -> DataFrame:
+    schema = table(spark, d, name).schema
+    df = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
+
+
+@query("st_window_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY date_trunc('hour', ts), event_type")
+def st_window_counts(spark, d):
+    return _drain(streams.tumbling_counts(_stream(spark, d, "events")), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("st_dedupe_watermark", "SELECT DISTINCT event_id, user_id FROM events")
+def st_dedupe_watermark(spark, d):
+    return _drain(streams.once(_stream(spark, d, "events")).select("event_id", "user_id"), "append")
+
+
+@query("st_session_window")
+def st_session_window(spark, d):
+    ev = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ev.groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), "user_id", "n")
+
+
+@query("st_furniture_incremental", "SELECT document_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[0-9]+', '#', 'g') AS template, count(DISTINCT page_index) AS pages FROM blocks WHERE text IS NOT NULL AND length(text) <= 40 GROUP BY 1, 2")
+def st_furniture_incremental(spark, d):
+    edges = _stream(spark, d, "blocks").where("text IS NOT NULL AND char_length(text) <= 40").select("document_id", "page_index", "text")
+    return _drain(streams.furniture_so_far(edges), "complete")
+
+
+def _folder(spark) -> str:
+    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("src_worker_ndjson", "SELECT document_id, page_index, block_id FROM lines")
+def src_worker_ndjson(spark, d):
+    """Write the lines as newline-delimited worker responses and read them through the source again."""
+    path = f"{_folder(spark)}/worker"
+    lines = view(spark, d, "lines")
+    files.write_rows(lines.groupBy("document_id", "page_index").agg(F.collect_list(F.struct("block_id", "text", "x", "y", "w", "h", "confidence")).alias("blocks")), path)
+    return files.read_worker(spark, path).where("_corrupt IS NULL").select("document_id", "page_index", F.explode("blocks").alias("b")).select("document_id", "page_index", "b.block_id")
+
+
+@query("src_corpus_manifest", "SELECT document_id AS id, entry_role AS role, page_count FROM entries")
+def src_corpus_manifest(spark, d):
+    path = f"{_folder(spark)}/manifest"
+    e = view(spark, d, "entries").select(F.struct(F.col("document_id").alias("id"), F.col("entry_role").alias("role"), "page_count").alias("e"))
+    files.write_rows(e.groupBy(F.pmod(F.hash("e.id"), F.lit(4)).alias("k")).agg(F.collect_list("e").alias("entries")).drop("k"), path)
+    return spark.read.schema(files.MANIFEST).json(path).select(F.explode("entries").alias("e")).select("e.id", "e.role", "e.page_count")
+
+
+@query("snk_state_store", "SELECT document_id, page_index, n_direct FROM candidates")
+def snk_state_store(spark, d):
+    path = f"{_folder(spark)}/state"
+    files.write_state(view(spark, d, "candidates").select(F.lit(1).alias("version"), F.pmod(F.hash("document_id"), F.lit(8)).alias("bucket"), "document_id", "page_index", "n_direct").withColumn("document", F.col("document_id")).withColumn("document_id", F.col("bucket").cast("string")).drop("bucket"), path)
+    return spark.read.parquet(path).select(F.col("document").alias("document_id"), "page_index", "n_direct")
+
+
+@query("src_dir_walk")
+def src_dir_walk(spark, d):
+    return files.list_files(spark, d).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", "sha256_hex").where("length < 67108864")
+
+
+@query("src_ground_truth", "SELECT document_id, page_index, block_id FROM paragraphs")
+def src_ground_truth(spark, d):
+    path = f"{_folder(spark)}/truth"
+    p = view(spark, d, "paragraphs")
+    sentence = F.array(F.struct(F.lit("s0").alias("sentence_id"), F.col("text")))
+    block = F.struct("block_id", F.col("block_order").alias("order"), "text", F.array(F.struct(F.lit("p0").alias("paragraph_id"), sentence.alias("sentences"))).alias("paragraphs"))
+    pages = p.groupBy("document_id", "page_index").agg(F.collect_list(block).alias("blocks"))
+    files.write_rows(pages.select("document_id", F.lit(1).alias("revision"), F.array(F.struct("page_index", "blocks")).alias("pages")), path)
+    flat = spark.read.schema(files.TRUTH).json(path).select("document_id", F.explode("pages").alias("p")).select("document_id", "p.page_index", F.explode("p.blocks").alias("b"))
+    return flat.select("document_id", "page_index", "b.block_id")
+
+
+@query("src_model_manifest", "SELECT document_id AS id, sha256_hex FROM entries")
+def src_model_manifest(spark, d):
+    path = f"{_folder(spark)}/models"
+    e = view(spark, d, "entries")
+    files.write_rows(e.select(F.col("document_id").alias("id"), F.array(F.struct("sha256_hex", F.col("file_path").alias("relative_path"))).alias("artifacts")), path)
+    return spark.read.schema(files.MODEL).json(path).select("id", F.explode("artifacts").alias("a")).select("id", "a.sha256_hex")
+
+
+@query("src_state_load", "SELECT document_id, page_index FROM candidates")
+def src_state_load(spark, d):
+    path = f"{_folder(spark)}/state"
+    files.write_rows(view(spark, d, "candidates").select("document_id", "page_index"), path)
+    return files.read_state(spark, path, "document_id string, page_index int").select("document_id", "page_index")
+
+
+@query("snk_metrics_jsonl", "SELECT unit_id, segment_index, sample_count FROM segments")
+def snk_metrics_jsonl(spark, d):
+    path = f"{_folder(spark)}/metrics"
+    files.write_rows(view(spark, d, "segments").select("unit_id", "segment_index", "sample_count"), path)
+    return spark.read.schema("unit_id long, segment_index int, sample_count long").json(path)
+
+
+@query("snk_report_json", "SELECT language, count(*) AS n FROM entries GROUP BY language")
+def snk_report_json(spark, d):
+    path = f"{_folder(spark)}/report"
+    files.write_rows(view(spark, d, "entries").groupBy("language").agg(F.count("*").alias("n")), path)
+    return spark.read.schema("language string, n long").json(path)
+
+
+@query("fn_equiv_glyph")
+def fn_equiv_glyph(spark, d):
+    """Characters two readings of a line share once quotation marks and dashes of a kind are equal."""
+    return fn_lcs_pairs(spark, d).groupBy("block_id").agg(F.sum("common").alias("common"))

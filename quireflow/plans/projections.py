@@ -63,7 +63,7 @@ q("prd_ocr_split", "SELECT document_id, page_index, count(*) > 0 AND count(DISTI
 q("prj_visible_text", "SELECT unit_id, CASE WHEN source_language IS NOT NULL AND unit_index % 2 = 0 THEN upper(target_language) || ': ' || text ELSE text END AS visible FROM tunits WHERE text IS NOT NULL")
 q("prj_voice_language", "SELECT document_id, coalesce(CASE WHEN lower(trim(language)) IN ('es', 'en', 'pt') THEN lower(trim(language)) END, 'es') AS voice_language FROM entries")
 q("prd_restart_snapshot", "SELECT o_orderkey AS id, o_custkey >= 0 AND o_orderstatus IN ('O', 'F', 'P') AND o_totalprice / 100000.0 BETWEEN 0.5 AND 3 AS valid FROM orders")
-q("prd_narration_rate", "SELECT o_orderkey AS id, greatest(0.5, least(2.0, round(o_totalprice / 100000.0, 4))) AS rate FROM orders")
+q("prd_narration_rate", "SELECT o_orderkey AS id, greatest(0.5, least(2.0, floor(o_totalprice) / 100000.0)) AS rate FROM orders")
 q("prd_runtime_manifest", "SELECT count(*) = count(DISTINCT document_id) AND count(DISTINCT file_path) = count(file_path) AS unique_ids, bool_and($LIKE(document_id, '^[a-z0-9-]+$')) AS ids_ok, bool_and(sha256_hex IS NULL OR $LIKE(sha256_hex, '^[0-9a-f]{64}$')) AS hashes_ok FROM entries")
 q("prd_forbidden_sentinel", "SELECT doc_id, NOT (text LIKE '%@pausa%' OR text LIKE '%voz@2x%' OR text LIKE '%BEGIN PRIVATE%') AS clean FROM documents WHERE text IS NOT NULL")
 # 2.11

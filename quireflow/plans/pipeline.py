@@ -67,12 +67,24 @@ def _quality_pages(spark, d):
     return quality.degradation(quality.counters(docs))
 
 
-@query("prd_text_degradation")
+QUALITY = (
+    """WITH t AS (SELECT doc_id, text, lower(trim(lang)) AS lang, list_filter(string_split_regex(text, '[^\\p{L}\\p{N}''’-]+'), lambda w: regexp_matches(w, '\\p{L}')) AS ws FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, lang, length(text) AS chars, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^"""
+    + quality.DIACRITICS
+    + """]', '', 'g')) AS accented, len(regexp_extract_all(text, '[\\p{L}\\p{N}][\\x{FFFD}\\x{E000}-\\x{F8FF}]|[\\x{FFFD}\\x{E000}-\\x{F8FF}][\\p{L}\\p{N}]')) AS unreadable, len(ws) AS words, len(list_filter(ws, lambda w: length(w) = 1)) AS single, len(list_filter(ws, lambda w: length(w) > 1 AND NOT regexp_matches(w, '[0-9]') AND NOT regexp_matches(w, '["""
+    + quality.VOWELS
+    + """]'))) AS vowelless FROM t),
+d AS (SELECT *, CASE WHEN letters < 400 THEN NULL WHEN unreadable * 500 > chars THEN 'unreadable' WHEN words = 0 THEN NULL WHEN vowelless * 100 > words * 10 THEN 'impossible_words' WHEN single * 100 > words * 50 THEN 'letters_not_words' WHEN lang IN ('es', 'pt') AND accented * 1000 < letters * 2 THEN 'missing_diacritics' END AS degradation FROM c)
+"""
+)
+
+
+@query("prd_text_degradation", QUALITY + "SELECT doc_id, letters, words, degradation FROM d")
 def prd_text_degradation(spark, d):
     return _quality_pages(spark, d).select("doc_id", "letters", "words", "degradation")
 
 
-@query("prd_route")
+@query("prd_route", QUALITY + "SELECT doc_id, CASE WHEN r = 'direct_text_useful' THEN 'direct' ELSE 'ocr' END AS route, r AS reason_code FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'raster_content_detected' WHEN words = 0 THEN 'direct_text_insufficient' WHEN degradation IS NOT NULL THEN 'direct_text_degraded_' || degradation ELSE 'direct_text_useful' END AS r FROM d) z")
 def prd_route(spark, d):
     pages = _quality_pages(spark, d).withColumn("raster", F.col("doc_id") % 7 == 0).withColumn("trusted", F.col("words") > 0)
     return quality.route(pages).select("doc_id", "route", "reason_code")

@@ -124,12 +124,16 @@ def lcs_pairs(a: str, b: str) -> list[tuple[int, int]]:
 
 
 def lcs_length(a: list, b: list) -> int:
-    row = [0] * (len(b) + 1)
-    for v in a:
-        diagonal = 0
-        for j, w in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if v == w else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence, a row of the table at a time in the bits of one integer."""
+    where: dict = {}
+    for i, v in enumerate(a):
+        where[v] = where.get(v, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for w in b:
+        hit = row & where.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
 
 def repair_runs(text: str, reading: str) -> str:

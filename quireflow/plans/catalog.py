@@ -56,7 +56,7 @@ VIEWS: dict[str, tuple[str, str] | str] = {
     "segments": "SELECT l_orderkey AS unit_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS segment_index, l_linenumber AS declared, cast(floor(l_quantity * 1000) AS bigint) AS sample_count, CASE WHEN l_linenumber % 3 = 0 THEN 22050 ELSE 24000 END AS sample_rate_hz, cast(floor(l_extendedprice / 10) AS bigint) AS elapsed_ms FROM lineitem",
     "fragments": "SELECT o_custkey AS job, o_orderkey AS unit_id, cast(floor(o_totalprice) AS bigint) AS duration_ms, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders",
     "metrics": "SELECT user_id AS run_id, event_id, event_type AS name, cast(floor(value * 100) AS bigint) AS numerator, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, epoch_ms AS clock_ms FROM (SELECT *, {epoch} AS epoch_ms FROM events) q",
-    "rects": "SELECT p_partkey AS id, p_partkey % 50 AS page, (p_partkey * 7) % 400 AS x, (p_partkey * 13) % 700 AS y, 20 + p_size * 2 AS w, 10 + p_size AS h, p_brand AS role, (p_partkey % 100) / 100.0 AS confidence FROM part",
+    "rects": "SELECT p_partkey AS id, p_partkey % 50 AS page, (p_partkey * 7) % 300 AS x, (p_partkey * 13) % 200 AS y, 40 + p_size * 4 AS w, 20 + p_size * 3 AS h, p_brand AS role, (p_partkey % 100) / 100.0 AS confidence FROM part",
     "paragraphs": "SELECT block_id, document_id, page_index, block_order, text FROM truth WHERE degradation IS NULL AND text IS NOT NULL",
 }
 EPOCH = ("unix_millis(cast(ts AS timestamp))", "cast(epoch_ms(ts) AS bigint)")

@@ -212,8 +212,11 @@ def agg_block_order_lcs(spark, d):
 
 @query("join_ocr_line_fuzzy")
 def join_ocr_line_fuzzy(spark, d):
-    lines = view(spark, d, "lines").where("text IS NOT NULL AND confidence >= 0.75")
-    return matching.fuzzy_lines(lines, lines)
+    """Printed lines of scanned blocks, placed by their number, with the recognised line they are."""
+    printed = table(spark, d, "blocks").where("degradation = 'scanned' AND block_order = 0 AND text IS NOT NULL").select("document_id", "page_index", "block_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).distinct()
+    printed = printed.select("document_id", "page_index", F.concat_ws("-", "block_id", F.lit("line"), "n").alias("block_id"), "text", (750.0 - 26 * F.col("n")).alias("y"), F.lit(12.0).alias("h"))
+    read = view(spark, d, "lines").where("text IS NOT NULL AND confidence >= 0.75 AND block_id LIKE '%-ocr-%'")
+    return matching.fuzzy_lines(printed, read)
 
 
 @query("join_iou_greedy")

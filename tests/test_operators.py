@@ -145,3 +145,13 @@ def test_stream_state_equals_batch(spark, sf, tmp_path):
     q.awaitTermination()
     batch = {(r.session, r.page_index): r.state for r in sessions.fold_sessions(actions).collect()}
     assert {(r.session, r.page_index): r.state for r in out} == batch
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="abc", max_size=20), st.text(alphabet="abc", max_size=20))
+def test_common_subsequence_against_brute_force(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    assert prosody.lcs_length(list(a), list(b)) == table[-1][-1] == len(prosody.lcs_pairs(a, b))

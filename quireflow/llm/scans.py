@@ -127,28 +127,27 @@ PAGES = "src string, document_id string, page_index int, lines array<struct<bloc
 
 
 def scanned_pages(spark, sf_dir: str) -> DataFrame:
-    """One row per scanned page and source ('b' blocks, 'o' recognised lines), its lines in reading order; re-deliveries merged."""
+    """One row per scanned page and source ('b' blocks, 'o' recognised lines), its lines in reading order.
+
+    Re-delivered blocks are merged; a re-delivered page of recognised lines stays a second equal row, which no later
+    step minds: page counts are distinct and so are results."""
     b = (
         table(spark, sf_dir, "blocks")
         .where("degradation = 'scanned' AND text IS NOT NULL")
-        .select("document_id", "page_index", "block_id", "block_order", "text")
-        .dropDuplicates(["block_id"])
         .groupBy("document_id", "page_index")
-        .agg(F.array_sort(F.collect_list(F.struct("block_order", "block_id", "text"))).alias("b"))
+        .agg(F.array_sort(F.collect_set(F.struct("block_order", "block_id", "text"))).alias("b"))
         .select(F.lit("b").alias("src"), "document_id", "page_index", F.flatten(F.transform("b", lambda x: F.transform(F.split(x["text"], "\n"), lambda t, i: F.struct(x["block_id"].alias("block_id"), i.cast("int").alias("line_no"), t.alias("text"))))).alias("lines"))
     )
     o = (
         table(spark, sf_dir, "page_candidates")
         .where("size(ocr_blocks) > 0")
-        .select("document_id", "page_index", "request_id", "ocr_blocks")
-        .dropDuplicates(["request_id"])
         .select(F.lit("o").alias("src"), "document_id", "page_index", F.transform(F.filter("ocr_blocks", lambda e: e["text"].isNotNull()), lambda e: F.struct(e["block_id"].alias("block_id"), F.lit(0).alias("line_no"), e["text"].alias("text"))).alias("lines"))
     )
     return b.unionByName(o).where("size(lines) > 0")
 
 
 def label_lines(pages: DataFrame) -> DataFrame:
-    """The pages with ``labels`` (0 header, 1 folio, 2 body), an int for each line.
+    """One row per line of the pages with its label (0 header, 1 folio, 2 body) and, of body lines, its words.
 
     Evidence beyond the page comes from two small aggregates over the edge lines (at most four a page): on how
     many pages of its document, or of how many documents, a title stands at an edge; and which difference of
@@ -156,10 +155,9 @@ def label_lines(pages: DataFrame) -> DataFrame:
     """
 
     def make_edges():
-        def kernel(docs, idx, lines):
-            for d, p, ls in zip(docs, idx, lines):
-                for i in _edges(len(ls)):
-                    t = ls[i]["text"]
+        def kernel(docs, idx, texts):
+            for d, p, ts in zip(docs, idx, texts):
+                for t in ts:
                     r = folio_readings(t)
                     if r:
                         for n in set(r[1]):
@@ -170,7 +168,8 @@ def label_lines(pages: DataFrame) -> DataFrame:
 
         return kernel
 
-    edges = cut(arrow_rows(pages, ["document_id", "page_index", "lines"], "document_id string, page_index int, key string, shift int, style string", make_edges))
+    at_edge = F.transform(F.filter("lines", lambda x, i: (i < 2) | (i >= F.size("lines") - 2)), lambda x: x["text"]).alias("texts")
+    edges = cut(arrow_rows(pages, ["document_id", "page_index", at_edge], "document_id string, page_index int, key string, shift int, style string", make_edges))
     per_doc = edges.where("key IS NOT NULL").groupBy("document_id", "key").agg(F.count_distinct("page_index").alias("n"))
     well_known = per_doc.where("n >= 2").groupBy("key").agg(F.count("*").alias("docs")).where("docs >= 3").select("key")
     titles = per_doc.where("n >= 2").select("document_id", "key").unionByName(per_doc.join(well_known, "key", "left_semi").select("document_id", "key")).distinct()
@@ -178,15 +177,42 @@ def label_lines(pages: DataFrame) -> DataFrame:
     shifts = edges.where("shift IS NOT NULL").groupBy("document_id", "shift").agg(F.count_distinct("page_index").alias("n"), F.mode("style").alias("style"))
     shift = shifts.groupBy("document_id").agg(F.max_by(F.struct("shift", "style", "n"), F.struct("n", -F.abs("shift"))).alias("folios"))
 
-    def make_labels():
+    every = edges.select("document_id", "page_index").distinct().join(page_titles, ["document_id", "page_index"], "left").join(shift, "document_id", "left")
+    rows = pages.join(every, ["document_id", "page_index"], "left")
+
+    def make_lines():
         def kernel(srcs, docs, idx, lines, titles, folios):
             for s, d, p, ls, ts, fo in zip(srcs, docs, idx, lines, titles, folios):
-                yield s, d, p, ls, label_page([x["text"] for x in ls], p, set(ts or ()), fo)
+                for row in page_lines([x["text"] for x in ls], p, set(ts or ()), fo):
+                    i, j, *rest = row
+                    x, y = ls[i], ls[j] if j is not None else None
+                    yield s, d, p, x["block_id"], x["line_no"], y and y["block_id"], y and y["line_no"], *rest
 
         return kernel
 
-    rows = pages.join(page_titles, ["document_id", "page_index"], "left").join(shift, "document_id", "left")
-    return arrow_rows(rows, ["src", "document_id", "page_index", "lines", "titles", "folios"], PAGES + ", labels array<int>", make_labels)
+    return arrow_rows(rows, ["src", "document_id", "page_index", "lines", "titles", "folios"], LINES, make_lines)
+
+
+LINES = "src string, document_id string, page_index int, block_id string, line_no int, next_block string, next_line int, label int, last boolean, mark boolean, tail string, head string, first string, inner array<string>"
+
+
+def page_lines(texts: list[str], page: int, titles: set[str], folios: dict | None):
+    """(line, next body line, label, last, mark, tail, head, first, inner) of every line of a page.
+
+    For body lines: the last word without its mark (``tail``), the first word of the next body line of the page
+    (``head``), the own first word and all other words; ``last`` if no body line follows on the page.
+    """
+    labels = label_page(texts, page, titles, folios)
+    body = [i for i, lab in enumerate(labels) if lab == BODY and texts[i].strip()]
+    nxt = dict(zip(body, body[1:]))
+    real = set(body)
+    for i, lab in enumerate(labels):
+        if i not in real:
+            yield i, None, lab, False, None, None, None, None, []
+            continue
+        mark, tail, inner, first = split_line(texts[i])
+        j = nxt.get(i)
+        yield i, j, lab, j is None, mark, tail, first_word(texts[j]) if j is not None else None, first, inner
 
 
 def label_page(texts: list[str], page: int, titles: set[str], folios: dict | None) -> list[int]:
@@ -243,14 +269,13 @@ def plainly_misread(token: str) -> bool:
     return True
 
 
-def vocabulary(spark, sf_dir: str, pages: DataFrame) -> DataFrame:
-    """word, n: counts of all words of clean and recognised text; of printed lines without first and last word,
-    which may be parts of words."""
-    words = lambda c: F.split(c, "\\s+")
-    clean = clean_blocks(spark, sf_dir).select("text").unionByName(direct_elements(spark, sf_dir).select("text")).where("text IS NOT NULL").select(F.explode(words(F.col("text"))).alias("w"))
-    lines = pages.select(F.explode("lines").alias("l")).select(words(F.col("l.text")).alias("ws")).where("size(ws) > 2").select(F.explode(F.slice("ws", F.lit(2), F.size("ws") - 2)).alias("w"))
-    trimmed = F.regexp_replace("w", "^[.,;:!?«»“”„()\\[\\]…¿¡—–\"’‘'*\\s]+|[.,;:!?«»“”„()\\[\\]…¿¡—–\"’‘'*\\s]+$", "")
-    return clean.unionByName(lines).select(trimmed.alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+def raw_words(spark, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """token, n, printed: counts of all tokens of clean text and of the inner words of printed lines (their first and
+    last words may be parts of words); ``printed`` if it occurs in a line. Tokens still carry their punctuation."""
+    clean = clean_blocks(spark, sf_dir).select("text").unionByName(direct_elements(spark, sf_dir).select("text")).where("text IS NOT NULL")
+    a = clean.select(F.explode(F.split("text", "\\s+")).alias("token"), F.lit(False).alias("printed"))
+    b = lines.select(F.explode("inner").alias("token"), F.lit(True).alias("printed"))
+    return a.unionByName(b).groupBy("token").agg(F.count("*").alias("n"), F.bool_or("printed").alias("printed"))
 
 
 def misread_words(vocab: DataFrame, words: DataFrame) -> DataFrame:
@@ -273,33 +298,6 @@ def misread_words(vocab: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-LINES = "src string, document_id string, page_index int, seq int, last boolean, block_id string, line_no int, label int, mark boolean, tail string, head string, inner array<string>"
-
-
-def body_lines(labelled: DataFrame) -> DataFrame:
-    """One row per line; for body lines the last word without its mark (``tail``), the first word of the next
-    body line of the page (``head``) and all other words (``inner``: neither the tail nor the line's own first word)."""
-
-    def make():
-        def kernel(srcs, docs, idx, lines, labels):
-            for s, d, p, ls, labs in zip(srcs, docs, idx, lines, labels):
-                body = [i for i, lab in enumerate(labs) if lab == BODY and ls[i]["text"].strip()]
-                nxt = dict(zip(body, body[1:]))
-                for i, lab in enumerate(labs):
-                    x = ls[i]
-                    if lab != BODY:
-                        yield s, d, p, i, False, x["block_id"], x["line_no"], lab, False, None, None, []
-                        continue
-                    mark, tail, inner, first = split_line(x["text"])
-                    j = nxt.get(i)
-                    head = first_word(ls[j]["text"]) if j is not None else None
-                    yield s, d, p, i, bool(body) and i == body[-1], x["block_id"], x["line_no"], lab, mark, tail, head, [w for w in (first, *inner) if w]
-
-        return kernel
-
-    return arrow_rows(labelled, ["src", "document_id", "page_index", "lines", "labels"], LINES, make)
-
-
 def split_line(text: str) -> tuple[bool, str | None, list[str], str | None]:
     """(has a division mark, last word without it - null if the line ends in punctuation, other words, first word)."""
     m = _MARK_END.search(text)
@@ -324,89 +322,177 @@ def first_word(text: str) -> str | None:
     return w[0].rstrip(_TRIM) if w and w[0][0] not in "«“„(¿¡—" else None
 
 
-def line_noise(spark, sf_dir: str) -> DataFrame:
-    """src, document_id, page_index, seq, block_id, line_no, label, hyphen, misread: the verdict on every line."""
+MOST_BROADCAST = 200_000
+_ODD_JVM = "\\p{L}[@€|0-9!]|[@€|!]\\p{L}|ı|(?<![\\d.,:/_-])[0-9](?=\\p{L}{2})|\\d[lOoI]|[lOI]\\d"
+_PLAIN_JVM = "_|www\\.|\\.(?:txt|example|png)"
+_TRIM_JVM = "^[.,;:!?«»“”„()\\[\\]…¿¡—–\"’‘'*\\s]+|[.,;:!?«»“”„()\\[\\]…¿¡—–\"’‘'*\\s]+$"
+
+
+def analyse(spark, sf_dir: str) -> dict[str, DataFrame]:
+    """The scanned pages with what is wrong on them: ``pages``, labelled ``lines``, ``divided`` line ends, ``tokens``
+    of lines, and the distinct ``bad`` ones with their repair.
+
+    Lines of a page are labelled together; all else is decided by counts of words over the whole corpus, looked up
+    by joins on the word. Only the list of misread words is broadcast, if it has at most ``MOST_BROADCAST`` rows.
+    """
     pages = cut(spread(scanned_pages(spark, sf_dir)))
-    labelled = cut(label_lines(pages))
-    lines = body_lines(labelled)
-    # The next body line may be on the next page: the first word of each page, joined by page number.
-    heads = lines.where("label = 2").groupBy("src", "document_id", "page_index").agg(F.min_by(F.coalesce(F.get("inner", F.lit(0)), F.col("tail")), "seq").alias("page_head"))
-    heads = heads.select("src", "document_id", (F.col("page_index") - 1).alias("page_index"), F.rtrim(F.regexp_replace("page_head", "[.,;:!?»”)…’]+$", "")).alias("page_head"))
-    lines = lines.join(heads, ["src", "document_id", "page_index"], "left").withColumn("head", F.when(F.col("last"), F.col("page_head")).otherwise(F.col("head"))).drop("page_head")
-    lines = cut(lines.withColumn("id", F.xxhash64("src", "block_id", "line_no", "page_index", "document_id")))
-    vocab = cut(vocabulary(spark, sf_dir, pages))
-
-    # Line ends: counts of the parts, of the joined word and of the word with a hyphen of its own, in one join.
-    ends = lines.where("tail IS NOT NULL AND head IS NOT NULL AND head <> '' AND (mark OR head RLIKE '^\\\\p{Ll}|^[0-9@€|]')")
-    ends = ends.select("id", "mark", "tail", "head", F.concat("tail", "head").alias("joined"), F.concat(F.col("tail"), F.lit("-"), F.col("head")).alias("own"))
-    keys = ends.select("id", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("tail", "head", "joined", "own"))), F.array("tail", "head", "joined", "own"))).alias("part", "word"))
-    counted = keys.join(vocab, "word").groupBy("id").agg(*[F.coalesce(F.max(F.when(F.col("part") == p, F.col("n"))), F.lit(0)).alias(f"n_{p}") for p in ("tail", "head", "joined", "own")])
-    ends = cut(ends.join(counted, "id", "left").fillna(0, [f"n_{p}" for p in ("tail", "head", "joined", "own")]))
-    fixes = misread_words(vocab, ends.where("n_joined <= 2 AND (mark OR n_tail <= 2 OR n_head <= 2) AND n_own = 0").select(F.col("joined").alias("word"), F.col("n_joined").alias("n")).distinct()).select(F.col("word").alias("joined"), "fixed")
-    ends = ends.join(fixes, "joined", "left")
+    lines = cut(label_lines(pages))
+    raw = cut(raw_words(spark, sf_dir, lines).withColumn("word", F.regexp_replace("token", _TRIM_JVM, "")))
+    vocab = cut(raw.where("word <> ''").groupBy("word").agg(F.sum("n").alias("n")))
+    at = ["block_id", "line_no"]
+    furniture = lines.where(F.col("label") != BODY).select(*at, F.when(F.col("label") == HEADER, "header").otherwise("folio").alias("noise_kind"))
+    body = lines.where((F.col("label") == BODY) & F.col("mark").isNotNull())
+
+    # Line ends. The next body line of a page's last one is the first of the next page, joined by page number.
+    starts = lines.where((F.col("label") == BODY) & (F.col("tail").isNotNull() | F.col("first").isNotNull())).select("src", "document_id", "page_index", *at, F.coalesce("first", "tail").alias("word"))
+    not_first = lines.where("next_block IS NOT NULL").select("src", F.col("next_block").alias("block_id"), F.col("next_line").alias("line_no"))
+    page_first = starts.join(not_first, ["src", *at], "left_anti").select("src", "document_id", (F.col("page_index") - 1).alias("page_index"), F.col("block_id").alias("next_block"), F.col("line_no").alias("next_line"), F.regexp_replace("word", "[.,;:!?»”)…’]+$", "").alias("head"))
+    columns = [*at, "mark", "tail", "head", "next_block", "next_line"]
+    within = body.where("NOT last AND tail IS NOT NULL").select(*columns)
+    across = body.where("last AND tail IS NOT NULL").drop("head", "next_block", "next_line").join(page_first, ["src", "document_id", "page_index"]).select(*columns)
+    ends = within.unionByName(across).where("head IS NOT NULL AND head <> '' AND (mark OR head RLIKE '^\\\\p{Ll}|^[0-9@€|]')")
+    ends = cut(ends.withColumn("joined", F.concat("tail", "head")).withColumn("own", F.concat("tail", F.lit("-"), "head")).withColumn("id", F.xxhash64(*at)))
+    # Without a mark, only a known joined word or an unknown tail can be a divided word: the rest, most lines, end here.
+    plain = ends.where("NOT mark")
+    known_joined = plain.select("id", "joined").join(vocab.select(F.col("word").alias("joined")), "joined", "left_semi").select("id")
+    odd_tail = plain.select("id", "tail").join(vocab.where("n >= 2").select(F.col("word").alias("tail")), "tail", "left_anti").select("id")
+    ends = ends.where("mark").unionByName(plain.join(known_joined.union(odd_tail), "id", "left_semi").select(*ends.columns))
+    names = ("tail", "head", "joined", "own")
+    keys = ends.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col(n).alias("word")) for i, n in enumerate(names)])).alias("k")).select("id", "k.part", "k.word")
+    counted = keys.join(vocab, "word").groupBy("id").agg(*[F.coalesce(F.max(F.when(F.col("part") == i, F.col("n"))), F.lit(0)).alias(f"n_{n}") for i, n in enumerate(names)])
+    ends = cut(ends.join(counted, "id", "left").fillna(0, [f"n_{n}" for n in names]).drop("id"))
+    unsure = ends.where("n_joined <= 2 AND (mark OR n_tail <= 2 AND n_head <= 2) AND n_own = 0").select(F.col("joined").alias("word"), F.col("n_joined").alias("n")).distinct()
+    ends = ends.join(misread_words(vocab, unsure).select(F.col("word").alias("joined"), "fixed"), "joined", "left")
     marked = F.col("mark") & ~(F.col("n_own") > F.col("n_joined"))
+    low, high, both = F.least("n_tail", "n_head"), F.greatest("n_tail", "n_head"), F.col("n_joined")
     silent = ~F.col("mark") & (F.col("n_own") == 0) & (
-        (F.col("n_joined") >= 3) & (F.least("n_tail", "n_head") * 10 < F.col("n_joined")) & (F.greatest("n_tail", "n_head") < F.col("n_joined") * 10)
-        | (F.col("n_joined") >= 3) & (F.least("n_tail", "n_head") * 100 < F.col("n_joined"))
-        | (F.col("n_joined") >= 1) & (F.greatest("n_tail", "n_head") <= 1)
-        | F.col("fixed").isNotNull() & (F.greatest("n_tail", "n_head") <= 1)
-    )
-    ends = ends.select("id", "tail", "head", "joined", "fixed", (marked | silent).alias("hyphen"), "n_joined")
-    divided = cut(ends.where("hyphen"))
-
-    # Misread words: inner words, first words unless they continue a divided one, tails unless they begin one.
-    nxt = Window.partitionBy("src", "document_id", "page_index").orderBy("seq")
-    state = lines.join(divided.select("id", F.lit(True).alias("hyphen"), "fixed", "joined", F.col("tail").alias("d_tail"), "n_joined"), "id", "left").withColumn("hyphen", F.coalesce("hyphen", F.lit(False)))
-    body = state.where("label = 2").withColumn("before", F.lag("hyphen").over(nxt))
-    ended = body.where("last AND hyphen").select("src", "document_id", (F.col("page_index") + 1).alias("page_index"), F.lit(True).alias("page_before"))
-    body = body.join(ended, ["src", "document_id", "page_index"], "left").withColumn("continues", F.coalesce("before", "page_before", F.lit(False)))
-    words = body.select(
-        "id",
-        F.explode(F.concat(F.when(F.col("continues"), F.slice("inner", F.lit(2), F.greatest(F.size("inner") - 1, F.lit(0)))).otherwise(F.col("inner")), F.when(~F.col("hyphen") & F.col("tail").isNotNull(), F.array("tail")).otherwise(F.array().cast("array<string>")))).alias("token"),
+        (both >= 3) & (low * 10 < both) & (high < both * 10) | (both >= 3) & (low * 100 < both) | (both >= 1) & (high <= 1) | F.col("fixed").isNotNull() & (high <= 1)
     )
+    divided = cut(ends.where(marked | silent).select(*at, "tail", "joined", "fixed", "next_block", "next_line"))
 
-    def make_flags():
-        def kernel(ids, tokens):
-            for i, t in zip(ids, tokens):
-                yield i, bare(t), plainly_misread(t)
+    # Misread words: all words but the parts of divided ones, which are taken out of the few that are found.
+    tokens = body.select(*at, F.lit(0).alias("place"), F.explode("inner").alias("token"))
+    outer = body.select(*at, F.explode(F.array(F.struct(F.lit(1).alias("place"), F.col("tail").alias("token")), F.struct(F.lit(2).alias("place"), F.col("first").alias("token")))).alias("k")).select(*at, "k.*").where("token IS NOT NULL")
+    tokens = tokens.unionByName(outer)
+
+    # Patterns and joins run over distinct tokens; the lines are then searched for the few that are wrong.
+    others = outer.select("token").distinct().withColumn("word", F.regexp_replace("token", _TRIM_JVM, ""))
+    distinct = raw.where("printed").select("token", "word").unionByName(others).distinct().where("word RLIKE '[\\\\p{L}@€|]'")
+    distinct = cut(distinct.withColumn("plain", F.col("word").rlike(_ODD_JVM) & ~F.col("word").rlike(_PLAIN_JVM)))
+    counted = distinct.select("word").distinct().join(vocab, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    repaired = distinct.join(misread_words(vocab, counted), "word", "left").where("plain OR fixed IS NOT NULL")
+    bad = cut(repaired.select("token", F.expr("replace(token, word, coalesce(fixed, word))").alias("repair")))
+    return {"pages": pages, "lines": lines, "furniture": furniture, "divided": divided, "tokens": tokens, "bad": bad}
 
-        return kernel
 
-    flags = cut(arrow_rows(words, ["id", "token"], "id long, word string, plain boolean", make_flags))
-    rare = flags.select("word").where("word <> '' AND word RLIKE '\\\\p{L}'").distinct().join(vocab, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
-    bad = misread_words(vocab, rare).select("word")
-    by_list = flags.join(bad, "word", "left_semi").select("id")
-    by_sign = flags.where("plain").select("id")
+def wrong_tokens(a: dict[str, DataFrame]) -> DataFrame:
+    """block_id, line_no, token, repair of every misread word; the list of them is broadcast only if it is short."""
+    bad, at = a["bad"], ["block_id", "line_no"]
+    hits = a["tokens"].join(F.broadcast(bad) if bad.count() <= MOST_BROADCAST else bad, "token").distinct()
+    begun = a["divided"].select(*at, F.lit(1).alias("place"))
+    ended = a["divided"].select(F.col("next_block").alias("block_id"), F.col("next_line").alias("line_no"), F.lit(2).alias("place"))
+    return hits.join(begun.unionByName(ended).distinct(), [*at, "place"], "left_anti").select(*at, "token", "repair")
+
+
+def line_noise(spark, sf_dir: str) -> DataFrame:
+    """block_id, line_no, noise_kind: every kind of noise of every line of the scanned pages."""
+    a = analyse(spark, sf_dir)
+    at = ["block_id", "line_no"]
+    divided, furniture = a["divided"], a["furniture"]
+    wrong = wrong_tokens(a).select(*at)
 
     # A misread letter of a divided word lies in the line of its part.
     def make_parts():
-        def kernel(ids, tails, joins, fixes):
-            for i, t, j, f in zip(ids, tails, joins, fixes):
+        def kernel(bs, ns, nbs, nns, tails, joins, fixes):
+            for b, n, nb, nn, t, j, f in zip(bs, ns, nbs, nns, tails, joins, fixes):
                 h = j[len(t) :]
-                a = plainly_misread(t) or bool(f) and not f.startswith(t)
-                b = plainly_misread(h) or bool(f) and not f.endswith(h)
-                if a:
-                    yield i, True
-                if b:
-                    yield i, False
+                if plainly_misread(t) or f and not f.startswith(t):
+                    yield b, n
+                if plainly_misread(h) or f and not f.endswith(h):
+                    yield nb, nn
+
+        return kernel
+
+    parts = arrow_rows(divided, [*at, "next_block", "next_line", "tail", "joined", "fixed"], "block_id string, line_no int", make_parts)
+    misread = wrong.unionByName(parts).distinct().withColumn("noise_kind", F.lit("misread"))
+    return furniture.unionByName(divided.select(*at, F.lit("hyphen").alias("noise_kind"))).unionByName(misread)
+
+
+PARAGRAPHS = "src string, document_id string, page_index int, paragraph_no int, text string, glued boolean, open boolean"
+
+
+def page_paragraphs(lines: list[tuple[str, int, bool]]) -> list[tuple[str, bool, bool]]:
+    """(text, glued, open) of the paragraphs of a page from its (text, label, divided) lines.
+
+    Headers and folios go, divided words are joined. A line that ends a sentence well before the usual right edge
+    ends the paragraph. ``open``: the last one does not end a sentence; ``glued``: it even ends within a word.
+    """
+    body = [(t, d) for t, lab, d in lines if lab == BODY and t.strip()]
+    if not body:
+        return []
+    usual = sorted(len(t) for t, _ in body)[(len(body) * 3) // 4]
+    out: list[str] = []
+    text, glue = "", True
+    for t, d in body:
+        text += ("" if glue else " ") + (_MARK_END.sub("", t) if d else t.strip())
+        glue = d or bool(_MARK_END.search(t))  # a hyphen of the word's own stays, without a space
+        if not glue and regex.search("[.!?…。][»”’\")]*$", t.strip()) and len(t) < 0.8 * usual:
+            out.append(text)
+            text, glue = "", True
+    done = [(x, False, False) for x in out]
+    if text:
+        ended = bool(regex.search("[.!?…。][»”’\")]*$", text))
+        done.append((text, glue, not ended))
+    return done
+
+
+def scanned_paragraphs(spark, sf_dir: str) -> DataFrame:
+    """src, document_id, first_page, paragraph_no, text: continuous paragraphs of each document and source, repaired.
+
+    A paragraph that is open at the end of a page goes on in the first of the next page. Which paragraphs belong
+    together is a running count over the pages of a document, made in blocks of pages so that a long document is
+    spread over tasks.
+    """
+    from .mixing import prefix_sum
+
+    a = analyse(spark, sf_dir)
+    at = ["block_id", "line_no"]
+    fixes = wrong_tokens(a).where("repair <> token").groupBy(*at).agg(F.collect_set(F.struct("token", "repair")).alias("fixes"))
+    text = a["pages"].select("src", "document_id", "page_index", F.posexplode("lines").alias("seq", "x")).select("src", "document_id", "page_index", "seq", "x.*")
+    rows = text.join(a["lines"].select("src", *at, "label"), ["src", *at]).join(fixes, at, "left").join(a["divided"].select(*at, F.lit(True).alias("divided")).distinct(), at, "left")
+    pages = rows.groupBy("src", "document_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "label", F.coalesce("divided", F.lit(False)).alias("divided"), "fixes"))).alias("ls"))
+
+    def make():
+        def kernel(srcs, docs, idx, pages):
+            for s, d, p, ls in zip(srcs, docs, idx, pages):
+                lines = []
+                for x in ls:
+                    t = x["text"]
+                    for f in sorted(x["fixes"] or (), key=lambda f: -len(f["token"])):
+                        t = t.replace(f["token"], f["repair"])
+                    lines.append((t, x["label"], x["divided"]))
+                for n, (t, glued, opened) in enumerate(page_paragraphs(lines)):
+                    yield s, d, p, n, t, glued, opened
 
         return kernel
 
-    parts = arrow_rows(divided, ["id", "tail", "joined", "fixed"], "id long, here boolean", make_parts)
-    here = parts.where("here").select("id")
-    follow = body.select("id", "src", "document_id", "page_index", "seq", "last", F.lead("id").over(nxt).alias("next_id"))
-    there = parts.where("NOT here").select("id").join(follow, "id")
-    firsts = body.groupBy("src", "document_id", "page_index").agg(F.min_by("id", "seq").alias("first_id"))
-    over = there.where("last").select("src", "document_id", (F.col("page_index") + 1).alias("page_index")).join(firsts, ["src", "document_id", "page_index"]).select(F.col("first_id").alias("id"))
-    wrong = by_list.union(by_sign).union(here).union(there.where("NOT last").select(F.col("next_id").alias("id"))).union(over).distinct().withColumn("misread", F.lit(True))
-    return state.join(wrong, "id", "left").select("src", "document_id", "page_index", "seq", "block_id", "line_no", "label", "hyphen", F.coalesce("misread", F.lit(False)).alias("misread"))
+    paras = cut(arrow_rows(pages, ["src", "document_id", "page_index", "ls"], PARAGRAPHS, make))
+    page = ["src", "document_id", "page_index"]
+    lasts = paras.groupBy(*page).agg(F.max_by("open", "paragraph_no").alias("before_open")).withColumn("page_index", F.col("page_index") + 1)
+    started = paras.join(lasts, page, "left").withColumn("starts", F.when((F.col("paragraph_no") == 0) & F.coalesce("before_open", F.lit(False)), 0).otherwise(1))
+    chained = prefix_sum(started, ["src", "document_id"], ["page_index", "paragraph_no"], "starts", F.floor(F.col("page_index") / 256), "chain")
+    whole = chained.groupBy("src", "document_id", "chain").agg(F.min("page_index").alias("first_page"), F.array_sort(F.collect_list(F.struct("page_index", "paragraph_no", "text", "glued"))).alias("ps"))
+    joined = F.aggregate("ps", F.struct(F.lit("").alias("t"), F.lit(True).alias("g")), lambda acc, x: F.struct(F.concat(acc["t"], F.when(acc["g"], "").otherwise(" "), x["text"]).alias("t"), x["glued"].alias("g")), lambda acc: acc["t"])
+    return whole.select("src", "document_id", "first_page", (F.col("chain") - 1).alias("paragraph_no"), joined.alias("text"))
+
+
+def p3_paragraphs(spark, sf_dir: str) -> DataFrame:
+    return scanned_paragraphs(spark, sf_dir)
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
-    v = line_noise(spark, sf_dir)
-    kinds = F.array_compact(F.array(F.when(F.col("label") == HEADER, F.lit("header")), F.when(F.col("label") == FOLIO, F.lit("folio")), F.when((F.col("label") == BODY) & F.col("hyphen"), F.lit("hyphen")), F.when((F.col("label") == BODY) & F.col("misread"), F.lit("misread"))))
-    return v.select("block_id", "line_no", F.explode(kinds).alias("noise_kind")).distinct()
+    return line_noise(spark, sf_dir).distinct()
 
 
-QUERIES = {"p3_found": p3_found}
+QUERIES = {"p3_found": p3_found, "p3_paragraphs": p3_paragraphs}
 SQL: dict[str, str] = {}

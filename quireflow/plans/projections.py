@@ -7,6 +7,7 @@ q("prj_reading_rect", f"SELECT block_id, {ROT} AS rotation, CASE {ROT} WHEN 90 T
 RELIABLE = "(x IS NOT NULL AND y IS NOT NULL AND w > 0 AND h > 0 AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(w) AND NOT isnan(h) AND coalesce(confidence, 0) >= 0.6)"
 q("prd_region_reliable", f"SELECT block_id, {RELIABLE} AS reliable FROM lines")
 q("prd_layout_usable", "SELECT id, role <> 'Brand#1' AND confidence >= 0.30 AS usable FROM rects")
+# Layout roles, and which of them are never read or only on demand.
 POLICY = "CASE WHEN role IN ('header', 'footer', 'footnote', 'vision_footnote', 'number', 'formula_number', 'seal') THEN 'never' WHEN role IN ('algorithm', 'chart', 'formula', 'image', 'reference', 'reference_content', 'table') THEN 'on_demand' WHEN role = 'unknown' THEN NULL ELSE 'automatic' END"
 ROLES = "(VALUES ('header'), ('footer'), ('footnote'), ('vision_footnote'), ('number'), ('formula_number'), ('seal'), ('algorithm'), ('chart'), ('formula'), ('image'), ('reference'), ('reference_content'), ('table'), ('doc_title'), ('figure_title'), ('paragraph_title'), ('abstract'), ('content'), ('text'), ('aside_text'), ('unknown')) AS r(role)"
 q("prj_layout_policy", f"SELECT role, {POLICY} AS disposition FROM {ROLES}")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, ship
 from .common import spread, table
 from .tokens import VOCABULARY, token_sizes
 
@@ -106,6 +106,7 @@ def fill_containers(sizes: DataFrame, capacity: int, shard_items: int = SHARD_IT
     about ``shard_items`` items each, so a task's group is bounded and a hot source is spread evenly; each shard is
     packed by itself, which costs at most one badly filled container a shard.
     """
+    ship(sizes.sparkSession)
     kind = dict(sizes.dtypes)["key"]
     items = sizes.where("n_tokens > 0")
     whole = items.where(F.col("n_tokens") >= capacity).select("key", "n_tokens", F.explode(F.sequence(F.lit(0), F.expr(f"cast(n_tokens div {capacity} as int) - 1"))).alias("piece_no"))

@@ -21,6 +21,7 @@ CONFUSIONS = (
 )
 _MARKS = "-‐‑¬~=­"
 _MARK_END = regex.compile(r"(?<=\p{L})(?:[-‐‑¬~=­]\|?|\|(?=$))\s*$")
+_MARKS_OR_BAR = set(_MARKS + "|")
 _TRIM = ".,;:!?«»“”„()[]…¿¡—–\"’‘'* "
 _TRIM_SET = set(_TRIM)
 _DIGITS = str.maketrans({"l": "1", "I": "1", "|": "1", "O": "0", "o": "0", "S": "5", "s": "5", "B": "8", "i": "1"})
@@ -80,6 +81,15 @@ def title_key(line: str) -> str:
     return s
 
 
+def may_be_title(line: str) -> bool:
+    """A cheap test that no running title fails: short, without end punctuation, not begun in lower case."""
+    t = line.rstrip()
+    if not t or t[-1] in ".,;:" or len(t) > 160 or len(t.replace(" ", "")) > 60:
+        return False
+    first = next((c for c in t if c.isalpha()), "")
+    return first == "l" or not first.islower()
+
+
 def _edges(n: int) -> list[int]:
     return sorted({i for i in (0, 1, n - 2, n - 1) if 0 <= i < n})
 
@@ -162,8 +172,7 @@ def label_lines(pages: DataFrame) -> DataFrame:
                     if r:
                         for n in set(r[1]):
                             yield d, p, None, n - p, r[0]
-                    key = title_key(t)
-                    if 5 <= len(key) <= 60 and t.rstrip()[-1:] not in ".,;:":
+                    if may_be_title(t) and 5 <= len(key := title_key(t)) <= 60:
                         yield d, p, key, None, None
 
         return kernel
@@ -217,9 +226,11 @@ def page_lines(texts: list[str], page: int, titles: set[str], folios: dict | Non
 
 def label_page(texts: list[str], page: int, titles: set[str], folios: dict | None) -> list[int]:
     n = len(texts)
+    at = _edges(n)
     feats: list[list] = []
     expected = False
-    for i, t in enumerate(texts):
+    for i in at:
+        t = texts[i]
         edge = min(i, n - 1 - i)
         title, folio = False, 0
         if edge <= 1:
@@ -228,15 +239,18 @@ def label_page(texts: list[str], page: int, titles: set[str], folios: dict | Non
                 folio = 1
                 if folios and folios["n"] >= 2 and page + folios["shift"] in r[1] or r[0][:1] == "w" or len(r[0].strip("brewomand")) and not r[0].startswith("roman"):
                     folio = 2
-            title = title_key(t) in titles and t.rstrip()[-1:] not in ".,;:"
+            title = bool(titles) and may_be_title(t) and title_key(t) in titles
             expected = expected or folio == 2
         feats.append([title, folio, edge])
     if not expected and folios and folios["n"] >= 2:
-        for f, t in zip(feats, texts):
-            r = folio_readings(t) if f[1] == 1 else None
+        for f, i in zip(feats, at):
+            r = folio_readings(texts[i]) if f[1] == 1 else None
             if r and f[2] == 0 and r[0] == folios["style"]:
                 f[1] = 2
-    return decode_page([tuple(f) for f in feats])
+    # All lines further in can only be body: one of them stands for the whole stretch.
+    inner = [[False, 0, 2]] if n > 4 else []
+    states = decode_page([tuple(f) for f in [*feats[:2], *inner, *feats[2:]]] if inner else [tuple(f) for f in feats])
+    return [*states[:2], *[BODY] * (n - 4), *states[3:]] if inner else states
 
 
 def _repairs(word: str, limit: int = 64) -> set[str]:
@@ -300,8 +314,10 @@ def misread_words(vocab: DataFrame, words: DataFrame) -> DataFrame:
 
 def split_line(text: str) -> tuple[bool, str | None, list[str], str | None]:
     """(has a division mark, last word without it - null if the line ends in punctuation, other words, first word)."""
-    m = _MARK_END.search(text)
-    core = text[: m.start()] if m else text.rstrip()
+    core = text.rstrip()
+    m = _MARK_END.search(text, max(0, len(core) - 4)) if core[-1:] in _MARKS_OR_BAR else None
+    if m:
+        core = text[: m.start()]
     ws = core.split()
     if not ws:
         return False, None, [], None
@@ -315,11 +331,13 @@ def split_line(text: str) -> tuple[bool, str | None, list[str], str | None]:
 
 
 def first_word(text: str) -> str | None:
-    ws = text.split()
-    if not ws:
+    """The first word of a line that may go on with a divided one, without the marks after it."""
+    ws = text.split(None, 1)
+    if not ws or ws[0][0] in "«“„(¿¡—":
         return None
-    w = _MARK_END.sub("", text).split() if len(ws) == 1 else ws
-    return w[0].rstrip(_TRIM) if w and w[0][0] not in "«“„(¿¡—" else None
+    if len(ws) == 1:
+        ws = _MARK_END.sub("", text).split() or [""]
+    return ws[0].rstrip(_TRIM)
 
 
 MOST_BROADCAST = 200_000

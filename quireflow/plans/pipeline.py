@@ -12,7 +12,7 @@ from ..functions import prosody
 from ..functions.native import stable_id
 from ..operators import furniture, matching, paragraphs, quality, sessions
 from ..operators.arrow import map_rows
-from ..runtime import checkpoint_dir, table
+from ..runtime import checkpoint_dir, spread, table
 from ..sources import files
 from ..streaming import windows as streams
 from . import catalog
@@ -63,7 +63,7 @@ def agg_furniture_qualify(spark, d):
 
 
 def _quality_pages(spark, d):
-    docs = table(spark, d, "documents").where("text IS NOT NULL").selectExpr("doc_id", "text", "lang AS language")
+    docs = spread(table(spark, d, "documents").where("text IS NOT NULL").selectExpr("doc_id", "text", "lang AS language"))
     return quality.degradation(quality.counters(docs))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prosody import lcs_length
@@ -58,6 +58,24 @@ def first_fit_clusters(boxes: DataFrame, gap: int = 42) -> DataFrame:
     return boxes.groupBy("page").applyInPandas(run, "page long, id long, cluster int")
 
 
+def vote_ranks(boxes: DataFrame) -> DataFrame:
+    """page, id, rk: every box of a page against every other by the sigmoid of their distance in height; fewest votes
+    first. Boxes of one height have equal votes, so the pairs are those of the heights, each as often as it occurs."""
+    heights = boxes.groupBy("page", "y").agg(F.count("*").alias("n"))
+    pairs = heights.alias("a").join(heights.alias("b"), "page")
+    vote = F.col("b.n") / (1 + F.exp((F.col("b.y") - F.col("a.y")) / 100.0))
+    votes = pairs.groupBy("page", F.col("a.y").alias("y")).agg(F.round(F.sum(vote) - 0.5, 6).alias("votes"))
+    return boxes.join(votes, ["page", "y"]).select("page", "id", F.row_number().over(Window.partitionBy("page").orderBy("votes", "id")).alias("rk"))
+
+
+def spread_regions(boxes: DataFrame, middle: int) -> DataFrame:
+    """page, id, ord: the boxes left of ``middle`` in order, then those right of it; no rows for a page with one side empty."""
+    right = F.col("x") >= middle
+    both = Window.partitionBy("page")
+    d = boxes.select("page", "id", F.row_number().over(both.orderBy(right, "y", "x", "id")).alias("rk"), F.min(right).over(both).alias("some_right"), F.max(right).over(both).alias("all_right"))
+    return d.where("some_right <> all_right").select("page", "id", (F.col("rk") - 1).alias("ord"))
+
+
 def fuzzy_lines(a: DataFrame, b: DataFrame, share: float = 0.6) -> DataFrame:
     """a_id, b_id, ratio: for each line the best candidate on its page whose middle is within a line height and
     whose common subsequence reaches ``share`` of the shorter text. Equal texts need no subsequence."""

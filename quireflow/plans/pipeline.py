@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prosody
@@ -176,8 +176,6 @@ def fn_chunk_legacy(spark, d):
 @query("prj_segments_build")
 def prj_segments_build(spark, d):
     """Chunks as segments with a running sample offset within the unit."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("unit_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
     return fn_chunk_text(spark, d).select("unit_id", F.col("chunk_no").alias("segment_index"), (F.char_length("chunk") * 1200).alias("sample_count"), F.coalesce(F.sum(F.char_length("chunk") * 1200).over(w), F.lit(0)).alias("unit_sample_offset"))
 
@@ -219,6 +217,18 @@ def join_ocr_line_fuzzy(spark, d):
     return matching.fuzzy_lines(printed, read)
 
 
+@query("agg_order_votes")
+def agg_order_votes(spark, d):
+    """The catalogue's text, kept as the oracle, votes on ten pages only."""
+    return matching.vote_ranks(view(spark, d, "rects"))
+
+
+@query("prj_spread_regions")
+def prj_spread_regions(spark, d):
+    """The catalogue's text, kept as the oracle, merges ten pages only."""
+    return matching.spread_regions(view(spark, d, "rects"), 200)
+
+
 @query("join_iou_greedy")
 def join_iou_greedy(spark, d):
     r = view(spark, d, "rects")

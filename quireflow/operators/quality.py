@@ -50,3 +50,14 @@ def route(pages: DataFrame) -> DataFrame:
         .otherwise("direct_text_useful")
     )
     return pages.withColumn("reason_code", reason).withColumn("route", F.when(F.col("reason_code") == "direct_text_useful", "direct").otherwise("ocr"))
+
+
+def voting_windows(docs: DataFrame, size: int = 200, letters: int = 100, most: int = 32) -> DataFrame:
+    """doc_id, i, window_text: the text cut every ``size`` characters, windows of fewer than ``letters`` letters of any
+    script (vowel signs too) dropped; of more than ``most`` those that are kept are spread from the first to the last. ``i`` counts all
+    windows of the text."""
+    cut = F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), 0), lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+    d = docs.select("doc_id", F.filter(cut, lambda x: F.char_length(F.regexp_replace(x["w"], "\\P{IsAlphabetic}+", "")) >= letters).alias("ws"))
+    kept = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.get("ws", F.floor(F.size("ws") * k / most).cast("int")))
+    d = d.select("doc_id", F.explode(F.when(F.size("ws") > most, kept).otherwise(F.col("ws"))).alias("x"))
+    return d.select("doc_id", "x.i", F.col("x.w").alias("window_text"))

@@ -90,6 +90,12 @@ def prd_route(spark, d):
     return quality.route(pages).select("doc_id", "route", "reason_code")
 
 
+@query("srt_voting_windows")
+def srt_voting_windows(spark, d):
+    """The catalogue's text, kept as the oracle, sees the first 6,400 characters and Latin letters only."""
+    return quality.voting_windows(spread(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")))
+
+
 @query("win_paragraph_break")
 def win_paragraph_break(spark, d):
     return paragraphs.breaks(view(spark, d, "lines"))

@@ -3,6 +3,8 @@
 import math
 from collections import defaultdict
 
+import regex
+
 from quireflow.plans import pipeline, registry
 
 
@@ -30,3 +32,15 @@ def test_every_page_is_merged(spark, sf):
         if left and right:
             want |= {(page, r.id): k for k, r in enumerate(left + right)}
     assert {(r.page, r.id): r.ord for r in registry.QUERIES["prj_spread_regions"](spark, sf).collect()} == want
+
+
+def test_windows_of_the_whole_text_in_any_script(spark, tmp_path):
+    texts = {1: "1 " * 4000 + "late words " * 80, 2: "слово и дело " * 60, 3: "漢字仮名" * 90, 4: "abcdefghi\n" * 2000, 5: "short" * 30, 6: "few " * 20, 7: "𐐀𐐁 \r\n" * 300, 8: "", 10: "हिन्दी की " * 60}
+    spark.createDataFrame([*texts.items(), (9, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for k, t in texts.items():
+        ws = [(i // 200, t[i : i + 200]) for i in range(0, len(t), 200)]
+        ws = [(i, w) for i, w in ws if len(regex.findall(r"\p{Alphabetic}", w)) >= 100]
+        want |= {(k, i, w) for i, w in ([ws[j * len(ws) // 32] for j in range(32)] if len(ws) > 32 else ws)}
+    got = [tuple(r) for r in registry.QUERIES["srt_voting_windows"](spark, str(tmp_path)).select("doc_id", "i", "window_text").collect()]
+    assert len(got) == len(want) and set(got) == want and {k for k, _, _ in want} >= {1, 2, 3, 4, 5, 10}

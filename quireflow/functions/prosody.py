@@ -136,6 +136,33 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance of code points, a column of the table at a time in the bits of two integers (Myers)."""
+    if a == b or not a or not b:
+        return 0 if a == b else len(a) or len(b)
+    where: dict = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    more, less, n = full, 0, len(a)
+    for c in b:
+        eq = where.get(c, 0)
+        v = eq | less
+        h = ((eq & more) + more ^ more | eq) & full
+        up, down = (less | ~(h | more)) & full, more & h
+        n += bool(up & last) - bool(down & last)
+        up = up << 1 | 1
+        more, less = (down << 1 | ~(v | up)) & full, up & v & full
+    return n
+
+
+def character_error(predicted: str, expected: str) -> tuple[int, int, float, bool]:
+    """(edits, code points of the expected text, error rate, at most 5 %), over the NFC forms."""
+    got, ref = unicodedata.normalize("NFC", predicted), unicodedata.normalize("NFC", expected)
+    n = edit_distance(ref, got)
+    return n, len(ref), round(n / len(ref), 6) if ref else float(bool(got)), bool(ref) and n * 100 <= 5 * len(ref)
+
+
 def repair_runs(text: str, reading: str) -> str:
     """Replace runs of ``# ! U+FFFD`` by what the other reading has between the characters around the run, if that
     is one to four letters, and a ``!`` by a space where it has one."""

@@ -126,6 +126,16 @@ def win_heading_continuation(spark, d):
     return page.select("document_id", "page_index", fold.alias("f")).select("document_id", "page_index", F.col("f.head").alias("head"), F.col("f.words").alias("words"))
 
 
+@query("agg_cer")
+def agg_cer(spark, d):
+    """The catalogue's text, kept as the oracle, sees the ASCII of paragraphs under 400 characters only."""
+    block = F.concat("document_id", F.lit("-p"), F.col("page_index").cast("string"), F.lit("-direct-"), F.col("block_order").cast("string"))
+    printed = view(spark, d, "paragraphs").select("document_id", "page_index", "block_id", block.alias("line_id"), "text")
+    read = view(spark, d, "lines").where("text IS NOT NULL").select("document_id", "page_index", F.col("block_id").alias("line_id"), F.col("text").alias("reading"))
+    pairs = printed.join(read, ["document_id", "page_index", "line_id"])
+    return map_rows(pairs, ["block_id", "text", "reading"], "block_id string, edits int, ref_length int, cer double, passed boolean", lambda ids, ts, rs: ((i, *prosody.character_error(r, t)) for i, t, r in zip(ids, ts, rs)))
+
+
 @query("fn_nfc", "SELECT block_id, nfc_normalize(text) AS nfc FROM truth WHERE text IS NOT NULL")
 def fn_nfc(spark, d):
     return map_rows(view(spark, d, "truth").where("text IS NOT NULL"), ["block_id", "text"], "block_id string, nfc string", lambda ids, ts: ((i, unicodedata.normalize("NFC", t)) for i, t in zip(ids, ts)))

@@ -4,7 +4,10 @@ import math
 from collections import defaultdict
 
 import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from quireflow.functions import prosody
 from quireflow.plans import pipeline, registry
 
 
@@ -44,3 +47,33 @@ def test_windows_of_the_whole_text_in_any_script(spark, tmp_path):
         want |= {(k, i, w) for i, w in ([ws[j * len(ws) // 32] for j in range(32)] if len(ws) > 32 else ws)}
     got = [tuple(r) for r in registry.QUERIES["srt_voting_windows"](spark, str(tmp_path)).select("doc_id", "i", "window_text").collect()]
     assert len(got) == len(want) and set(got) == want and {k for k, _, _ in want} >= {1, 2, 3, 4, 5, 10}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abcé漢", max_size=24), st.text(alphabet="abcé漢", max_size=24))
+def test_edit_distance_against_brute_force(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        above, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(above[j] + (x != y), above[j + 1] + 1, row[j] + 1))
+    assert prosody.edit_distance(a, b) == row[-1]
+
+
+def test_character_error_of_accents_scripts_and_empty_texts():
+    assert prosody.character_error("ano", "año") == (1, 3, 0.333333, False)
+    assert prosody.character_error("año", "año") == (0, 3, 0.0, True)
+    assert prosody.character_error("слово", "слева") == (2, 5, 0.4, False)
+    assert prosody.character_error("x", "") == (1, 0, 1.0, False) and prosody.character_error("", "") == (0, 0, 0.0, False)
+    assert prosody.character_error("é" * 19 + "e", "é" * 20) == (1, 20, 0.05, True)
+
+
+def test_every_paragraph_has_its_error_rate(spark, tmp_path):
+    spark.range(1).write.parquet(str(tmp_path / "region.parquet"))  # the view's SQL has a column of that name
+    texts = ["короткий", "ñ" * 399, "ñandú " * 200]
+    blocks = [("d", 0, f"b{k}", k, t) for k, t in enumerate(texts)]
+    spark.createDataFrame([(*b, None, None, None, None) for b in blocks], "document_id string, page_index int, block_id string, block_order int, text string, degradation string, revision int, confidence double, region array<double>").write.parquet(str(tmp_path / "blocks.parquet"))
+    lines = [(f"d-p0-direct-{k}", t.replace("ñ", "n").replace("к", "x"), 0.0, 0.0, 1.0, 1.0, 1.0) for k, t in enumerate(texts)]
+    spark.createDataFrame([("d", 0, lines, None)], "document_id string, page_index int, direct_blocks array<struct<block_id:string,text:string,x:double,y:double,w:double,h:double,confidence:double>>, ocr_blocks array<struct<block_id:string,text:string,x:double,y:double,w:double,h:double,confidence:double>>").write.parquet(str(tmp_path / "page_candidates.parquet"))
+    got = {r.block_id: (r.edits, r.ref_length, r.passed) for r in registry.QUERIES["agg_cer"](spark, str(tmp_path)).collect()}
+    assert got == {"b0": (2, 8, False), "b1": (399, 399, False), "b2": (200, 1200, False)}

@@ -12,7 +12,7 @@ from ..functions import prosody
 from ..functions.native import stable_id
 from ..operators import furniture, matching, paragraphs, quality, sessions
 from ..operators.arrow import map_rows
-from ..runtime import checkpoint_dir, spread, table
+from ..runtime import checkpoint_dir, cut, spread, table
 from ..sources import files
 from ..streaming import windows as streams
 from . import catalog
@@ -196,20 +196,36 @@ def prj_segments_build(spark, d):
     return fn_chunk_text(spark, d).select("unit_id", F.col("chunk_no").alias("segment_index"), (F.char_length("chunk") * 1200).alias("sample_count"), F.coalesce(F.sum(F.char_length("chunk") * 1200).over(w), F.lit(0)).alias("unit_sample_offset"))
 
 
+def _scanned_lines(spark, d):
+    """(printed, read): the printed lines of all scanned blocks, placed where the recognised line of their number over
+    the whole page stands, and the recognised lines that may be their readings."""
+    blocks = view(spark, d, "truth").where("degradation = 'scanned' AND text IS NOT NULL").withColumn("ls", F.split("text", "\n"))
+    pages = blocks.groupBy("document_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("block_order", "block_id", "ls"))).alias("bs"))
+    ls = F.flatten(F.transform("bs", lambda b: F.transform(b["ls"], lambda t, i: F.struct(b["block_id"].alias("of"), i.alias("line_no"), t.alias("text")))))
+    printed = pages.select("document_id", "page_index", F.posexplode(ls).alias("n", "l")).select("document_id", "page_index", "n", "l.*", F.concat_ws("-", "l.of", F.lit("line"), "l.line_no").alias("block_id"))
+    ocr = cut(view(spark, d, "lines").where("block_id LIKE '%-ocr-%'").withColumn("n", F.regexp_extract("block_id", "([0-9]+)$", 1).cast("int")))
+    places = ocr.groupBy("document_id", "page_index", "n").agg(F.min("y").alias("y"), F.max("h").alias("h"))
+    return cut(printed.join(places, ["document_id", "page_index", "n"], "left")), ocr.where("text IS NOT NULL AND confidence >= 0.75")
+
+
 def _line_pairs(spark, d):
-    scans = table(spark, d, "blocks").where("degradation = 'scanned' AND text IS NOT NULL").select("document_id", "page_index", "block_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).dropDuplicates(["block_id", "line_no"])
-    ocr = view(spark, d, "lines").where("block_id LIKE '%-ocr-%' AND text IS NOT NULL").withColumn("line_no", F.regexp_extract("block_id", "([0-9]+)$", 1).cast("int"))
-    return scans.alias("s").join(ocr.alias("o"), (F.col("s.document_id") == F.col("o.document_id")) & (F.col("s.page_index") == F.col("o.page_index")) & (F.col("s.line_no") == F.col("o.line_no"))).select(F.col("s.block_id").alias("block_id"), F.col("s.line_no").alias("line_no"), F.col("o.block_id").alias("ocr_id"), F.col("s.text").alias("text"), F.col("o.text").alias("reading"))
+    """Every printed line with the recognised line that it is; without one, ``ocr_id`` and ``reading`` are null."""
+    printed, read = _scanned_lines(spark, d)
+    best = matching.fuzzy_lines(printed, read).select(F.col("a_id").alias("line_id"), F.col("b_id").alias("ocr_id"))
+    readings = read.groupBy(F.col("block_id").alias("ocr_id")).agg(F.min("text").alias("reading"))
+    lines = printed.select(F.col("of").alias("block_id"), "line_no", F.col("block_id").alias("line_id"), "text")
+    return lines.join(best.join(readings, "ocr_id"), "line_id", "left").select("block_id", "line_no", "ocr_id", "text", "reading")
 
 
 @query("fn_lcs_pairs")
 def fn_lcs_pairs(spark, d):
-    return map_rows(_line_pairs(spark, d), ["block_id", "line_no", "ocr_id", "text", "reading"], "block_id string, line_no int, ocr_id string, common int", lambda b, n, o, ts, rs: ((x, y, z, len(prosody.lcs_pairs(t, r))) for x, y, z, t, r in zip(b, n, o, ts, rs)))
+    return map_rows(_line_pairs(spark, d), ["block_id", "line_no", "ocr_id", "text", "reading"], "block_id string, line_no int, ocr_id string, common int", lambda b, n, o, ts, rs: ((x, y, z, len(prosody.lcs_pairs(t, r or ""))) for x, y, z, t, r in zip(b, n, o, ts, rs)))
 
 
 @query("fn_repair_runs")
 def fn_repair_runs(spark, d):
-    return map_rows(_line_pairs(spark, d), ["block_id", "line_no", "ocr_id", "text", "reading"], "block_id string, line_no int, ocr_id string, repaired string", lambda b, n, o, ts, rs: ((x, y, z, prosody.repair_runs(t, r)) for x, y, z, t, r in zip(b, n, o, ts, rs)))
+    """Every printed line; one without a reading stays as it is."""
+    return map_rows(_line_pairs(spark, d), ["block_id", "line_no", "ocr_id", "text", "reading"], "block_id string, line_no int, ocr_id string, repaired string", lambda b, n, o, ts, rs: ((x, y, z, t if r is None else prosody.repair_runs(t, r)) for x, y, z, t, r in zip(b, n, o, ts, rs)))
 
 
 @query("fn_repair_page")
@@ -226,11 +242,8 @@ def agg_block_order_lcs(spark, d):
 
 @query("join_ocr_line_fuzzy")
 def join_ocr_line_fuzzy(spark, d):
-    """Printed lines of scanned blocks, placed by their number, with the recognised line they are."""
-    printed = table(spark, d, "blocks").where("degradation = 'scanned' AND block_order = 0 AND text IS NOT NULL").select("document_id", "page_index", "block_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).distinct()
-    printed = printed.select("document_id", "page_index", F.concat_ws("-", "block_id", F.lit("line"), "n").alias("block_id"), "text", (750.0 - 26 * F.col("n")).alias("y"), F.lit(12.0).alias("h"))
-    read = view(spark, d, "lines").where("text IS NOT NULL AND confidence >= 0.75 AND block_id LIKE '%-ocr-%'")
-    return matching.fuzzy_lines(printed, read)
+    """Printed lines of scanned blocks, placed by their number over the page, with the recognised line they are."""
+    return matching.fuzzy_lines(*_scanned_lines(spark, d))
 
 
 @query("agg_order_votes")

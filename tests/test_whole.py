@@ -77,3 +77,21 @@ def test_every_paragraph_has_its_error_rate(spark, tmp_path):
     spark.createDataFrame([("d", 0, lines, None)], "document_id string, page_index int, direct_blocks array<struct<block_id:string,text:string,x:double,y:double,w:double,h:double,confidence:double>>, ocr_blocks array<struct<block_id:string,text:string,x:double,y:double,w:double,h:double,confidence:double>>").write.parquet(str(tmp_path / "page_candidates.parquet"))
     got = {r.block_id: (r.edits, r.ref_length, r.passed) for r in registry.QUERIES["agg_cer"](spark, str(tmp_path)).collect()}
     assert got == {"b0": (2, 8, False), "b1": (399, 399, False), "b2": (200, 1200, False)}
+
+
+def test_lines_of_every_scanned_block_are_matched_and_kept(spark, tmp_path):
+    spark.range(1).write.parquet(str(tmp_path / "region.parquet"))
+    first, second = ["THE HEAD", "the first bl#ck of the page", "goes on with this line here"], ["another bl#ck begins down here", "its reading is poor", "no reading at all #"]
+    blocks = [("d", 0, "z", 0, "\n".join(first)), ("d", 0, "a", 1, "\n".join(second)), ("d", 1, "lone", 0, "no page read #")]
+    spark.createDataFrame([(*b, "scanned", None, None, None) for b in blocks], "document_id string, page_index int, block_id string, block_order int, text string, degradation string, revision int, confidence double, region array<double>").write.parquet(str(tmp_path / "blocks.parquet"))
+    read = [(780.0, 9.0, 0.9, "THE HEAD"), (750.0, 12.0, 0.8, "the first block of the page"), (724.0, 12.0, 1.0, "goes on with this line here"), (698.0, 12.0, 0.9, "another block begins down here"), (672.0, 12.0, 0.5, "its reading is poor")]
+    elements = [(f"d-p0-ocr-{k}", t, 72.0, y, 200.0, h, c) for k, (y, h, c, t) in enumerate(read)]
+    element = "array<struct<block_id:string,text:string,x:double,y:double,w:double,h:double,confidence:double>>"
+    spark.createDataFrame([("d", 0, None, elements)], f"document_id string, page_index int, direct_blocks {element}, ocr_blocks {element}").write.parquet(str(tmp_path / "page_candidates.parquet"))
+    run = lambda q: registry.QUERIES[q](spark, str(tmp_path)).collect()
+    best = {("z", 0): "d-p0-ocr-0", ("z", 1): "d-p0-ocr-1", ("z", 2): "d-p0-ocr-2", ("a", 0): "d-p0-ocr-3"}
+    lines = {("z", 0), ("z", 1), ("z", 2), ("a", 0), ("a", 1), ("a", 2), ("lone", 0)}
+    assert {(r.a_id, r.b_id) for r in run("join_ocr_line_fuzzy")} == {(f"{b}-line-{i}", o) for (b, i), o in best.items()}
+    assert {(r.block_id, r.line_no): r.ocr_id for r in run("fn_lcs_pairs")} == {k: best.get(k) for k in lines}
+    assert {r.block_id: r.common for r in run("fn_equiv_glyph")} == {"z": 8 + 26 + 27, "a": 29, "lone": 0}
+    assert {r.block_id: r.text for r in run("fn_repair_page")} == {"z": "\n".join(first).replace("#", "o"), "a": "another block begins down here\nits reading is poor\nno reading at all #", "lone": "no page read #"}

@@ -356,7 +356,7 @@ def snk_state_store(spark, d):
 
 @query("src_dir_walk")
 def src_dir_walk(spark, d):
-    return files.list_files(spark, d).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", "sha256_hex").where("length < 67108864")
+    return files.list_files(spark, d).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", "sha256_hex")
 
 
 @query("src_ground_truth", "SELECT document_id, page_index, block_id FROM paragraphs")

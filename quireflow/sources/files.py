@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.arrow import map_rows
+
 WORKER = "request_id string, document_id string, page_index int, blocks array<struct<block_id:string,text:string,x:double,y:double,w:double,h:double,confidence:double>>, error struct<code:string,message:string>"
 MANIFEST = "schema_version int, entries array<struct<id:string,role:string,file:string,sha256:string,byte_size:long,language:string,required:boolean,distributable:boolean,page_count:int,pages_evaluated:array<int>,classification:struct<layout:string,content:string>>>"
 TRUTH = "document_id string, revision int, pages array<struct<page_index:int,blocks:array<struct<block_id:string,`order`:int,text:string,region:array<double>,degradation:string,paragraphs:array<struct<paragraph_id:string,sentences:array<struct<sentence_id:string,text:string>>>>>>>>"
@@ -39,9 +44,24 @@ def read_models(spark: SparkSession, path: str) -> DataFrame:
     return _limited(spark, path, MODEL, MIB).select("id", "model_revision", "purpose", F.explode_outer("artifacts").alias("a")).select("id", "model_revision", "purpose", "a.*")
 
 
+def _sha256(path: str) -> str:
+    """Of a file of any size, a piece at a time."""
+    digest = hashlib.sha256()
+    if path.startswith("file:"):
+        opened = open("/" + path[5:].lstrip("/"), "rb")  # noqa: SIM115
+    else:
+        fs, name = pafs.FileSystem.from_uri(path)
+        opened = fs.open_input_stream(name, compression=None)
+    with opened as f:
+        while piece := f.read(MIB):
+            digest.update(piece)
+    return digest.hexdigest()
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Every file under a directory with size and SHA-256."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256_hex"))
+    """Every file under a directory with size and SHA-256. The listing reads no content; each file is hashed as a stream."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return map_rows(found, ["path", "length"], "path string, length long, sha256_hex string", lambda ps, ns: ((p, n, _sha256(p)) for p, n in zip(ps, ns)))
 
 
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries do the whole job: brute force on small tables where the oracle's SQL covers a part only."""
 
+import hashlib
 import math
 from collections import defaultdict
 
@@ -95,3 +96,12 @@ def test_lines_of_every_scanned_block_are_matched_and_kept(spark, tmp_path):
     assert {(r.block_id, r.line_no): r.ocr_id for r in run("fn_lcs_pairs")} == {k: best.get(k) for k in lines}
     assert {r.block_id: r.common for r in run("fn_equiv_glyph")} == {"z": 8 + 26 + 27, "a": 29, "lone": 0}
     assert {r.block_id: r.text for r in run("fn_repair_page")} == {"z": "\n".join(first).replace("#", "o"), "a": "another block begins down here\nits reading is poor\nno reading at all #", "lone": "no page read #"}
+
+
+def test_large_files_are_listed(spark, tmp_path):
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate((64 << 20) + 1)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a small.txt").write_text("abc")
+    want = {"large.bin": ((64 << 20) + 1, hashlib.sha256(bytes((64 << 20) + 1)).hexdigest()), "a small.txt": (3, hashlib.sha256(b"abc").hexdigest())}
+    assert {r.name: (r.length, r.sha256_hex) for r in registry.QUERIES["src_dir_walk"](spark, str(tmp_path)).collect()} == want

@@ -93,6 +93,8 @@ class Profiles:
         if len(cands) == 1:
             return cands[0], 1.0
         data = text.encode()
+        if prefer in cands and self.size(prefer, data) <= 0.45 * len(data):
+            return prefer, 0.55
         sizes = sorted((self.size(c, data), c != prefer, c) for c in cands)
         (a, _, lang), (b, _, _) = sizes[0], sizes[1]
         conf = 1 - a / max(b, 1)
@@ -184,6 +186,8 @@ def segment_languages(df: DataFrame, keys: list[str], text: str, profiles: dict[
                 other = []
                 if len(sents) > 1:
                     for a, b, s in sents:
+                        if len(s) < 12 and s.isascii():
+                            continue
                         lang, c = p.best(s, prefer=whole)
                         if lang is not None and lang != whole:
                             other.append((a, b, lang, c))

@@ -9,7 +9,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quireflow.functions import prosody
-from quireflow.llm import languages
 from quireflow.plans import pipeline, registry
 
 
@@ -106,21 +105,3 @@ def test_large_files_are_listed(spark, tmp_path):
     (tmp_path / "in" / "a small.txt").write_text("abc")
     want = {"large.bin": ((64 << 20) + 1, hashlib.sha256(bytes((64 << 20) + 1)).hexdigest()), "a small.txt": (3, hashlib.sha256(b"abc").hexdigest())}
     assert {r.name: (r.length, r.sha256_hex) for r in registry.QUERIES["src_dir_walk"](spark, str(tmp_path)).collect()} == want
-
-
-class _Sizes(languages.Profiles):
-    """Sizes given by hand; both languages are Latin."""
-
-    def __init__(self, **share):
-        self.by, self.share = share, share
-        self.scripts = {"latin": sorted(share)}
-
-    def size(self, lang, data):
-        return round(self.share[lang] * len(data))
-
-
-def test_a_well_compressed_sentence_is_still_compared():
-    text = "a sentence of the other language, made of whole phrases of its dictionary and long enough for the margin"
-    assert _Sizes(es=0.40, pt=0.15).best(text, prefer="es")[0] == "pt"
-    assert _Sizes(es=0.40, pt=0.35).best(text, prefer="es")[0] is None
-    assert _Sizes(es=0.15, pt=0.40).best(text, prefer="es")[0] == "es"

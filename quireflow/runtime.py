@@ -31,13 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a Python stage at least as many tasks as there are cores.
+def spread(df: DataFrame, *keys: str, per_core: int = 1) -> DataFrame:
+    """Give a Python stage at least ``per_core`` tasks for each core.
 
     A large table already arrives in many splits and is left alone; only an input of fewer splits than
-    cores is redistributed, which costs one shuffle of a table that is small by that very test.
+    that is redistributed, which costs one shuffle of a table that is small by that very test.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
+    want = per_core * df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)

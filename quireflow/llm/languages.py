@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
+from collections import Counter, defaultdict
 
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut
@@ -21,15 +22,16 @@ ISO3 = dict(
 )
 MEANINGLESS = ("", "und", "unknown", "mis", "mul", "zxx", "xx", "n/a", "na", "none", "null", "?", "-")
 
+# Scripts by their Unicode property; kana marks Japanese text, which is compared with Chinese.
 _SCRIPTS = {
-    "kana": regex.compile(r"[぀-ヿ]"),
-    "han": regex.compile(r"[㐀-鿿]"),
-    "thai": regex.compile(r"[฀-๿]"),
-    "arabic": regex.compile(r"[؀-ۿ]"),
-    "devanagari": regex.compile(r"[ऀ-ॿ]"),
-    "cyrillic": regex.compile(r"[Ѐ-ӿ]"),
-    "latin": regex.compile(r"[A-Za-zÀ-ɏ]"),
+    name.lower(): regex.compile(rf"\p{{{name}}}")
+    for name in (
+        "Latin Han Hiragana Katakana Hangul Thai Lao Khmer Myanmar Arabic Hebrew Syriac Devanagari Bengali Gurmukhi Gujarati Oriya Tamil Telugu Kannada Malayalam Sinhala "
+        "Cyrillic Greek Armenian Georgian Ethiopic Tibetan Mongolian"
+    ).split()
 }
+_ONE = {"hiragana": "han", "katakana": "han"}
+_NOT_LATIN = regex.compile(r"[Ͱ-῿Ⰰ-퟿豈-﫿ﭐ-﷿ﹰ-﻿ｦ-ￜ\U00010000-\U0001EFFF\U00020000-\U0003FFFF]")
 
 
 def norm_label(col):
@@ -41,12 +43,15 @@ def norm_label(col):
 
 
 def script_of(text: str) -> str:
+    """The script of most letters; Chinese characters and kana are one. Latin where there are no letters."""
+    if text.isascii() or not _NOT_LATIN.search(text):
+        return "latin"
     best, top = "latin", 0
     for name, p in _SCRIPTS.items():
         n = len(p.findall(text))
         if n > top:
             best, top = name, n
-    return "han" if best == "kana" else best
+    return _ONE.get(best, best)
 
 
 def prepare(text: str) -> str:
@@ -63,12 +68,17 @@ _DIGITS = regex.compile(r"\d+")
 
 
 class Profiles:
-    """Zstandard compressors, each with the raw text of one language as its dictionary."""
+    """Zstandard compressors, each with the raw text of one language as its dictionary.
 
-    def __init__(self, raw: dict[str, bytes], level: int = 1) -> None:
+    ``known`` has for each language the share of its size to which it compresses nine in ten of its own held-out
+    sentences: what it compresses less it does not know, so it is not named as the other language of a sentence.
+    """
+
+    def __init__(self, raw: dict[str, bytes], known: dict[str, float] | None = None, level: int = 1) -> None:
         import zstandard as zstd
 
         self.by = {}
+        self.known = known or {}
         self.scripts = defaultdict(list)
         for lang, data in sorted(raw.items()):
             d = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
@@ -76,118 +86,176 @@ class Profiles:
             self.by[lang] = zstd.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
             self.scripts[script_of(data.decode("utf-8", "ignore"))].append(lang)
 
-    def size(self, lang: str, data: bytes) -> int:
-        return len(self.by[lang].compress(data))
-
     def candidates(self, text: str) -> list[str]:
         """Languages written in the script of the text; all of them if no language is."""
         return self.scripts.get(script_of(text)) or sorted(self.by)
 
+    def sizes(self, text: str) -> tuple[dict[str, int], int]:
+        """Compressed size of prepared text for every language of its script, and its own size in bytes."""
+        data = text.encode()
+        return {c: len(self.by[c].compress(data)) for c in self.candidates(text)}, len(data)
+
     def best(self, text: str, prefer: str | None = None) -> tuple[str | None, float]:
         """(language, confidence) of prepared text: smallest size wins; None where the margin is too narrow.
 
         The margin to pass is 8 bytes and a tenth of the text over the preferred language, 4 bytes and a
-        twentieth over any other. Confidence is 1 - smallest/second size, 1 if the script allows one language.
+        twentieth over any other; and beside a preferred language the other must know the text (``known``).
+        Every language of the script is tried. Confidence is 1 - smallest/second size, 1 if the script allows one language.
         """
-        cands = self.candidates(text)
-        if len(cands) == 1:
-            return cands[0], 1.0
-        data = text.encode()
-        if prefer in cands and self.size(prefer, data) <= 0.45 * len(data):
-            return prefer, 0.55
-        sizes = sorted((self.size(c, data), c != prefer, c) for c in cands)
-        (a, _, lang), (b, _, _) = sizes[0], sizes[1]
+        sizes, n = self.sizes(text)
+        if not sizes:
+            return None, 0.0
+        if len(sizes) == 1:
+            return next(iter(sizes)), 1.0
+        (a, _, lang), (b, _, _) = sorted((s, c != prefer, c) for c, s in sizes.items())[:2]
         conf = 1 - a / max(b, 1)
-        if prefer is not None and prefer in cands and lang != prefer:
-            own = next(s for s, _, c in sizes if c == prefer)
-            if own - a < max(8, 0.1 * len(data)):
-                return None, conf
-        if b - a < max(4, 0.05 * len(data)) and lang != prefer:
+        if lang == prefer:
+            return lang, conf
+        if prefer in sizes and (sizes[prefer] - a < max(8, 0.1 * n) or a > self.known.get(lang, 1.0) * n):
+            return None, conf
+        if b - a < max(4 if prefer else 8, 0.05 * n):
             return None, conf
         return lang, conf
 
 
-def fit_profiles(labelled: DataFrame, text: str, label: str, per_label: int = 240, max_chars: int = 4000, dict_bytes: int = 49152) -> dict[str, bytes]:
-    """Raw-content dictionaries from a bounded sample of labelled rows.
-
-    At most ``per_label`` texts of each label (those of up to ``max_chars`` characters that come first by hash)
-    reach the driver, so the sample is bounded by labels x per_label x max_chars whatever the table's size.
-    Labels may be wrong: two halves of the sample classify each other, and a sentence stays only if the other
-    half gives it its own label or cannot tell.
+def _grams(s: str) -> set:
+    """Pairs of neighbouring words; of unspaced text its runs of three characters."""
+    words = s.split()
+    return set(zip(["", *words], words)) if len(words) > 2 or s.isascii() else {s[i : i + 3] for i in range(len(s) - 2)}
+
+
+def representative(sents: list[str], limit: int) -> list[str]:
+    """Sentences of at most ``limit`` bytes together that cover the commonest phrases: always the one with the most
+    uncovered phrases per byte, each weighted by the number of sentences that have it. Commonest last,
+    where the compressor finds them nearest."""
+    unique = list(dict.fromkeys(sents))
+    grams = [_grams(s) for s in unique]
+    often = Counter(sents)
+    weight: Counter = Counter()
+    for s, gs in zip(unique, grams):
+        for g in gs:
+            weight[g] += often[s]
+    size = [len(s.encode()) + 1 for s in unique]
+    heap = [(-sum(weight[g] for g in gs) / n, i) for i, (gs, n) in enumerate(zip(grams, size))]
+    heapq.heapify(heap)
+    seen: set = set()
+    out, total = [], 0
+    while heap and total < limit:
+        _, i = heapq.heappop(heap)
+        now = -sum(weight[g] for g in grams[i] if g not in seen) / size[i]
+        if heap and now > heap[0][0] + 1e-12:
+            if now < 0:
+                heapq.heappush(heap, (now, i))
+        elif now < 0 and total + size[i] <= limit:
+            out.append(unique[i])
+            total += size[i]
+            seen |= grams[i]
+    return out[::-1]
+
+
+def _dictionaries(by: dict[str, list[list[str]]], limit: int) -> dict[str, bytes]:
+    chosen = {lang: representative([s for t in texts for s in t if len(s) >= 8], limit) for lang, texts in by.items()}
+    return {lang: "\n".join(c).encode() for lang, c in chosen.items() if c}
+
+
+def train(by: dict[str, list[list[str]]], folds: int = 3, judge_bytes: int = 16384, dict_bytes: int = 49152) -> tuple[dict[str, bytes], dict[str, float]]:
+    """(dictionaries, known) from texts by label, each a list of prepared sentences.
+
+    Labels may be wrong and texts mixed: each fold is judged by small dictionaries of the commonest phrases of the
+    others. A text goes if another language compresses it better by a twentieth, a sentence if one that knows it
+    does by a twelfth; what no language knows stays under its label.
     """
-    rows = _sample(labelled, text, label, per_label, max_chars).collect()
-    halves: list[dict[str, list[str]]] = [defaultdict(list), defaultdict(list)]
-    for r in rows:
-        for a, b in sentence_spans(r.t):
-            s = prepare(r.t[a:b])
-            if len(s) >= 8:
-                halves[r.n % 2][r.l].append(s)
     kept: dict[str, list[str]] = defaultdict(list)
-    for mine, other in ((0, 1), (1, 0)):
-        judge = Profiles({k: "\n".join(_varied(v)).encode()[:dict_bytes] for k, v in halves[other].items() if v})
-        for lang, sents in halves[mine].items():
-            for s in _dedupe(sents):
-                got, _ = judge.best(s)
-                if got is None or got == lang or lang not in judge.by and script_of(s) != "latin":
-                    kept[lang].append(s)
-    return {k: "\n".join(_varied(v)).encode()[:dict_bytes] for k, v in kept.items() if v}
-
-
-def _varied(sents: list[str]) -> list[str]:
-    """Those sentences, shortest first, of which a quarter of the word pairs (in unspaced scripts: character
-    triples) is new, so that a small dictionary holds many different phrases."""
-    seen: set = set()
-    out = []
-    for s in sorted(dict.fromkeys(sents), key=len):
-        words = s.split()
-        grams = set(zip(["", *words], words)) if len(words) > 2 or s.isascii() else {s[i : i + 3] for i in range(len(s) - 2)}
-        if len(grams - seen) * 4 >= len(grams):
-            seen |= grams
-            out.append(s)
-    return out
-
-
-def _sample(labelled: DataFrame, text: str, label: str, per_label: int, max_chars: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l").orderBy("h", "t")
-    return (
-        labelled.select(F.col(text).alias("t"), norm_label(F.col(label)).alias("l"))
+    own: dict[str, list[float]] = defaultdict(list)
+    for f in range(folds):
+        judge = Profiles(_dictionaries({lang: [t for i, t in enumerate(v) if i % folds != f] for lang, v in by.items()}, judge_bytes))
+        for lang, texts in by.items():
+            for sents in texts[f::folds]:
+                if not sents:
+                    continue
+                if lang not in judge.by:  # a label with a single text has no other fold to judge it
+                    kept[lang] += sents
+                    continue
+                z, n = judge.sizes(" ".join(sents))
+                if lang not in z or min(z.values()) < z[lang] - 0.05 * n:
+                    continue
+                for s in sents:
+                    z, n = judge.sizes(s)
+                    if lang in z and not (z[lang] - min(z.values()) > max(4, 0.08 * n) and min(z.values()) <= 0.65 * n):
+                        kept[lang].append(s)
+                        own[lang].append(z[lang] / max(n, 1))
+    known = {lang: min(0.8, max(0.7, sorted(v)[int(0.9 * (len(v) - 1))])) for lang, v in own.items()}
+    return _dictionaries({lang: [v] for lang, v in kept.items()}, dict_bytes), known
+
+
+def _sample(labelled: DataFrame, text: str, label: str, stratum: str, per_label: int, max_chars: int, seed: int) -> DataFrame:
+    """l, t: at most ``per_label`` distinct texts of each label, from its strata in turn, those of a stratum by seeded hash.
+
+    Ranking moves only hashes, and copies of a text are one before it; the texts of the few chosen are then
+    looked up, so neither a hot label nor a hot text gathers in one task."""
+    rows = (
+        labelled.select(F.col(text).alias("t"), norm_label(F.col(label)).alias("l"), F.col(stratum).alias("s"))
         .where((F.char_length("t") <= max_chars) & (F.char_length(F.trim("t")) >= 40) & F.col("l").isNotNull())
-        .withColumn("h", F.xxhash64("t"))
-        .withColumn("n", F.row_number().over(w))
-        .where(F.col("n") <= per_label)
-        .select("l", "t", "n")
+        .withColumn("h", F.xxhash64(F.lit(seed), "t"))
     )
+    within, across = Window.partitionBy("l", "s").orderBy("h"), Window.partitionBy("l").orderBy("r", "h")
+    ranked = rows.groupBy("l", "s", "h").agg(F.lit(1).alias("one")).withColumn("r", F.row_number().over(within)).where(F.col("r") <= per_label)
+    chosen = ranked.withColumn("n", F.row_number().over(across)).where(F.col("n") <= per_label).select("l", "h").distinct()
+    return rows.join(F.broadcast(chosen), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t")).select("l", "h", "t")
+
+
+def fit_profiles(tables: list[DataFrame], text: str, label: str, stratum: str, per_label: int = 400, max_chars: int = 4000, seed: int = 0) -> tuple[dict[str, bytes], dict[str, float]]:
+    """Dictionaries and ``known`` from a bounded sample of labelled rows.
 
+    Of each label every table gives an equal part of ``per_label`` distinct texts of 40 to ``max_chars`` characters,
+    drawn from its strata in turn, so the sample is bounded by labels x per_label x max_chars whatever the size of
+    the tables. Sentences are split and prepared on the executors; choosing among them is the driver's.
+    """
+    each = -(-per_label // len(tables))
+    drawn = [_sample(t, text, label, stratum, each, max_chars, seed) for t in tables]
+    rows = drawn[0]
+    for d in drawn[1:]:
+        rows = rows.unionByName(d)
 
-def _dedupe(sents: list[str]) -> list[str]:
-    return list(dict.fromkeys(sents))
+    def make():
+        def kernel(labels, hashes, texts):
+            for lang, h, t in zip(labels, hashes, texts):
+                yield lang, h, [prepare(t[a:b]) for a, b in sentence_spans(t)]
 
+        return kernel
 
-def segment_languages(df: DataFrame, keys: list[str], text: str, profiles: dict[str, bytes]) -> DataFrame:
+    by: dict[str, list[list[str]]] = defaultdict(list)
+    for r in sorted(arrow_rows(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism), ["l", "h", "t"], "l string, h long, sents array<string>", make).collect(), key=lambda r: (r.l, r.h)):
+        by[r.l].append(r.sents)
+    return train(by)
+
+
+def segment_languages(df: DataFrame, keys: list[str], text: str, profiles: tuple[dict[str, bytes], dict[str, float]], parts: str | None = None) -> DataFrame:
     """keys, language, confidence, n_chars, segments: the language of each text and of its sentences in another one.
 
     ``segments`` holds (char_start, char_end, language, confidence) of the sentences whose language is surely
-    not that of the whole text. Null and blank texts have null language and no segments; so has a text whose
-    margin is too narrow. Re-delivered rows give equal rows. Other columns of ``df`` are ignored.
+    not that of the whole text; ``parts`` may name a boolean column, which tells for which rows they are wanted.
+    Null and blank texts have null language and no segments; so has a text whose margin is too narrow.
+    Re-delivered rows give equal rows. Other columns of ``df`` are ignored.
     """
 
     def make():
-        p = Profiles(profiles)
+        p = Profiles(*profiles)
 
         def kernel(*cols):
-            for *ks, t in zip(*cols):
+            for *ks, want, t in zip(*cols):
                 if not t or t.isspace():
                     yield (*ks, None, 0.0, 0, [])
                     continue
+                if not want:
+                    whole, conf = p.best(prepare(t))
+                    yield (*ks, whole, conf, len(t), [])
+                    continue
                 sents = [(a, b, prepare(t[a:b])) for a, b in sentence_spans(t)]
                 whole, conf = p.best(" ".join(s for _, _, s in sents))
                 other = []
                 if len(sents) > 1:
                     for a, b, s in sents:
-                        if len(s) < 12 and s.isascii():
-                            continue
                         lang, c = p.best(s, prefer=whole)
                         if lang is not None and lang != whole:
                             other.append((a, b, lang, c))
@@ -196,18 +264,20 @@ def segment_languages(df: DataFrame, keys: list[str], text: str, profiles: dict[
         return kernel
 
     ddl = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes)
-    return arrow_rows(df, [*keys, text], f"{ddl}, language string, confidence double, n_chars int, segments array<struct<char_start:int,char_end:int,language:string,confidence:double>>", make)
+    wanted = (F.col(parts) if parts else F.lit(True)).alias("_parts")
+    return arrow_rows(df, [*keys, wanted, text], f"{ddl}, language string, confidence double, n_chars int, segments array<struct<char_start:int,char_end:int,language:string,confidence:double>>", make)
 
 
-def _fit(spark, sf_dir: str) -> dict[str, bytes]:
-    docs = table(spark, sf_dir, "documents").selectExpr("text", "lang AS label")
-    units = table(spark, sf_dir, "audiobook_units").selectExpr("text", "substring_index(voice_id, '-', -1) AS label")
-    return fit_profiles(docs.unionByName(units), "text", "label")
+def _fit(spark, sf_dir: str, seed: int = 0) -> tuple[dict[str, bytes], dict[str, float]]:
+    docs = table(spark, sf_dir, "documents").selectExpr("text", "lang AS label", "source AS stratum")
+    units = table(spark, sf_dir, "audiobook_units").selectExpr("text", "substring_index(voice_id, '-', -1) AS label", "voice_id AS stratum")
+    return fit_profiles([docs, units], "text", "label", "stratum", seed=seed)
 
 
-def classified_blocks(spark, sf_dir: str) -> DataFrame:
-    blocks = table(spark, sf_dir, "blocks").where("degradation IS NULL OR degradation = 'scanned'").selectExpr("document_id", "block_id", "degradation IS NULL AS clean", "text")
-    return cut(segment_languages(spread(blocks), ["document_id", "block_id", "clean"], "text", _fit(spark, sf_dir)).dropDuplicates(["block_id"]))
+def classified_blocks(spark, sf_dir: str, parts: str = "degradation IS NULL") -> DataFrame:
+    """The blocks with their language, and those for which ``parts`` holds with their segments in another one."""
+    blocks = table(spark, sf_dir, "blocks").where("degradation IS NULL OR degradation = 'scanned'").selectExpr("document_id", "block_id", "degradation IS NULL AS clean", f"{parts} AS parts", "text")
+    return cut(segment_languages(spread(blocks, per_core=4), ["document_id", "block_id", "clean"], "text", _fit(spark, sf_dir), "parts").dropDuplicates(["block_id"]))
 
 
 def main_languages(blocks: DataFrame) -> DataFrame:
@@ -234,9 +304,18 @@ def p6_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p6_languages(spark, sf_dir: str) -> DataFrame:
-    """Every manifest document with its main language and confidence; null where no text could be read."""
-    main = main_languages(classified_blocks(spark, sf_dir))
-    return table(spark, sf_dir, "manifest").select("document_id").distinct().join(main, "document_id", "left").selectExpr("document_id", "main AS language", "confidence")
+    """document_id, block_id, char_start, char_end, language, confidence.
+
+    A row for every manifest document with its main language, null where no text could be read (null block and
+    offsets); and one for every segment in another language: a whole block, or a sentence of one."""
+    blocks = classified_blocks(spark, sf_dir, "true")
+    main = main_languages(blocks)
+    documents = table(spark, sf_dir, "manifest").select("document_id").distinct().join(main, "document_id", "left")
+    documents = documents.selectExpr("document_id", "cast(null AS string) AS block_id", "cast(null AS int) AS char_start", "cast(null AS int) AS char_end", "main AS language", "confidence")
+    per_block = blocks.join(main.select("document_id", "main"), "document_id")
+    whole = per_block.where("language <> main").selectExpr("document_id", "block_id", "0 AS char_start", "n_chars AS char_end", "language", "confidence")
+    parts = per_block.where("size(segments) > 0").select("document_id", "block_id", "main", F.explode("segments").alias("s")).where("s.language <> main").select("document_id", "block_id", "s.*")
+    return documents.unionByName(whole).unionByName(parts)
 
 
 QUERIES = {"p6_found": p6_found, "p6_languages": p6_languages}

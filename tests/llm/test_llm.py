@@ -28,7 +28,7 @@ OPERATORS = {
     "garbled": lambda df: garbled.garbled_records(df, "key", "text"),
     "personal": lambda df: personal.find_personal(df, "key", "text"),
     "redact": lambda df: personal.redact(df, "key", "text"),
-    "languages": lambda df: languages.segment_languages(df, ["key"], "text", {"es": "el la los de que y en un una".encode(), "en": b"the a of and to in that it was"}),
+    "languages": lambda df: languages.segment_languages(df, ["key"], "text", ({"es": "el la los de que y en un una".encode(), "en": b"the a of and to in that it was"}, {})),
     "tokens": lambda df: tokens.token_sizes(df, "key", "text"),
 }
 
@@ -183,13 +183,60 @@ def test_pairs_against_brute_force(spark):
 
 # 6 ---------------------------------------------------------------------------------------------------------------
 def test_languages_held_out(spark, sf):
-    profiles = languages.fit_profiles(spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 2 = 0").selectExpr("text", "lang"), "text", "lang")
-    p = languages.Profiles(profiles)
+    labelled = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 2 = 0").selectExpr("text", "lang", "source")
+    p = languages.Profiles(*languages.fit_profiles([labelled], "text", "lang", "source"))
     test = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 2 = 1 AND n_chars BETWEEN 100 AND 3000").select("text", languages.norm_label(F.col("lang")).alias("l")).where("l IN ('es', 'en', 'pt')").collect()
     right = sum(p.best(languages.prepare(r.text))[0] == r.l for r in test)
     assert right >= 0.85 * len(test)
 
 
+def _planted_languages(spark, sf="/root/testdata/sf0.1"):
+    """(text, languages of sentences beyond the first unit's): units of one language, some with a sentence of another put in."""
+    units = spark.read.parquet(f"{sf}/audiobook_units.parquet").where("length(text) BETWEEN 60 AND 600").selectExpr("unit_id", "text", "substring_index(voice_id, '-', -1) AS l").distinct().orderBy("unit_id").collect()
+    by = {}
+    for r in units:
+        by.setdefault(r.l, []).append(r.text.strip())
+    foreign = {lang: [x[a:b] for x in by[lang] for a, b in sentences.sentence_spans(x) if b - a >= 40] for lang in ("de", "en", "es", "fr", "it", "pt")}
+    rnd, out = random.Random(6), []
+    for lang in ("es", "en", "pt"):
+        for x in [x for x in by[lang] if x[-1] in ".!?"][:120]:
+            other = rnd.choice([k for k in foreign if k != lang])
+            put = rnd.random() < 0.5
+            out.append((f"{x} {rnd.choice(foreign[other])}" if put else x, lang, other if put else None))
+    return out
+
+
+def test_profiles_do_not_depend_on_the_draw(spark):
+    """Five seeds, and the labelled rows ten times over, find the same planted sentences."""
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("text", "lang AS label", "source AS stratum")
+    units = spark.read.parquet(f"{folder}/audiobook_units.parquet").selectExpr("text", "substring_index(voice_id, '-', -1) AS label", "voice_id AS stratum")
+    tenfold = [t.crossJoin(spark.range(10)).drop("id") for t in (docs, units)]
+    planted = _planted_languages(spark)
+    for seed, tables in [*((n, [docs, units]) for n in range(5)), (0, tenfold)]:
+        p = languages.Profiles(*languages.fit_profiles(tables, "text", "label", "stratum", seed=seed))
+        true = found = both = 0
+        for text, lang, other in planted:
+            got = {x for a, b in sentences.sentence_spans(text) if (x := p.best(languages.prepare(text[a:b]), prefer=lang)[0]) not in (None, lang)}
+            true, found, both = true + (other is not None), found + len(got), both + (other in got)
+        assert both >= 0.98 * true and both >= 0.98 * found, (seed, true, found, both)
+
+
+def test_a_phrase_that_no_language_knows_is_no_other_language():
+    """Sharing a stretch with another language's dictionary is no proof: the rest must be known to it too."""
+    p = languages.Profiles({"es": b"la casa es grande y el patio tiene flores", "pt": "o vol. 0, n. 0, cita a. m. silva e outros. a casa tem um quintal com flores".encode()}, {"es": 0.7, "pt": 0.7})
+    assert p.best("el vol. 0, num. 0, cita a a. m. melerduela y otros.", prefer="es")[0] in (None, "es")
+    assert p.best("a casa tem um quintal com flores", prefer="es")[0] == "pt"
+    assert languages.Profiles({}, {}).best("x") == (None, 0.0)
+
+
+def test_representative_sentences_cover_the_commonest_phrases():
+    sents = ["common words here"] * 5 + ["rare words there", "common words here too"]
+    got = languages.representative(sents, 18)
+    assert got == ["common words here"]
+    assert languages.representative([], 100) == [] and set(languages.representative(sents, 1000)) <= set(sents)
+
+
 def test_labels_in_any_notation(spark):
     rows = [("pt-BR",), (" ES",), ("eng",), ("und",), ("",), (None,), ("xx",), ("deu",)]
     got = [r[0] for r in spark.createDataFrame(rows, "l string").select(languages.norm_label(F.col("l"))).collect()]

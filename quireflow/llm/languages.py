@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 from .common import arrow_rows, spread, table
-from .forms import consistent
+from .forms import _needs, consistent
 from .garbled import Automaton, replace_spans
 from .sentences import sentence_spans
 
@@ -54,9 +54,18 @@ def script_of(text: str) -> str:
     return _ONE.get(best, best)
 
 
-def prepare(text: str) -> str:
-    """What is compressed: wrongly decoded spans restored, one consistent form, lower case, digits as one."""
-    if not text.isascii():
+def settled(text: str) -> bool:
+    """Whether the text holds nothing to restore or to bring to one form but white space."""
+    return text.isascii() or not (any(map(_needs, set(text))) or Automaton.shared().spans(text))
+
+
+def prepare(text: str, ready: bool = False) -> str:
+    """What is compressed: wrongly decoded spans restored, one consistent form, lower case, digits as one.
+
+    ``ready``: the text is part of one that is ``settled``."""
+    if ready:
+        text = " ".join(text.split())
+    elif not text.isascii():
         spans = Automaton.shared().spans(text)
         if spans:
             text = replace_spans(text, spans)
@@ -102,7 +111,23 @@ class Profiles:
         twentieth over any other; and beside a preferred language the other must know the text (``known``).
         Every language of the script is tried. Confidence is 1 - smallest/second size, 1 if the script allows one language.
         """
-        sizes, n = self.sizes(text)
+        return self.decide(*self.sizes(text), prefer)
+
+    def together(self, parts: list[tuple[dict[str, int], int]]) -> tuple[str | None, float]:
+        """(language, confidence) of a text from the sizes of its sentences, those of its main script counting."""
+        by: dict[tuple, list] = {}
+        for z, n in parts:
+            k = tuple(z)
+            if k in by:
+                by[k].append((z, n))
+            else:
+                by[k] = [(z, n)]
+        most = max(by.values(), key=lambda v: sum(n for _, n in v)) if len(by) > 1 else next(iter(by.values()))
+        if len(most) == 1:
+            return self.decide(*most[0])
+        return self.decide({c: sum(z[c] for z, _ in most) for c in most[0][0]}, sum(n for _, n in most))
+
+    def decide(self, sizes: dict[str, int], n: int, prefer: str | None = None) -> tuple[str | None, float]:
         if not sizes:
             return None, 0.0
         if len(sizes) == 1:
@@ -251,12 +276,14 @@ def segment_languages(df: DataFrame, keys: list[str], text: str, profiles: tuple
                     whole, conf = p.best(prepare(t))
                     yield (*ks, whole, conf, len(t), [])
                     continue
-                sents = [(a, b, prepare(t[a:b])) for a, b in sentence_spans(t)]
-                whole, conf = p.best(" ".join(s for _, _, s in sents))
+                spans = sentence_spans(t)
+                ready = settled(t)
+                sizes = [p.sizes(prepare(t[a:b], ready)) for a, b in spans]
+                whole, conf = p.together(sizes)
                 other = []
-                if len(sents) > 1:
-                    for a, b, s in sents:
-                        lang, c = p.best(s, prefer=whole)
+                if len(spans) > 1:
+                    for (a, b), (z, n) in zip(spans, sizes):
+                        lang, c = p.decide(z, n, whole)
                         if lang is not None and lang != whole:
                             other.append((a, b, lang, c))
                 yield (*ks, whole, conf, len(t), other)

@@ -49,7 +49,7 @@ def roman(s: str) -> int | None:
 def folio_readings(line: str) -> tuple[str, list[int]] | None:
     """(style, possible numbers) of a line that may be only a page number, else None."""
     m = _FOLIO.match(line.strip())
-    if not m or len(line.strip()) > 14:
+    if not m:
         return None
     num, out = m["num"], []
     digits = num.translate(_DIGITS)
@@ -82,9 +82,9 @@ def title_key(line: str) -> str:
 
 
 def may_be_title(line: str) -> bool:
-    """A cheap test that no running title fails: short, without end punctuation, not begun in lower case."""
+    """A cheap test that no running title fails: without end punctuation, not begun in lower case."""
     t = line.rstrip()
-    if not t or t[-1] in ".,;:" or len(t) > 160 or len(t.replace(" ", "")) > 60:
+    if not t or t[-1] in ".,;:":
         return False
     first = next((c for c in t if c.isalpha()), "")
     return first == "l" or not first.islower()
@@ -172,7 +172,7 @@ def label_lines(pages: DataFrame) -> DataFrame:
                     if r:
                         for n in set(r[1]):
                             yield d, p, None, n - p, r[0]
-                    if may_be_title(t) and 5 <= len(key := title_key(t)) <= 60:
+                    if may_be_title(t) and (key := title_key(t)):
                         yield d, p, key, None, None
 
         return kernel
@@ -180,8 +180,9 @@ def label_lines(pages: DataFrame) -> DataFrame:
     at_edge = F.transform(F.filter("lines", lambda x, i: (i < 2) | (i >= F.size("lines") - 2)), lambda x: x["text"]).alias("texts")
     edges = cut(arrow_rows(pages, ["document_id", "page_index", at_edge], "document_id string, page_index int, key string, shift int, style string", make_edges))
     per_doc = edges.where("key IS NOT NULL").groupBy("document_id", "key").agg(F.count_distinct("page_index").alias("n"))
-    well_known = per_doc.where("n >= 2").groupBy("key").agg(F.count("*").alias("docs")).where("docs >= 3").select("key")
-    titles = per_doc.where("n >= 2").select("document_id", "key").unionByName(per_doc.join(well_known, "key", "left_semi").select("document_id", "key")).distinct()
+    repeated = "n >= 2 AND (length(key) >= 5 OR n >= 3)"  # a key of few letters needs a third page
+    well_known = per_doc.where(repeated).groupBy("key").agg(F.count("*").alias("docs")).where("docs >= 3").select("key")
+    titles = per_doc.where(repeated).select("document_id", "key").unionByName(per_doc.join(well_known, "key", "left_semi").select("document_id", "key")).distinct()
     page_titles = edges.where("key IS NOT NULL").join(titles, ["document_id", "key"], "left_semi").groupBy("document_id", "page_index").agg(F.collect_set("key").alias("titles"))
     shifts = edges.where("shift IS NOT NULL").groupBy("document_id", "shift").agg(F.count_distinct("page_index").alias("n"), F.mode("style").alias("style"))
     shift = shifts.groupBy("document_id").agg(F.max_by(F.struct("shift", "style", "n"), F.struct("n", -F.abs("shift"))).alias("folios"))
@@ -202,14 +203,15 @@ def label_lines(pages: DataFrame) -> DataFrame:
     return arrow_rows(rows, ["src", "document_id", "page_index", "lines", "titles", "folios"], LINES, make_lines)
 
 
-LINES = "src string, document_id string, page_index int, block_id string, line_no int, next_block string, next_line int, label int, last boolean, mark boolean, tail string, head string, first string, inner array<string>"
+LINES = "src string, document_id string, page_index int, block_id string, line_no int, next_block string, next_line int, label int, opens boolean, last boolean, mark boolean, tail string, head string, first string, inner array<string>"
 
 
 def page_lines(texts: list[str], page: int, titles: set[str], folios: dict | None):
-    """(line, next body line, label, last, mark, tail, head, first, inner) of every line of a page.
+    """(line, next body line, label, opens, last, mark, tail, head, first, inner) of every line of a page.
 
     For body lines: the last word without its mark (``tail``), the first word of the next body line of the page
-    (``head``), the own first word and all other words; ``last`` if no body line follows on the page.
+    (``head``), the own first word and all other words; ``opens`` if it is the first of the page, ``last`` if no
+    body line follows on the page.
     """
     labels = label_page(texts, page, titles, folios)
     body = [i for i, lab in enumerate(labels) if lab == BODY and texts[i].strip()]
@@ -217,11 +219,11 @@ def page_lines(texts: list[str], page: int, titles: set[str], folios: dict | Non
     real = set(body)
     for i, lab in enumerate(labels):
         if i not in real:
-            yield i, None, lab, False, None, None, None, None, []
+            yield i, None, lab, False, False, None, None, None, None, []
             continue
         mark, tail, inner, first = split_line(texts[i])
         j = nxt.get(i)
-        yield i, j, lab, j is None, mark, tail, first_word(texts[j]) if j is not None else None, first, inner
+        yield i, j, lab, i == body[0], j is None, mark, tail, first_word(texts[j]) if j is not None else None, first, inner
 
 
 def label_page(texts: list[str], page: int, titles: set[str], folios: dict | None) -> list[int]:
@@ -253,7 +255,10 @@ def label_page(texts: list[str], page: int, titles: set[str], folios: dict | Non
     return [*states[:2], *[BODY] * (n - 4), *states[3:]] if inner else states
 
 
-def _repairs(word: str, limit: int = 64) -> set[str]:
+LONG = 40
+
+
+def _repairs(word: str) -> set[str]:
     """Words that recognition could have turned into this one by one or two confusions."""
     once = {word[:i] + right + word[i + len(read) :] for right, read in CONFUSIONS for i in _places(word, read)}
     out = set(once)
@@ -264,6 +269,23 @@ def _repairs(word: str, limit: int = 64) -> set[str]:
     return out
 
 
+def folded(word: F.Column) -> F.Column:
+    """One spelling for all words that confusions turn into each other, however many: letters that are read for two
+    become those two, then each is replaced by the first of those it is taken for."""
+    for one, two in (("m", "rn"), ("w", "vv"), ("d", "cl"), ("h", "li"), ("u", "n"), ("n", "ri")):
+        word = F.replace(word, F.lit(one), F.lit(two))
+    first: dict[str, str] = {}
+    for a, b in CONFUSIONS:
+        if len(a) == len(b) == 1 and not {a, b} & set("mwdhun"):
+            x, y = first.setdefault(a, a), first.setdefault(b, b)
+            for k, v in first.items():
+                if v == y:
+                    first[k] = x
+    old = "".join(k for k, v in first.items() if k != v)
+    word = F.translate(word, old, "".join(first[k] for k in old))
+    return F.regexp_replace(word, "(?:ri|ii)", "i")
+
+
 def _places(word: str, part: str):
     i = word.find(part)
     while i >= 0:
@@ -271,29 +293,34 @@ def _places(word: str, part: str):
         i = word.find(part, i + 1)
 
 
-_ODD = regex.compile(r"\p{L}[@€|0-9!]|[@€|!]\p{L}|ı|(?<![\d.,:/_-])[0-9](?=\p{L}{2})|\d[lOoI]|[lOI]\d")
-_NOT_WORD = regex.compile(r"[_@/\\]\w+\.|www\.|\.\w{2,}$|^\d+[ºªa]$|%$")
+# A sign or digit among letters, a letter among digits; and tokens that are no words of a language.
+_ODD_FORM = r"\p{L}[@€|0-9!]|[@€|!]\p{L}|ı|(?<![\d.,:/_-])[0-9](?=\p{L}{2})|\d[lOoI]|[lOI]\d"
+_PLAIN_FORM = r"_|www\.|\p{L}{2}\.\p{L}{2}|\d\.\p{L}{2}"
+_ODD, _PLAIN = regex.compile(_ODD_FORM), regex.compile(_PLAIN_FORM)
 
 
 def plainly_misread(token: str) -> bool:
     """A token that no spelling holds: a sign or digit among letters, a letter among digits."""
     w = bare(token)
-    if w in ("@", "€") or not _ODD.search(w) or regex.search(r"_|www\.|\.(?:txt|example|png)", w):
-        return False
-    return True
+    return w not in ("@", "€") and bool(_ODD.search(w)) and not _PLAIN.search(w)
 
 
 def raw_words(spark, sf_dir: str, lines: DataFrame) -> DataFrame:
     """token, n, printed: counts of all tokens of clean text and of the inner words of printed lines (their first and
-    last words may be parts of words); ``printed`` if it occurs in a line. Tokens still carry their punctuation."""
+    last words may be parts of words and count 0); ``printed`` if it occurs in a line. Tokens still carry their punctuation."""
     clean = clean_blocks(spark, sf_dir).select("text").unionByName(direct_elements(spark, sf_dir).select("text")).where("text IS NOT NULL")
-    a = clean.select(F.explode(F.split("text", "\\s+")).alias("token"), F.lit(False).alias("printed"))
-    b = lines.select(F.explode("inner").alias("token"), F.lit(True).alias("printed"))
-    return a.unionByName(b).groupBy("token").agg(F.count("*").alias("n"), F.bool_or("printed").alias("printed"))
+    spaced = F.translate("text", "\n\t\r\f\x0b", "     ")
+    a = clean.select(F.explode(F.split(spaced, " ")).alias("token"), F.lit(1).alias("n"), F.lit(False).alias("printed"))
+    b = lines.select(F.explode("inner").alias("token"), F.lit(1).alias("n"), F.lit(True).alias("printed"))
+    c = lines.where("tail IS NOT NULL OR first IS NOT NULL").select(F.explode(F.array("tail", "first")).alias("token"), F.lit(0).alias("n"), F.lit(True).alias("printed"))
+    return a.unionByName(b).unionByName(c).where("token IS NOT NULL AND token <> ''").groupBy("token").agg(F.sum("n").alias("n"), F.bool_or("printed").alias("printed"))
 
 
 def misread_words(vocab: DataFrame, words: DataFrame) -> DataFrame:
-    """word, fixed: words of ``words`` (word, n) that are far rarer than a word they may be a misreading of."""
+    """word, fixed: words of ``words`` (word, n) that are far rarer than a word they may be a misreading of.
+
+    Words of up to ``LONG`` letters are changed by one or two confusions; longer ones, of which too many changes are
+    possible, are looked up by a spelling that all confusions share (``folded``)."""
 
     def make():
         def kernel(ws, ns):
@@ -303,12 +330,15 @@ def misread_words(vocab: DataFrame, words: DataFrame) -> DataFrame:
 
         return kernel
 
-    cands = arrow_rows(words.where(F.char_length("word").between(2, 40)), ["word", "n"], "word string, n long, cand string", make)
+    cands = arrow_rows(words.where(F.char_length("word").between(2, LONG)), ["word", "n"], "word string, n long, cand string", make)
+    cands = cands.unionByName(words.where(F.char_length("word") > LONG).select("word", "n", folded(F.col("word")).alias("cand")))
+    known = vocab.select(F.col("word").alias("cand"), F.col("word").alias("whole"), F.col("n").alias("known"))
+    known = known.unionByName(vocab.where(F.char_length("word") > LONG - 2).select(folded(F.col("word")).alias("cand"), F.col("word").alias("whole"), F.col("n").alias("known")))
     return (
-        cands.join(vocab.select(F.col("word").alias("cand"), F.col("n").alias("known")), "cand")
-        .where("known >= 3 AND known >= 20 * n OR known >= 2 AND n <= 1 AND known >= 3 * n OR known >= 6 * n AND word RLIKE '^[A-ZÁÉÍÓÚÑÀ-Þ]'")
+        cands.join(known.where("known >= 2"), "cand")
+        .where("whole <> word AND (known >= 3 AND known >= 20 * n OR known >= 2 AND n <= 1 AND known >= 3 * n OR known >= 6 * n AND word RLIKE '^[A-ZÁÉÍÓÚÑÀ-Þ]')")
         .groupBy("word")
-        .agg(F.max_by("cand", F.struct("known", "cand")).alias("fixed"))
+        .agg(F.max_by("whole", F.struct("known", "whole")).alias("fixed"))
     )
 
 
@@ -341,8 +371,6 @@ def first_word(text: str) -> str | None:
 
 
 MOST_BROADCAST = 200_000
-_ODD_JVM = "\\p{L}[@€|0-9!]|[@€|!]\\p{L}|ı|(?<![\\d.,:/_-])[0-9](?=\\p{L}{2})|\\d[lOoI]|[lOI]\\d"
-_PLAIN_JVM = "_|www\\.|\\.(?:txt|example|png)"
 _TRIM_JVM = "^[.,;:!?«»“”„()\\[\\]…¿¡—–\"’‘'*\\s]+|[.,;:!?«»“”„()\\[\\]…¿¡—–\"’‘'*\\s]+$"
 
 
@@ -355,50 +383,44 @@ def analyse(spark, sf_dir: str) -> dict[str, DataFrame]:
     """
     pages = cut(spread(scanned_pages(spark, sf_dir)))
     lines = cut(label_lines(pages))
-    raw = cut(raw_words(spark, sf_dir, lines).withColumn("word", F.regexp_replace("token", _TRIM_JVM, "")))
-    vocab = cut(raw.where("word <> ''").groupBy("word").agg(F.sum("n").alias("n")))
+    raw = cut(raw_words(spark, sf_dir, lines).withColumn("word", F.regexp_replace("token", _TRIM_JVM, "")).where("word <> ''"))
+    vocab = cut(raw.groupBy("word").agg(F.sum("n").alias("n"), F.bool_or("printed").alias("printed")))
     at = ["block_id", "line_no"]
     furniture = lines.where(F.col("label") != BODY).select(*at, F.when(F.col("label") == HEADER, "header").otherwise("folio").alias("noise_kind"))
     body = lines.where((F.col("label") == BODY) & F.col("mark").isNotNull())
 
     # Line ends. The next body line of a page's last one is the first of the next page, joined by page number.
-    starts = lines.where((F.col("label") == BODY) & (F.col("tail").isNotNull() | F.col("first").isNotNull())).select("src", "document_id", "page_index", *at, F.coalesce("first", "tail").alias("word"))
-    not_first = lines.where("next_block IS NOT NULL").select("src", F.col("next_block").alias("block_id"), F.col("next_line").alias("line_no"))
-    page_first = starts.join(not_first, ["src", *at], "left_anti").select("src", "document_id", (F.col("page_index") - 1).alias("page_index"), F.col("block_id").alias("next_block"), F.col("line_no").alias("next_line"), F.regexp_replace("word", "[.,;:!?»”)…’]+$", "").alias("head"))
+    page_first = body.where("opens").select("src", "document_id", (F.col("page_index") - 1).alias("page_index"), F.col("block_id").alias("next_block"), F.col("line_no").alias("next_line"), F.regexp_replace(F.coalesce("first", "tail"), "[.,;:!?»”)…’]+$", "").alias("head"))
     columns = [*at, "mark", "tail", "head", "next_block", "next_line"]
     within = body.where("NOT last AND tail IS NOT NULL").select(*columns)
     across = body.where("last AND tail IS NOT NULL").drop("head", "next_block", "next_line").join(page_first, ["src", "document_id", "page_index"]).select(*columns)
     ends = within.unionByName(across).where("head IS NOT NULL AND head <> '' AND (mark OR head RLIKE '^\\\\p{Ll}|^[0-9@€|]')")
-    ends = cut(ends.withColumn("joined", F.concat("tail", "head")).withColumn("own", F.concat("tail", F.lit("-"), "head")).withColumn("id", F.xxhash64(*at)))
-    # Without a mark, only a known joined word or an unknown tail can be a divided word: the rest, most lines, end here.
-    plain = ends.where("NOT mark")
-    known_joined = plain.select("id", "joined").join(vocab.select(F.col("word").alias("joined")), "joined", "left_semi").select("id")
-    odd_tail = plain.select("id", "tail").join(vocab.where("n >= 2").select(F.col("word").alias("tail")), "tail", "left_anti").select("id")
-    ends = ends.where("mark").unionByName(plain.join(known_joined.union(odd_tail), "id", "left_semi").select(*ends.columns))
-    names = ("tail", "head", "joined", "own")
-    keys = ends.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col(n).alias("word")) for i, n in enumerate(names)])).alias("k")).select("id", "k.part", "k.word")
-    counted = keys.join(vocab, "word").groupBy("id").agg(*[F.coalesce(F.max(F.when(F.col("part") == i, F.col("n"))), F.lit(0)).alias(f"n_{n}") for i, n in enumerate(names)])
-    ends = cut(ends.join(counted, "id", "left").fillna(0, [f"n_{n}" for n in names]).drop("id"))
-    unsure = ends.where("n_joined <= 2 AND (mark OR n_tail <= 2 AND n_head <= 2) AND n_own = 0").select(F.col("joined").alias("word"), F.col("n_joined").alias("n")).distinct()
-    ends = ends.join(misread_words(vocab, unsure).select(F.col("word").alias("joined"), "fixed"), "joined", "left")
+
+    # Whether words are one divided word depends on the words alone: each pair of them is decided once.
+    pair = ["mark", "tail", "head"]
+    pairs = ends.groupBy(*pair).agg(F.lit(0).alias("n"))
+    words = {"joined": F.concat("tail", "head"), "tail": F.col("tail"), "head": F.col("head"), "own": F.concat("tail", F.lit("-"), "head")}
+    keys = pairs.select(*pair, F.explode(F.array(*[F.struct(F.lit(k).alias("part"), w.alias("word")) for k, w in words.items()])).alias("k")).select(*pair, "k.part", "k.word")
+    counted = keys.join(vocab.select("word", "n"), "word", "left").groupBy(*pair).agg(*[F.coalesce(F.max(F.when(F.col("part") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in words])
+    counted = cut(counted.where("mark OR n_joined > 0 OR n_tail < 2").withColumn("joined", words["joined"]))
+    unsure = counted.where("n_joined <= 2 AND (mark OR n_tail <= 2 AND n_head <= 2) AND n_own = 0").groupBy(F.col("joined").alias("word")).agg(F.max("n_joined").alias("n"))
+    fixes = misread_words(vocab, unsure).select(F.col("word").alias("joined"), "fixed")
     marked = F.col("mark") & ~(F.col("n_own") > F.col("n_joined"))
     low, high, both = F.least("n_tail", "n_head"), F.greatest("n_tail", "n_head"), F.col("n_joined")
     silent = ~F.col("mark") & (F.col("n_own") == 0) & (
         (both >= 3) & (low * 10 < both) & (high < both * 10) | (both >= 3) & (low * 100 < both) | (both >= 1) & (high <= 1) | F.col("fixed").isNotNull() & (high <= 1)
     )
-    divided = cut(ends.where(marked | silent).select(*at, "tail", "joined", "fixed", "next_block", "next_line"))
+    decided = counted.join(fixes, "joined", "left").where(marked | silent).select(*pair, "joined", "fixed")
+    divided = cut(ends.join(decided, pair).select(*at, "tail", "joined", "fixed", "next_block", "next_line"))
 
     # Misread words: all words but the parts of divided ones, which are taken out of the few that are found.
+    # Patterns and joins run over distinct tokens; the lines are then searched for the few that are wrong.
     tokens = body.select(*at, F.lit(0).alias("place"), F.explode("inner").alias("token"))
     outer = body.select(*at, F.explode(F.array(F.struct(F.lit(1).alias("place"), F.col("tail").alias("token")), F.struct(F.lit(2).alias("place"), F.col("first").alias("token")))).alias("k")).select(*at, "k.*").where("token IS NOT NULL")
     tokens = tokens.unionByName(outer)
-
-    # Patterns and joins run over distinct tokens; the lines are then searched for the few that are wrong.
-    others = outer.select("token").distinct().withColumn("word", F.regexp_replace("token", _TRIM_JVM, ""))
-    distinct = raw.where("printed").select("token", "word").unionByName(others).distinct().where("word RLIKE '[\\\\p{L}@€|]'")
-    distinct = cut(distinct.withColumn("plain", F.col("word").rlike(_ODD_JVM) & ~F.col("word").rlike(_PLAIN_JVM)))
-    counted = distinct.select("word").distinct().join(vocab, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
-    repaired = distinct.join(misread_words(vocab, counted), "word", "left").where("plain OR fixed IS NOT NULL")
+    letters = "printed AND word RLIKE '[\\\\p{L}@€|]'"
+    printed = raw.where(letters).select("token", "word", (F.col("word").rlike(_ODD_FORM) & ~F.col("word").rlike(_PLAIN_FORM)).alias("plain"))
+    repaired = printed.join(misread_words(vocab, vocab.where(letters).select("word", "n")), "word", "left").where("plain OR fixed IS NOT NULL")
     bad = cut(repaired.select("token", F.expr("replace(token, word, coalesce(fixed, word))").alias("repair")))
     return {"pages": pages, "lines": lines, "furniture": furniture, "divided": divided, "tokens": tokens, "bad": bad}
 

@@ -309,8 +309,7 @@ def raw_words(spark, sf_dir: str, lines: DataFrame) -> DataFrame:
     """token, n, printed: counts of all tokens of clean text and of the inner words of printed lines (their first and
     last words may be parts of words and count 0); ``printed`` if it occurs in a line. Tokens still carry their punctuation."""
     clean = clean_blocks(spark, sf_dir).select("text").unionByName(direct_elements(spark, sf_dir).select("text")).where("text IS NOT NULL")
-    spaced = F.translate("text", "\n\t\r\f\x0b", "     ")
-    a = clean.select(F.explode(F.split(spaced, " ")).alias("token"), F.lit(1).alias("n"), F.lit(False).alias("printed"))
+    a = clean.select(F.explode(F.split("text", "\\s+")).alias("token"), F.lit(1).alias("n"), F.lit(False).alias("printed"))
     b = lines.select(F.explode("inner").alias("token"), F.lit(1).alias("n"), F.lit(True).alias("printed"))
     c = lines.where("tail IS NOT NULL OR first IS NOT NULL").select(F.explode(F.array("tail", "first")).alias("token"), F.lit(0).alias("n"), F.lit(True).alias("printed"))
     return a.unionByName(b).unionByName(c).where("token IS NOT NULL AND token <> ''").groupBy("token").agg(F.sum("n").alias("n"), F.bool_or("printed").alias("printed"))
@@ -383,7 +382,8 @@ def analyse(spark, sf_dir: str) -> dict[str, DataFrame]:
     """
     pages = cut(spread(scanned_pages(spark, sf_dir)))
     lines = cut(label_lines(pages))
-    raw = cut(raw_words(spark, sf_dir, lines).withColumn("word", F.regexp_replace("token", _TRIM_JVM, "")).where("word <> ''"))
+    # Empty words are left out after the cut: before it, the filter would be pushed below the counting, to every token.
+    raw = cut(raw_words(spark, sf_dir, lines).withColumn("word", F.regexp_replace("token", _TRIM_JVM, ""))).where("word <> ''")
     vocab = cut(raw.groupBy("word").agg(F.sum("n").alias("n"), F.bool_or("printed").alias("printed")))
     at = ["block_id", "line_no"]
     furniture = lines.where(F.col("label") != BODY).select(*at, F.when(F.col("label") == HEADER, "header").otherwise("folio").alias("noise_kind"))

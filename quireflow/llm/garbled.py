@@ -131,11 +131,10 @@ _PART = r"[^\s!-/:-@\[-`{-~‘’‚“”„…–—«»¿¡‹›、。，！
 _WORD = regex.compile(rf"{_PART}(?:’{_PART})*")
 _NON_ASCII = regex.compile(r"[^\x00-\x7f]")
 _STRIP = "‘’‚“”„…–—«»¿¡‹›!\"'(),-./:;?[]\xa0 "
-_MAX_WORD = 64
 
 
 def odd_words(text: str) -> set[str]:
-    return {w for w in _WORD.findall(text) if len(w) <= _MAX_WORD and not w.isascii()}
+    return {w for w in _WORD.findall(text) if not w.isascii()}
 
 
 def _one_script(word: str) -> bool:

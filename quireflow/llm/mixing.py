@@ -40,21 +40,50 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, budget: int | None = None,
     or a share of 0 are not taken. ``total`` is the running sum.
     """
     rows = sizes.join(targets.where("target_share > 0 AND max_repeats > 0"), "source").where("n_tokens > 0").select("key", "source", "n_tokens", "target_share", "max_repeats")
-    supply = rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.first("target_share").alias("w"), F.first("max_repeats").alias("r"), F.count("*").alias("n"))
-    limit = supply.agg(F.min(F.col("t") * F.col("r") / F.col("w")).alias("b"), F.max(F.col("n")).alias("n")).first()
+    supply = rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.first("target_share").alias("w"), F.first("max_repeats").alias("r"), F.count("*").alias("n"), F.max("n_tokens").alias("m"))
+    sources = [(float(x.w), x.t * x.r, x.m, x.n) for x in supply.collect()]  # as many rows as targets at most
     if budget is None:
-        budget = int(limit.b or 0)
-    buckets = max(1, -(-int(limit.n or 1) // bucket_rows))
+        budget = int(min((t / w for w, t, _, _ in sources), default=0))
+    buckets = max(1, -(-max((n for *_, n in sources), default=1) // bucket_rows))
     passes = rows.withColumn("pass_no", F.explode(F.sequence(F.lit(1), F.col("max_repeats")))).withColumn("_h", F.xxhash64(F.lit(seed), "pass_no", "key"))
     # The order within a source is (pass, hash); a bucket is a range of hashes within a pass.
     bucket = F.col("pass_no") * F.lit(buckets) + F.floor((F.shiftrightunsigned("_h", 32) * F.lit(buckets)) / F.lit(float(2**32))).cast("long")
     order = [F.shiftrightunsigned("_h", 32), "_h", "key"]
     served = prefix_sum(passes, ["source"], order, "n_tokens", bucket, "served")
     timed = cut(served.select("key", "source", "pass_no", "n_tokens", (F.col("served") / F.col("target_share")).alias("finish_time")))
-    # Nothing later than the budget can be taken: at time V all sources together have served at most V.
-    near = timed.where(F.col("finish_time") <= F.lit(budget * 1.5 + 1))
+    last = latest_finish(sources, budget)
+    near = timed.where(F.col("finish_time") <= F.lit(last))
     slices = max(1, -(-near.count() // bucket_rows))
-    return prefix_sum(near, [], ["finish_time", "source", "pass_no", "key"], "n_tokens", F.floor(F.col("finish_time") * F.lit(slices / (budget * 1.5 + 1))).cast("long"), "total").where(F.col("total") <= budget)
+    return prefix_sum(near, [], ["finish_time", "source", "pass_no", "key"], "n_tokens", _slice(sources, last, slices), "total").where(F.col("total") <= budget)
+
+
+def latest_finish(sources: list[tuple[float, int, int, int]], budget: int) -> float:
+    """A finish time after which no record can be within the budget, from (share, tokens, longest record, records).
+
+    At time V a source has served its share of V, less one record at most, or all it has. The least V at which
+    that sums to the budget is found by halving; sources that run out make it late, so it has no fixed bound."""
+    end = max((t / w for w, t, _, _ in sources), default=0.0)
+    surely = lambda v: sum(t if v * w >= t else max(0.0, v * w - m) for w, t, m, _ in sources)
+    if surely(end) <= budget:
+        return end
+    lo, hi = 0.0, end
+    for _ in range(64):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if surely(mid) > budget else (mid, hi)
+    return hi
+
+
+def _slice(sources: list[tuple[float, int, int, int]], last: float, slices: int):
+    """Slice of a finish time, with about as many tokens in each: the tokens served by then, a line between at most
+    32 of the times at which sources run out."""
+    total = lambda v: sum(min(v * w, t) for w, t, _, _ in sources)
+    ends = sorted({t / w for w, t, _, _ in sources if t / w < last})
+    times = [0.0, *ends[:: max(1, -(-len(ends) // 32))], last]
+    at, done = F.col("finish_time"), None
+    for a, b in zip(times, times[1:]):
+        line = F.lit(total(a)) + (at - F.lit(a)) * F.lit((total(b) - total(a)) / max(b - a, 1e-300))
+        done = F.when(at <= F.lit(b), line) if done is None else done.when(at <= F.lit(b), line)
+    return F.floor(done * F.lit(slices / max(total(last), 1e-300))).cast("long") if done is not None else F.lit(0)
 
 
 def actual_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -304,6 +304,38 @@ def test_prefix_sum_against_brute_force(spark):
             assert got[k] == total
 
 
+def _sizes(spark, rows):
+    return spark.createDataFrame(rows, "key long, source string, n_tokens long")
+
+
+def test_mixture_goes_on_when_a_source_runs_out(spark):
+    """A budget that one source cannot share is filled by the others; shares need not sum to one."""
+    rows = [(i, "a" if i == 0 else "b", 10) for i in range(101)]
+    for share in (0.5, 0.2):
+        targets = spark.createDataFrame([("a", share, 1), ("b", share, 1)], "source string, target_share double, max_repeats int")
+        for bucket_rows in (7, 50000):
+            got = mixing.mix_sources(_sizes(spark, rows), targets, budget=800, bucket_rows=bucket_rows).collect()
+            assert sum(r.n_tokens for r in got) == 800 and len({r.key for r in got}) == 80
+        assert sum(r.n_tokens for r in mixing.mix_sources(_sizes(spark, rows), targets, budget=10**6).collect()) == 1010
+        assert mixing.mix_sources(_sizes(spark, rows[:0]), targets).count() == 0
+
+
+def test_mixture_against_brute_force(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice("aaab"), rnd.choice([1, 5, 40, 300])) for i in range(300)]
+    share = {"a": 0.3, "b": 0.7}
+    targets = spark.createDataFrame([(k, v, 2) for k, v in share.items()], "source string, target_share double, max_repeats int")
+    for budget in (100, 5000, 20000):
+        got = sorted(mixing.mix_sources(_sizes(spark, rows), targets, budget=budget, bucket_rows=16).collect(), key=lambda r: r.total)
+        every = mixing.mix_sources(_sizes(spark, rows), targets, budget=10**9).collect()
+        want, total = [], 0
+        for r in sorted(every, key=lambda r: (r.finish_time, r.source, r.pass_no, r.key)):
+            total += r.n_tokens
+            if total <= budget:
+                want.append((r.key, r.pass_no, total))
+        assert [(r.key, r.pass_no, r.total) for r in got] == want
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     "text,items",

@@ -29,9 +29,8 @@ LETTER_ID = regex.compile(
 SHAPED_ID = regex.compile(r"(?<![\d.\-/(+])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\d\-])")
 # Seed labels of identity numbers that consist of digits only.
 _ID_LABEL = regex.compile(r"(?:ausweisnummer|ausweis-?nr\.?|steuer-?id\w*|steuernummer|numéro|n° de sécu\w*|codice fiscale|identity number)\s*:?\s*$", regex.I)
-NUMBER = regex.compile(r"(?<![\p{L}\d.,:/\-+(])(?:\+|00)?\(?\+?\d[\d().\-/    ]{5,28}\d(?![\p{L}\d])(?!-\d|[.,:]\d)")
 _CC = regex.compile(r"^(?:\+|00[1-9]|\(\+)")
-_TOKEN = regex.compile(rf"[{_L}]+(?:[’'\-.][{_L}]+)*[.]?|\d+|[^\s\w]")
+_TOKEN = re.compile(r"[^\W\d_]+(?:[’'\-.][^\W\d_]+)*[.]?|\d+|[^\s\w]")
 
 # Kinds of streets, and words for a door.
 _STREET_LEAD = r"(?:calle|c/|avenida|avda?\.?|plaza|pza\.?|plza\.?|paseo|pº|camino|ronda|carretera|ctra\.?|travesía|rua|r\.|av\.|travessa|praça|largo|alameda|estrada|rodovia|rue|avenue|boulevard|bd|place|chemin|quai|impasse|allée|all\.|via|viale|corso|piazza|vicolo|largo)"
@@ -73,9 +72,12 @@ def right_context(text: str, at: int, n: int = 1) -> str:
     return " ".join("0" if t.isdigit() else t.lower() for t in toks[:n])
 
 
+_GROUP = re.compile(r"\d+")
+
+
 def grouping(number: str) -> str:
     """The shape of a number: lengths of its digit groups and what parts them."""
-    return regex.sub(r"\d+", lambda m: str(len(m.group())), number.replace(" ", " "))
+    return _GROUP.sub(lambda m: str(len(m.group())), number.replace(" ", " "))
 
 
 _NUMBER_AT = re.compile("(?<![A-Za-zÀ-ÿ0-9.,:/(+-])[+(]{0,2}\\d[\\d().\\-/ \u00a0\u2007\u2009\u202f]{5,28}\\d")
@@ -238,78 +240,100 @@ def fold(token: str) -> str:
     return token.lower()
 
 
-def candidates(text: str):
+_BESIDE = re.compile(r"\s?[<(,]?\s?(?:[^\W\d_][^\W\d_/ºª°.’']*\s){0,3}")
+
+
+KINDS = ("email", "phone", "id_number", "address", "name")
+
+
+def candidates(text: str, proven: list[tuple[int, int, str]], numbers: list[tuple[int, int, str]]):
     """(role, left, shape, right, seed, first, rest) rows for the graph.
 
     Numbers: role 'number', left context, grouping, right context, seed 'phone', 'id_number' or ''. Names: role
     'name', left context, 'whole' or 'part' of a run, right context, seed 'name' if proof of another kind stands beside it; with the
     run's first token as given name and the others as surnames.
     """
-    proven = shaped(text)
-    at = {}
-    for a, b, k in proven:
-        at[a] = k
+    at = {a: k for a, _, k in proven}
     taken = [(a, b) for a, b, _ in proven]
     for a, b, k in proven:
         if k == "id_number":
             yield "number", left_context(text, a), grouping(text[a:b]), right_context(text, b), "id_number", "", []
-    for a, b in _number_spans(text):
-        if not any(x < b and a < y for x, y in taken):
-            s = text[a:b]
-            seed = "phone" if _CC.match(s) else "id_number" if sum(c.isdigit() for c in s) >= 11 and _ID_LABEL.search(text, max(0, a - 24), a) else ""
-            yield "number", left_context(text, a), grouping(s), right_context(text, b), seed, "", []
+    for a, b, left in numbers:
+        s = text[a:b]
+        seed = "phone" if _CC.match(s) else "id_number" if sum(c.isdigit() for c in s) >= 11 and _ID_LABEL.search(text, max(0, a - 24), a) else ""
+        yield "number", left, grouping(s), right_context(text, b), seed, "", []
     for a, b, toks, whole in capital_runs(text):
         if any(x < b and a < y for x, y in taken):
             continue
-        near = text[b : b + 26]
         seed = ""
-        m = regex.match(r"\s?[<(,]?\s?(?:[\p{L}/ºª°.’']+\s){0,3}", near)
-        for gap in range(b, b + (m.end() if m else 0) + 2):
-            if at.get(gap) in ("email", "id_number"):
-                seed = "name"
+        if at:
+            near = text[b : b + 26]
+            for gap in range(b, b + _BESIDE.match(near).end() + 2):
+                if at.get(gap) in ("email", "id_number"):
+                    seed = "name"
         yield "name", left_context(text, a, 2), "whole" if whole else "part", right_context(text, b, 2), seed, toks[0], [t for t in toks[1:] if t.lower() not in _PARTICLE]
 
 
-ROWS = "role string, left string, shape string, right string, seed string, first string, rest array<string>"
+READ = (
+    "key {key}, text string, proven array<int>, number_at array<int>, number_left array<string>, "
+    "rows array<struct<role:string,left:string,shape:string,right:string,seed:string,first:string,rest:array<string>>>"
+)
 
 
-def learn(texts: DataFrame, rounds: int = 3, most: int = 20000) -> dict[str, list]:
-    """Patterns and name parts of high confidence.
+def read_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """rid, key, text, proven, number_at, number_left, rows: every text with what one reading finds in it.
 
-    Everything is counted over all texts; what is returned is bounded: an entry needs three supporting rows and
-    1/``most`` of all rows of its role, so at most ``most`` entries of a kind can exist however large the input.
+    ``proven`` has (start, end, kind) of what its form proves, ``number_at`` (start, end) and ``number_left`` the left
+    context of the numbers that need more proof, ``rows`` the candidates for the graph. The table is written once
+    and read for learning and for finding, so no pattern runs twice over a text.
     """
 
     def make():
-        def kernel(ts):
-            for t in ts:
-                if t:
-                    yield from candidates(t)
+        def kernel(keys, texts):
+            for k, t in zip(keys, texts):
+                proven, numbers = [], []
+                if t and not t.isspace():
+                    proven = shaped(t)
+                    taken = [(a, b) for a, b, _ in proven]
+                    numbers = [(a, b, left_context(t, a)) for a, b in _number_spans(t) if not any(x < b and a < y for x, y in taken)]
+                yield (
+                    k, t, [x for a, b, kind in proven for x in (a, b, KINDS.index(kind))], [x for a, b, _ in numbers for x in (a, b)], [c for _, _, c in numbers],
+                    list(candidates(t, proven, numbers)) if t else [],
+                )
 
         return kernel
 
-    rows = cut(arrow_rows(texts, ["text"], ROWS, make).groupBy("role", "left", "shape", "right", "seed", "first", "rest").agg(F.count("*").alias("n")))
-    out: dict[str, list] = {}
+    src = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return cut(arrow_rows(src, ["key", "text"], READ.format(key=dict(src.dtypes)["key"]), make).withColumn("rid", F.monotonically_increasing_id()))
+
+
+SUPPORT = 3
+MOST_SENT = 200_000
+
+
+def learn(texts: DataFrame, rounds: int = 3) -> DataFrame:
+    """role, key, value: the patterns and name parts of high confidence, from what ``read_texts`` found.
+
+    Roles: ``phone`` and ``id_number`` (left context, confidence), ``given`` (name, uses), ``surname``, ``affix`` (first or last
+    letters of surnames, confidence) and ``opener`` (words that only stand before names). Everything is counted over
+    all texts, and an entry needs ``SUPPORT`` rows however large the input.
+    """
+    rows = cut(texts.select(F.explode("rows").alias("r")).select("r.*").groupBy("role", "left", "shape", "right", "seed", "first", "rest").agg(F.count("*").alias("n")))
 
     # Numbers: patterns (left context) and groupings vote for each other, a kind at a time.
-    num = rows.where("role = 'number'").groupBy("left", "shape").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("seed") == k, F.col("n")).otherwise(0)).alias(f"s_{k}") for k in ("phone", "id_number")])
-    num = cut(num)
-    total = num.agg(F.sum("n")).first()[0] or 0
-    floor = max(3, total // most)
-    for kind in ("phone", "id_number"):
-        conf = num.withColumn("c", F.least(F.lit(1.0), F.col(f"s_{kind}") / F.col("n")))
-        for _ in range(rounds):
-            pats = conf.groupBy("left").agg((F.sum(F.col("c") * F.col("n")) / (F.sum("n") + 1)).alias("p"))
-            shapes = conf.groupBy("shape").agg((F.sum(F.col("c") * F.col("n")) / (F.sum("n") + 1)).alias("q"))
-            conf = num.join(pats, "left").join(shapes, "shape").withColumn("c", F.greatest(F.col(f"s_{kind}") / F.col("n"), F.when(F.col("p") >= 0.08, F.sqrt("p")).otherwise(0.0), F.when((F.col("p") >= 0.02) & (F.col("q") >= 0.5), F.col("q")).otherwise(0.0)))
-            conf = cut(conf.select("left", "shape", "n", f"s_{kind}", "c"))
-        pats = conf.groupBy("left").agg((F.sum(F.col("c") * F.col("n")) / F.sum("n")).alias("p"), F.sum("n").alias("n")).where((F.col("n") >= floor) & (F.col("p") >= 0.25))
-        out[kind] = [(r.left, round(r.p, 3)) for r in pats.collect()]
+    kinds = ("phone", "id_number")
+    num = cut(rows.where("role = 'number'").groupBy("left", "shape").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("seed") == k, F.col("n")).otherwise(0)).alias(f"s_{k}") for k in kinds]))
+    conf = num.select("*", *[F.least(F.lit(1.0), F.col(f"s_{k}") / F.col("n")).alias(f"c_{k}") for k in kinds])
+    for _ in range(rounds):
+        votes = lambda by, name: conf.groupBy(by).agg(*[(F.sum(F.col(f"c_{k}") * F.col("n")) / (F.sum("n") + 1)).alias(f"{name}_{k}") for k in kinds])  # noqa: B023, E731
+        both = num.join(votes("left", "p"), "left").join(votes("shape", "q"), "shape")
+        score = lambda k: F.greatest(F.col(f"s_{k}") / F.col("n"), F.when(F.col(f"p_{k}") >= 0.08, F.sqrt(f"p_{k}")).otherwise(0.0), F.when((F.col(f"p_{k}") >= 0.02) & (F.col(f"q_{k}") >= 0.5), F.col(f"q_{k}")).otherwise(0.0))
+        conf = cut(both.select(*num.columns, *[score(k).alias(f"c_{k}") for k in kinds]))
+    pats = conf.groupBy("left").agg(*[(F.sum(F.col(f"c_{k}") * F.col("n")) / F.sum("n")).alias(k) for k in kinds], F.sum("n").alias("n")).where(F.col("n") >= SUPPORT)
+    numbers = pats.select("left", F.explode(F.array(*[F.struct(F.lit(k).alias("role"), F.col(k).alias("value")) for k in kinds])).alias("e")).where("e.value >= 0.25").select("e.role", F.col("left").alias("key"), F.round("e.value", 3).alias("value"))
 
     # Names: given names, surnames and contexts vote for each other.
     names = cut(rows.where("role = 'name'").withColumn("id", F.monotonically_increasing_id()))
-    total = names.agg(F.sum("n")).first()[0] or 0
-    floor = max(3, total // most)
     ends = lambda t: F.array(F.concat(F.lit("^"), F.substring(F.lower(t), 1, 4)), F.concat(F.substring(F.lower(t), -3, 3), F.lit("$")))
     nodes_of = F.concat(
         F.array(F.concat(F.lit("L:"), "left"), F.concat(F.lit("R:"), "right"), F.concat(F.lit("G:"), F.lower("first"))),
@@ -325,26 +349,34 @@ def learn(texts: DataFrame, rounds: int = 3, most: int = 20000) -> dict[str, lis
         context = F.greatest(strong("L"), strong("R"))
         score = 1 - (1 - context * F.greatest(strong("G"), strong("A"))) * (1 - strong("G") * strong("A"))
         conf = cut(names.select("id", "n", "seed").join(voted, "id").select("id", "n", F.when(F.col("seed") == "name", 1.0).otherwise(score).alias("c")))
-    final = parts.join(conf.select("id", "c"), "id").groupBy("node").agg((F.sum(F.col("c") * F.col("n")) / (F.sum("n") + 1)).alias("p"), F.sum("n").alias("n")).where(F.col("n") >= floor)
+    final = parts.join(conf.select("id", "c"), "id").groupBy("node").agg((F.sum(F.col("c") * F.col("n")) / (F.sum("n") + 1)).alias("p"), F.sum("n").alias("n")).where(F.col("n") >= SUPPORT)
     final = cut(final)
     # A given name seldom ends a run; and a word that stands before many different given names ("Ayer Teresa",
     # "Leserin Anke") only opens the sentence or names a role.
     seq = names.where("shape = 'whole'").select("n", F.posexplode(F.transform(F.concat(F.array("first"), "rest"), F.lower)).alias("i", "g"), F.transform(F.concat(F.array("first"), "rest"), F.lower).alias("all"))
     seq = cut(seq.select("g", "n", F.get("all", F.col("i") + 1).alias("next"), (F.col("i") == F.size("all") - 1).alias("last")))
     ends_run = seq.groupBy("g").agg(F.sum("n").alias("uses"), (F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)) / F.sum("n")).alias("last_share"))
-    given = final.where("node LIKE 'G:%' AND p >= 0.4 AND length(node) > 3").select(F.substring("node", 3, 64).alias("g"))
+    given = final.where("node LIKE 'G:%' AND p >= 0.4 AND length(node) > 3").select(F.expr("substr(node, 3)").alias("g"))
     given = cut(given.where(~F.col("g").isin(*sorted(_PARTICLE | _TITLE))).join(ends_run.where("last_share < 0.3").select("g", "uses"), "g"))
     before = seq.where("next IS NOT NULL").join(given.select(F.col("g").alias("next"), F.lit(1).alias("hit")), "next", "left")
     opener = before.groupBy("g").agg((F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"), F.count_distinct(F.when(F.col("hit") == 1, F.col("next"))).alias("kinds")).where("share >= 0.5 AND kinds >= 4")
-    out["opener"] = [r.g for r in opener.collect()]
-    out["given"] = [(r.g, r.uses) for r in given.join(opener, "g", "left_anti").collect()]
-    out["left"] = [r.node[2:] for r in final.where("node LIKE 'L:%' AND p >= 0.5").collect()]
-    out["right"] = [r.node[2:] for r in final.where("node LIKE 'R:%' AND p >= 0.5").collect()]
     # Surnames are an open class: beside the names themselves, their beginnings and ends have voted.
     sur = parts.join(conf.select("id", "c"), "id").where("node LIKE 'S:%' AND length(node) >= 5").groupBy("node").agg((F.sum(F.col("c") * F.col("n")) / F.sum("n")).alias("p"), F.sum("n").alias("n"))
-    out["affix"] = [(r.node[2:], round(r.p, 3)) for r in final.where("node LIKE 'A:%' AND p >= 0.4").collect()]
-    out["surname"] = [r.node[2:] for r in sur.where((F.col("p") >= 0.6) & (F.col("n") >= floor)).collect()]
-    return out
+    sur = sur.where((F.col("p") >= 0.6) & (F.col("n") >= SUPPORT))
+    opener = cut(opener)
+    entry = lambda d, role, key, value: d.select(F.lit(role).alias("role"), key.alias("key"), F.round(value, 3).alias("value"))
+    node = F.expr("substr(node, 3)")
+    learnt = [
+        numbers,
+        entry(opener, "opener", F.col("g"), F.lit(1.0)),
+        entry(given.join(opener, "g", "left_anti"), "given", F.col("g"), F.col("uses").cast("double")),
+        entry(final.where("node LIKE 'A:%' AND p >= 0.4"), "affix", node, F.col("p")),
+        entry(sur, "surname", node, F.lit(1.0)),
+    ]
+    out = learnt[0]
+    for d in learnt[1:]:
+        out = out.unionByName(d)
+    return cut(out)
 
 
 _INITIAL = re.compile(rf"(?<![\w.])[{_UPPER}]\.")
@@ -353,17 +385,18 @@ _INITIAL = re.compile(rf"(?<![\w.])[{_UPPER}]\.")
 class Extractor:
     """Reads a text with the learnt patterns."""
 
-    def __init__(self, learnt: dict[str, list]) -> None:
-        self.phone = dict(learnt["phone"])
-        self.id = dict(learnt["id_number"])
-        surely = {a for a, p in learnt["affix"] if p >= 0.75}
+    def __init__(self, learnt: list[tuple[str, str, float]]) -> None:
+        by: dict[str, dict[str, float]] = {role: {} for role in ("phone", "id_number", "opener", "given", "affix", "surname")}
+        for role, key, value in learnt:
+            by[role][key] = value
+        self.phone, self.id = by["phone"], by["id_number"]
+        surely = {a for a, p in by["affix"].items() if p >= 0.75}
         # A rare word built like the surnames is one that happened to come first.
-        self.given = {g for g, uses in learnt["given"] if uses >= 12 or not (len(g) >= 6 and "^" + g[:4] in surely and g[-3:] + "$" in surely)}
-        self.left, self.right = set(learnt["left"]), set(learnt["right"])
-        self.head = {a[1:] for a, _ in learnt["affix"] if a[0] == "^"}
-        self.tail = {a[:-1] for a, _ in learnt["affix"] if a[-1] == "$"}
-        self.surname = set(learnt["surname"]) - self.given - set(learnt["opener"])
-        self.opener = set(learnt["opener"])
+        self.given = {g for g, uses in by["given"].items() if uses >= 12 or not (len(g) >= 6 and "^" + g[:4] in surely and g[-3:] + "$" in surely)}
+        self.head = {a[1:] for a in by["affix"] if a[0] == "^"}
+        self.tail = {a[:-1] for a in by["affix"] if a[-1] == "$"}
+        self.opener = set(by["opener"])
+        self.surname = set(by["surname"]) - self.given - self.opener
         import ahocorasick
 
         self.givens = ahocorasick.Automaton()
@@ -371,15 +404,12 @@ class Extractor:
             self.givens.add_word(g, len(g))
         self.givens.make_automaton()
 
-    def spans(self, text: str | None) -> list[tuple[int, int, str]]:
+    def spans(self, text: str | None, proven: list[int], number_at: list[int], number_left: list[str]) -> list[tuple[int, int, str]]:
+        """(start, end, kind) of the items of a text, from what ``read_texts`` found in it."""
         if not text or text.isspace():
             return []
-        out = shaped(text)
-        taken = [(a, b) for a, b, _ in out]
-        for a, b in _number_spans(text):
-            if any(x < b and a < y for x, y in taken):
-                continue
-            ctx = left_context(text, a)
+        out = [(a, b, KINDS[k]) for a, b, k in zip(proven[::3], proven[1::3], proven[2::3])]
+        for a, b, ctx in zip(number_at[::2], number_at[1::2], number_left):
             p, i = self.phone.get(ctx, 0.0), self.id.get(ctx, 0.0)
             if _CC.match(text[a:b]) and text[a] != "0":
                 p = max(p, 0.5)
@@ -512,59 +542,93 @@ class Extractor:
         return best
 
 
-def find_personal(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, char_start, char_end, pii_kind, item for every item of personal information.
+_WORDS = regex.compile(r"\w+(?:[’'\-]\w+)*")
 
-    Offsets are code points of the stored text. Null and blank texts give no row, a null key is kept. The texts
-    are read twice: once for the graph and once with what it taught. Other columns of ``df`` are ignored.
-    """
-    src = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
-    learnt = learn(src)
 
-    def make():
-        ex = Extractor(learnt)
+def entry_keys(text: str, number_left: list[str]) -> set[str]:
+    """All keys under which something learnt could bear on a text: its words and their parts, their beginnings and
+    ends, and the left contexts of its numbers."""
+    words = set(_WORDS.findall(_lower(text)))
+    words |= {p for w in words for p in regex.split("[’'\\-]", w)}
+    return words | {"^" + w[:4] for w in words} | {w[-3:] + "$" for w in words} | set(number_left)
 
-        def kernel(keys, texts):
-            for k, t in zip(keys, texts):
-                for a, b, kind in ex.spans(t):
-                    yield k, a, b, kind, t[a:b]
+
+def _extract(read: DataFrame, most_sent: int, schema: str, rows) -> DataFrame:
+    """Apply ``rows(key, text, spans)`` to every text. What was learnt goes to all tasks if it has at most ``most_sent``
+    entries; more are joined to the texts by the keys that can bear on them, and each batch reads with its own."""
+    learnt = learn(read)
+    found = ["proven", "number_at", "number_left"]
+    if learnt.count() <= most_sent:
+        entries = [tuple(r) for r in learnt.select("role", "key", "value").collect()]
+
+        def make():
+            ex = Extractor(entries)
+
+            def kernel(keys, texts, *parts):
+                for k, t, *p in zip(keys, texts, *parts):
+                    yield from rows(k, t, ex.spans(t, *p))
+
+            return kernel
+
+        return arrow_rows(read, ["key", "text", *found], schema, make)
+
+    def make_keys():
+        def kernel(rids, texts, lefts):
+            for r, t, left in zip(rids, texts, lefts):
+                for k in entry_keys(t, left) if t else ():
+                    yield r, k
 
         return kernel
 
-    kind = dict(src.dtypes)["key"]
-    return arrow_rows(src, ["key", "text"], f"key {kind}, char_start int, char_end int, pii_kind string, item string", make)
+    bearing = arrow_rows(read, ["rid", "text", "number_left"], "rid long, key string", make_keys).join(learnt, "key").groupBy("rid").agg(F.collect_set(F.struct("role", "key", "value")).alias("entries"))
 
+    def make_own():
+        def kernel(keys, texts, entries, *parts):
+            ex = Extractor([(e["role"], e["key"], e["value"]) for es in entries for e in es or ()])
+            for k, t, *p in zip(keys, texts, *parts):
+                yield from rows(k, t, ex.spans(t, *p))
 
-PLACEHOLDERS = {"email": "<EMAIL>", "phone": "<PHONE>", "id_number": "<ID>", "address": "<ADDRESS>", "name": "<NAME>"}
+        return kernel
 
+    return arrow_rows(read.join(bearing, "rid", "left"), ["key", "text", "entries", *found], schema, make_own)
 
-def redact(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, redacted, n_items: the text with typed placeholders for the items and otherwise unchanged.
 
-    Null text stays null. Other columns of ``df`` are ignored.
+def find_personal(df: DataFrame, key: str, text: str, most_sent: int = MOST_SENT) -> DataFrame:
+    """key, char_start, char_end, pii_kind, item for every item of personal information.
+
+    Offsets are code points of the stored text. Null and blank texts give no row, a null key is kept. Other columns
+    of ``df`` are ignored.
     """
-    src = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    learnt = learn(src)
 
-    def make():
-        ex = Extractor(learnt)
+    def rows(k, t, spans):
+        for a, b, kind in spans:
+            yield k, a, b, kind, t[a:b]
 
-        def kernel(keys, texts):
-            for k, t in zip(keys, texts):
-                if t is None:
-                    yield k, None, 0
-                    continue
-                out, last = [], 0
-                spans = ex.spans(t)
-                for a, b, kind in spans:
-                    out += (t[last:a], PLACEHOLDERS[kind])
-                    last = b
-                yield k, "".join([*out, t[last:]]), len(spans)
+    read = read_texts(df.where(F.col(text).isNotNull()), key, text)
+    return _extract(read, most_sent, f"key {dict(read.dtypes)['key']}, char_start int, char_end int, pii_kind string, item string", rows)
 
-        return kernel
 
-    kind = dict(src.dtypes)["key"]
-    return arrow_rows(src, ["key", "text"], f"key {kind}, redacted string, n_items int", make)
+PLACEHOLDERS = {"email": "<EMAIL>", "phone": "<PHONE>", "id_number": "<ID>", "address": "<ADDRESS>", "name": "<NAME>"}
+
+
+def redact(df: DataFrame, key: str, text: str, most_sent: int = MOST_SENT) -> DataFrame:
+    """key, redacted, n_items: the text with typed placeholders for the items and otherwise unchanged.
+
+    Null text stays null. Other columns of ``df`` are ignored.
+    """
+
+    def rows(k, t, spans):
+        if t is None:
+            yield k, None, 0
+            return
+        out, last = [], 0
+        for a, b, kind in spans:
+            out += (t[last:a], PLACEHOLDERS[kind])
+            last = b
+        yield k, "".join([*out, t[last:]]), len(spans)
+
+    read = read_texts(df, key, text)
+    return _extract(read, most_sent, f"key {dict(read.dtypes)['key']}, redacted string, n_items int", rows)
 
 
 def _docs(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ def iou(a: str = "a", b: str = "b"):
 def greedy_pairs(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
     """page, a, b, iou: in the order of ``left`` ids each takes the free ``right`` of its role that overlaps most."""
     ship(left.sparkSession)
-    pairs = left.alias("a").join(right.alias("b"), (F.col("a.page") == F.col("b.page")) & (F.col("a.role") == F.col("b.role")) & (F.col("a.id") != F.col("b.id"))).select(F.col("a.page").alias("page"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(iou(), 9).alias("iou")).where(F.col("iou") >= least)
+    pairs = left.alias("a").join(right.alias("b"), (F.col("a.page") == F.col("b.page")) & (F.col("a.role") == F.col("b.role"))).select(F.col("a.page").alias("page"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(iou(), 9).alias("iou")).where(F.col("iou") >= least)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
@@ -33,7 +33,16 @@ def greedy_pairs(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataF
                     break
         return pd.DataFrame(out, columns=["page", "a", "b", "iou"])
 
-    return pairs.groupBy("page").applyInPandas(run, "page long, a long, b long, iou double")
+    kinds = dict(pairs.dtypes)
+    return pairs.groupBy("page").applyInPandas(run, f"page {kinds['page']}, a {kinds['a']}, b {kinds['b']}, iou double")
+
+
+def match_report(expected: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
+    """page, regions, matched, recall, mean_iou, min_iou, max_delta of greedy matching; pages without a match count too."""
+    pairs = greedy_pairs(expected, found, least)
+    scores = pairs.join(expected.select(F.col("id").alias("a"), F.col("confidence").alias("ca")), "a").join(found.select(F.col("id").alias("b"), F.col("confidence").alias("cb")), "b")
+    per = scores.groupBy("page").agg(F.count("*").alias("matched"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.min("iou").alias("min_iou"), F.round(F.max(F.abs(F.col("ca") - F.col("cb"))), 6).alias("max_delta"))
+    return expected.groupBy("page").agg(F.count("*").alias("regions")).join(per, "page", "left").select("page", "regions", F.coalesce("matched", F.lit(0)).alias("matched"), (F.coalesce("matched", F.lit(0)) / F.col("regions")).alias("recall"), "mean_iou", "min_iou", "max_delta")
 
 
 def first_fit_clusters(boxes: DataFrame, gap: int = 42) -> DataFrame:
@@ -55,7 +64,8 @@ def first_fit_clusters(boxes: DataFrame, gap: int = 42) -> DataFrame:
                 out.append((r.page, r.id, len(clusters) - 1))
         return pd.DataFrame(out, columns=["page", "id", "cluster"])
 
-    return boxes.groupBy("page").applyInPandas(run, "page long, id long, cluster int")
+    kinds = dict(boxes.dtypes)
+    return boxes.groupBy("page").applyInPandas(run, f"page {kinds['page']}, id {kinds['id']}, cluster int")
 
 
 def vote_ranks(boxes: DataFrame) -> DataFrame:

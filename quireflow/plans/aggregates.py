@@ -14,21 +14,11 @@ def upper_median(v: str) -> str:
 q("agg_percentile_nearest", f"SELECT document_id, page_index, {nearest('w', 0.1)} AS p10, {nearest('w', 0.75)} AS p75, {nearest('w', 0.9)} AS p90 FROM lines WHERE w IS NOT NULL GROUP BY document_id, page_index")
 q("agg_median_upper", f"SELECT document_id, page_index, {upper_median('h')} AS median_h FROM lines WHERE h IS NOT NULL GROUP BY document_id, page_index")
 q("agg_p95_is_max", "SELECT name, max(numerator) AS p95 FROM metrics GROUP BY name")
-q("agg_page_metrics", f"SELECT document_id, page_index, CASE WHEN x < 300 THEN 0 ELSE 1 END AS col, {upper_median('h')} AS median_h, {nearest('h', 0.75)} AS p75_h, {nearest('x', 0.1)} AS p10_left, {nearest('x + w', 0.9)} AS p90_right FROM lines WHERE w > 0 AND h > 0 AND x IS NOT NULL AND confidence >= 0.6 GROUP BY document_id, page_index, CASE WHEN x < 300 THEN 0 ELSE 1 END")
 q("agg_page_span", "SELECT document_id, page_index, max(x + w) - min(x) AS span FROM lines GROUP BY document_id, page_index")
-q("agg_layout_role", "SELECT page, role, top FROM (SELECT page, role, top, row_number() OVER (PARTITION BY page ORDER BY top DESC, role) AS rk, lead(top) OVER (PARTITION BY page ORDER BY top DESC, role) AS second FROM (SELECT page, role, max(confidence) AS top FROM rects GROUP BY page, role) g) t WHERE rk = 1 AND top - coalesce(second, 0) >= 0.0")
-q("agg_layout_coverage", "SELECT document_id, page_index, count_if(h >= 12) * 100 >= 60 * count_if(text IS NOT NULL AND trim(text) <> '') AS layout_mode FROM lines GROUP BY document_id, page_index")
 q("agg_group_confidence", "SELECT document_id, page_index, min(least(greatest(coalesce(confidence, 0), 0), 1)) AS confidence FROM lines GROUP BY document_id, page_index")
 q("agg_corpus_summary", "SELECT count(*) AS entries, cast(sum(coalesce(page_count, 0)) AS bigint) AS pages, count_if(sha256_hex IS NOT NULL) AS hashed, bool_and(NOT required OR distributable) AS complete, bool_or(entry_role = 'long_form' AND coalesce(page_count, 0) >= 1000) AS long_form, bool_or(entry_role = 'adversarial') AS adversarial FROM entries")
 q("agg_uniqueness", "SELECT count(*) - count(DISTINCT document_id) AS duplicate_ids, count(file_path) - count(DISTINCT file_path) AS duplicate_paths FROM manifest")
 q("agg_manifest_total", "SELECT entry_role, cast(sum(byte_size) AS bigint) AS bytes, count(*) AS files, sum(byte_size) <= 17179869184 AS within FROM entries GROUP BY entry_role")
-q("agg_nfr7_means", "SELECT c_mktsegment AS language, c_nationkey AS passage, count(*) AS n, round(avg(c_custkey % 5 + 1), 6) AS naturalness, round(avg(c_custkey % 4 + 2), 6) AS pronunciation, count_if(c_acctbal < 0) AS high_defects FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_mktsegment, c_nationkey))")
-CONF = "(SELECT text LIKE '%fig.%' AS expected, $LIKE(text, '[0-9]{2,}') AS predicted, text LIKE '%...%' AS abstain FROM paragraphs) t"
-q("agg_confusion", f"SELECT count_if(expected AND predicted AND NOT abstain) AS tp, count_if(NOT expected AND NOT predicted AND NOT abstain) AS tn, count_if(NOT expected AND predicted AND NOT abstain) AS fp, count_if(expected AND NOT predicted AND NOT abstain) AS fn, count_if(abstain) AS abstained, round(count_if(expected AND predicted AND NOT abstain) * 1.0 / nullif(count_if(predicted AND NOT abstain), 0), 6) AS precision_, round(count_if(expected AND predicted AND NOT abstain) * 1.0 / nullif(count_if(expected AND NOT abstain), 0), 6) AS recall FROM {CONF}")
-IW = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
-IOU = f"({IW} * 1.0 / (a.w * a.h + b.w * b.h - {IW}))"
-q("agg_iou_stats", f"SELECT page, count(*) AS pairs, round(avg(iou), 6) AS mean_iou, round(min(iou), 6) AS min_iou, round(max(delta), 6) AS max_delta FROM (SELECT a.page, {IOU} AS iou, abs(a.confidence - b.confidence) AS delta FROM rects a JOIN rects b ON a.page = b.page AND a.id < b.id) t WHERE iou >= 0.1 GROUP BY page")
-q("agg_layout_report", f"SELECT min(n) AS min_blocks, {upper_median('n')} AS median_blocks, bool_and(median_h > 0) AS all_finite FROM page_lines")
 q("agg_rtf", "SELECT unit_id, cast(sum(elapsed_ms) AS bigint) AS synthesis_ms, cast(sum(sample_count * 1000 $DIV sample_rate_hz) AS bigint) AS audio_ms, round(sum(elapsed_ms) * 1.0 / greatest(1, sum(sample_count * 1000 $DIV sample_rate_hz)), 6) AS rtf FROM segments GROUP BY unit_id")
 q("agg_tts_summary", f"SELECT unit_id, count(*) AS fragments, min_by(elapsed_ms, segment_index) AS first_ms, {upper_median('elapsed_ms')} AS median_ms, max(elapsed_ms) AS max_ms FROM segments GROUP BY unit_id")
 q("agg_sustained_maxima", "SELECT run_id, max(numerator) AS max_value, max_by(numerator, seq) - min_by(numerator, seq) AS delta, bool_or(name = 'error') AS any_critical FROM metrics GROUP BY run_id")
@@ -39,17 +29,8 @@ q("agg_session_progress", "SELECT document_id, count_if(ocr_status IS NULL OR oc
 q("agg_translation_progress", "SELECT request_id, count_if(coalesce(trim(text), '') <> '') AS translated, count_if(coalesce(trim(text), '') = '') AS failed, count(*) AS units FROM tunits GROUP BY request_id")
 q("agg_bounding_box", "SELECT document_id, page_index, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM lines GROUP BY document_id, page_index")
 q("agg_overlay_body_size", f"SELECT document_id, page_index, round(least(22, greatest(9, {upper_median('h')} * 0.74)), 6) AS size FROM lines WHERE h IS NOT NULL GROUP BY document_id, page_index")
-q("agg_order_votes", "SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY votes, id) AS rk FROM (SELECT a.page, a.id, round(sum(1 / (1 + exp(-(a.y - b.y) / 100.0))), 6) AS votes FROM rects a JOIN rects b ON a.page = b.page AND a.id <> b.id WHERE a.page < 10 GROUP BY a.page, a.id) t")
-q("agg_title_repeat", "SELECT document_id, title, pages FROM (SELECT document_id, trim(text) AS title, count(DISTINCT page_index) AS pages FROM lines WHERE length(text) BETWEEN 4 AND 40 GROUP BY document_id, trim(text)) t WHERE pages >= 3")
-q("agg_outline_cap", "WITH h AS (SELECT document_id, count(*) AS titles, count(DISTINCT page_index) AS pages FROM paragraphs WHERE length(text) <= 40 GROUP BY document_id) SELECT document_id, titles, titles <= greatest(4, pages * 3 $DIV 5) AS kept FROM h")
 q("agg_audio_levels", "SELECT unit_id, max(abs(sample_count - 25000)) AS peak, round(sqrt(avg((sample_count - 25000) * (sample_count - 25000) * 1.0)), 4) AS rms, max(abs(sample_count - 25000)) >= 24000 AS clipping FROM segments GROUP BY unit_id")
 q("agg_furniture_nonautomatic", "WITH f AS (SELECT document_id, trim(text) AS title FROM lines WHERE h < 12 GROUP BY document_id, trim(text)) SELECT f.document_id, count(DISTINCT f.title) AS fragments, count(DISTINCT t.block_id) AS blocks FROM f LEFT JOIN paragraphs t ON t.document_id = f.document_id AND trim(t.text) = f.title GROUP BY f.document_id")
-q("agg_corpus_perf_gate", f"SELECT run_id, count(*) AS samples, {upper_median('numerator')} AS median_value, CASE WHEN count(*) <= 100 THEN {upper_median('numerator')} <= 7500 ELSE {upper_median('numerator')} <= 16000 END AS passed FROM metrics GROUP BY run_id")
 q("agg_language_vote", "WITH v AS (SELECT document_id, lower($PART(voice_id, '-', 2)) AS lang, cast(sum(coalesce(length(text), 0)) AS bigint) AS weight FROM units GROUP BY document_id, lower($PART(voice_id, '-', 2))), t AS (SELECT document_id, lang, weight, sum(weight) OVER (PARTITION BY document_id) AS total FROM v) SELECT document_id, lang FROM t WHERE weight * 100 >= 55 * total AND lang IN ('es', 'en', 'pt') AND weight > 0")
-V = "aeiouyáéíóúàâãêôõüAEIOUYÁÉÍÓÚÀÂÃÊÔÕÜ"
-ACC = "áéíóúàâãêôõüçñÁÉÍÓÚÀÂÃÊÔÕÜÇÑ"
-WORDS = "(SELECT block_id, $EXPLODE($SPLIT(text, $R'[^A-Za-z0-9À-ÖØ-öø-ÿ''’-]+')) AS word FROM paragraphs WHERE $LIKE(text, '^[ -~À-ÿ’“”«»—…]*$'))".replace("''", "’")
-q("agg_text_quality", f"SELECT block_id, count(*) AS words, count_if(length(word) = 1) AS single_letter, count_if(length(word) > 1 AND NOT $LIKE(word, '[0-9]') AND NOT $LIKE(word, '[{V}]')) AS vowelless, cast(sum(length(regexp_replace(word, '[^A-Za-zÀ-ÖØ-öø-ÿ]', ''$G))) AS bigint) AS letters, cast(sum(length(regexp_replace(word, '[^{ACC}]', ''$G))) AS bigint) AS accented FROM {WORDS} t WHERE $LIKE(word, '[A-Za-zÀ-ÖØ-öø-ÿ]') GROUP BY block_id")
-q("agg_cer", "WITH p AS (SELECT t.block_id, regexp_replace(t.text, '[^ -~]', ''$G) AS ref, regexp_replace(l.text, '[^ -~]', ''$G) AS got FROM paragraphs t JOIN lines l ON t.document_id = l.document_id AND t.page_index = l.page_index AND l.block_id = t.document_id || '-p' || cast(t.page_index AS $STR) || '-direct-' || cast(t.block_order AS $STR) WHERE l.text IS NOT NULL AND length(t.text) < 400) SELECT block_id, levenshtein(ref, got) AS edits, length(ref) AS ref_length, round(levenshtein(ref, got) * 1.0 / greatest(1, length(ref)), 6) AS cer, length(ref) > 0 AND levenshtein(ref, got) * 100 <= 5 * length(ref) AS passed FROM p")
 q("agg_furniture_tally", "WITH t AS (SELECT l.document_id, l.page_index, regexp_replace(trim(regexp_replace(l.text, $R'\\s+', ' '$G)), '[0-9]+', '#'$G) AS template, l.y >= p.max_top - 40 AS head, l.w * 100 <= 75 * (p.max_right - p.min_x) AS narrow FROM lines l JOIN page_lines p ON l.document_id = p.document_id AND l.page_index = p.page_index WHERE l.text IS NOT NULL AND p.n >= 2 AND (l.y >= p.max_top - 40 OR l.y <= p.min_y + 40)) SELECT document_id, template, count(DISTINCT page_index) AS pages, count_if(head) AS headers, count_if(NOT head) AS footers, count_if(narrow) AS narrow, count_if(NOT narrow) AS wide FROM t WHERE template <> '' GROUP BY document_id, template")
 q("agg_furniture_exact", "SELECT document_id, regexp_replace(trim(text), '[0-9]+', '#'$G) AS template, trim(text) AS literal, count(DISTINCT page_index) AS pages FROM lines WHERE h < 12 AND text IS NOT NULL GROUP BY document_id, regexp_replace(trim(text), '[0-9]+', '#'$G), trim(text)")

@@ -56,7 +56,14 @@ VIEWS: dict[str, tuple[str, str] | str] = {
     "segments": "SELECT l_orderkey AS unit_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS segment_index, l_linenumber AS declared, cast(floor(l_quantity * 1000) AS bigint) AS sample_count, CASE WHEN l_linenumber % 3 = 0 THEN 22050 ELSE 24000 END AS sample_rate_hz, cast(floor(l_extendedprice / 10) AS bigint) AS elapsed_ms FROM lineitem",
     "fragments": "SELECT o_custkey AS job, o_orderkey AS unit_id, cast(floor(o_totalprice) AS bigint) AS duration_ms, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders",
     "metrics": "SELECT user_id AS run_id, event_id, event_type AS name, cast(floor(value * 100) AS bigint) AS numerator, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, epoch_ms AS clock_ms FROM (SELECT *, {epoch} AS epoch_ms FROM events) q",
-    "rects": "SELECT p_partkey AS id, p_partkey % 50 AS page, (p_partkey * 7) % 300 AS x, (p_partkey * 13) % 200 AS y, 40 + p_size * 4 AS w, 20 + p_size * 3 AS h, p_brand AS role, (p_partkey % 100) / 100.0 AS confidence FROM part",
+    # Boxes of real pages: the lines as a layout detector would see them, with a role by what they hold and where they stand.
+    "rects": "SELECT block_id AS id, document_id, page_index, document_id || '#' || cast(page_index AS $STR) AS page, text, x, y, w, h, confidence, CASE WHEN coalesce(trim(text), '') = '' THEN 'unknown' WHEN $LIKE(trim(text), '^[0-9ivxlIVXL]{1,6}$') THEN 'number' WHEN y >= 760 THEN 'header' WHEN y <= 60 THEN 'footer' WHEN w < 120 THEN 'aside_text' ELSE 'text' END AS role FROM lines WHERE x IS NOT NULL AND y IS NOT NULL AND w > 0 AND h > 0",
+    # Regions of the ground truth, as fractions of a page of 600 by 800 points from the top, in points from the bottom.
+    "regions": "SELECT block_id AS id, document_id, page_index, document_id || '#' || cast(page_index AS $STR) AS page, block_order AS ord, rx * 600 AS x, (1 - ry - rh) * 800 AS y, rw * 600 AS w, rh * 800 AS h, confidence, CASE WHEN degradation = 'unreadable' THEN 'image' WHEN length(text) <= 60 THEN 'paragraph_title' ELSE 'text' END AS role FROM truth WHERE rx IS NOT NULL AND rw > 0 AND rh > 0 AND confidence IS NOT NULL AND NOT isnan(confidence)",
+    # Column boundary of a page: the widest gap of 12 points or more that parts at least two lines from at least two.
+    "gutters": "SELECT document_id, page_index, max_by(next_x, gap * 1000 + i) AS boundary FROM (SELECT document_id, page_index, next_x, next_x - left_edge AS gap, i FROM (SELECT document_id, page_index, max(x + w) OVER (PARTITION BY document_id, page_index ORDER BY x, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS left_edge, lead(x) OVER (PARTITION BY document_id, page_index ORDER BY x, block_id) AS next_x, row_number() OVER (PARTITION BY document_id, page_index ORDER BY x, block_id) AS i, count(*) OVER (PARTITION BY document_id, page_index) AS n FROM lines) o WHERE n >= 4 AND i >= 2 AND n - i >= 2 AND next_x - left_edge >= 12) g GROUP BY document_id, page_index",
+    # Lines in reading order: column by column, each from the top.
+    "ordered": "SELECT l.*, CASE WHEN l.x >= g.boundary THEN 1 ELSE 0 END AS col, row_number() OVER (PARTITION BY l.document_id, l.page_index ORDER BY CASE WHEN l.x >= g.boundary THEN 1 ELSE 0 END, l.y + l.h DESC, l.x, l.block_id) AS pos FROM lines l LEFT JOIN gutters g ON l.document_id = g.document_id AND l.page_index = g.page_index",
     "paragraphs": "SELECT block_id, document_id, page_index, block_order, text FROM truth WHERE degradation IS NULL AND text IS NOT NULL",
 }
 EPOCH = ("unix_millis(cast(ts AS timestamp))", "cast(epoch_ms(ts) AS bigint)")
@@ -138,3 +145,8 @@ def q(name: str, text: str, duck: str | None = None) -> None:
     spark_sql = render(text, 0)
     QUERIES[name] = lambda spark, sf_dir, s=spark_sql: run_sql(spark, sf_dir, s)
     SQL[name] = render(duck or text, 1)
+
+
+def oracle(name: str, duck: str) -> None:
+    """The DuckDB form alone, of a query that ``pipeline`` builds from DataFrame operators."""
+    SQL[name] = render(duck, 1)

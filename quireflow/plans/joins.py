@@ -2,35 +2,14 @@
 
 from .catalog import q
 
-q("join_page_route", "SELECT c.request_id, c.document_id, c.page_index, CASE WHEN c.raster THEN 'ocr' ELSE 'direct' END AS route, coalesce(t.n, 0) AS truth_blocks FROM candidates c LEFT JOIN (SELECT document_id, page_index, count(*) AS n FROM truth GROUP BY document_id, page_index) t ON c.document_id = t.document_id AND c.page_index = t.page_index")
-q("join_truth", "SELECT l.document_id, l.page_index, count(DISTINCT l.block_id) AS predicted, count(DISTINCT t.block_id) AS expected FROM lines l JOIN truth t ON l.document_id = t.document_id AND l.page_index = t.page_index GROUP BY l.document_id, l.page_index")
-q("join_callout_semi", "WITH n AS (SELECT DISTINCT document_id, page_index, regexp_extract(text, '^([0-9]{1,3})[.)]', 1) AS numeral FROM lines WHERE $LIKE(text, '^[0-9]{1,3}[.)]')) SELECT l.block_id FROM lines l WHERE EXISTS (SELECT 1 FROM n WHERE n.document_id = l.document_id AND n.page_index = l.page_index AND l.text LIKE '% ' || n.numeral || '%')")
 q("join_artifact_anti", "WITH e AS (SELECT DISTINCT document_id FROM entries), o AS (SELECT DISTINCT document_id FROM lines) SELECT document_id, 'missing' AS problem FROM e WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.document_id = e.document_id) UNION ALL SELECT document_id, 'unexpected' FROM o WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.document_id = o.document_id)")
-q("join_artifact_verify", "SELECT e.document_id, e.byte_size = m.byte_size AS size_ok, coalesce(e.sha256_hex = m.sha256_hex, false) AS hash_ok FROM entries e JOIN manifest m ON e.document_id = m.document_id AND e.file_path = m.file_path")
-q("join_tree_digest", "SELECT entry_role, $SHA($JOIN($SORT($LIST(coalesce(file_path, '') || ':' || cast(coalesce(byte_size, 0) AS $STR) || ':' || coalesce(sha256_hex, ''))), '|')$256) AS digest FROM entries GROUP BY entry_role")
-q("join_coverage_matrix", "WITH l AS (SELECT * FROM (VALUES ('es'), ('en'), ('pt')) AS v(language)), a AS (SELECT * FROM (VALUES ('single_column'), ('multi_column')) AS v(layout)), c AS (SELECT * FROM (VALUES ('digital'), ('scanned'), ('mixed')) AS v(content)) SELECT language, layout, content FROM l CROSS JOIN a CROSS JOIN c WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE lower(trim(e.language)) = l.language AND e.layout = a.layout AND e.content = c.content)")
-COVER = "greatest(0, least(b.x + b.w, r.x + r.w) - greatest(b.x, r.x)) * greatest(0, least(b.y + b.h, r.y + r.h) - greatest(b.y, r.y)) * 1.0 / (b.w * b.h)"
-OVERLAP = f"(SELECT b.page, b.id AS block, r.id AS region, r.role, r.confidence, round({COVER}, 9) AS coverage FROM rects b JOIN rects r ON b.page = r.page AND b.id <> r.id AND r.confidence >= 0.3 AND b.x < r.x + r.w AND r.x < b.x + b.w AND b.y < r.y + r.h AND r.y < b.y + b.h)"
-q("join_layout_overlap", f"SELECT page, block, region, role FROM (SELECT o.*, row_number() OVER (PARTITION BY block ORDER BY coverage DESC, confidence DESC, region) AS rk, max(CASE WHEN coverage >= 0.6 THEN coverage END) OVER (PARTITION BY block) AS best FROM {OVERLAP} o) t WHERE rk = 1 AND coverage >= 0.6")
-q("join_layout_enrich", f"WITH m AS (SELECT page, count(DISTINCT block) AS matched FROM {OVERLAP} o WHERE coverage >= 0.6 GROUP BY page), n AS (SELECT page, count(*) AS blocks FROM rects GROUP BY page) SELECT n.page, coalesce(m.matched, 0) AS matched, n.blocks, coalesce(m.matched, 0) * 100 >= 60 * n.blocks AS enriched FROM n LEFT JOIN m ON n.page = m.page")
-q("join_spread_nearest", "SELECT id, CASE WHEN (x + w / 2.0 - 150) * (x + w / 2.0 - 150) <= (x + w / 2.0 - 450) * (x + w / 2.0 - 450) THEN 0 ELSE 1 END AS half FROM rects")
-q("join_point_in_rect", "SELECT p.s_suppkey AS point, min_by(r.id, abs(r.y + r.h / 2.0 - (p.s_suppkey * 11) % 700) * 100000 + r.id) AS unit FROM supplier p JOIN rects r ON r.page = p.s_suppkey % 50 GROUP BY p.s_suppkey")
-q("join_chapter_asof", "WITH o AS (SELECT document_id, page_index, min(text) AS title FROM paragraphs WHERE length(text) <= 40 GROUP BY document_id, page_index), u AS (SELECT DISTINCT document_id, page_index FROM paragraphs WHERE length(text) > 80) SELECT o.document_id, o.page_index AS entry_page, min(u.page_index) AS unit_page FROM o JOIN u ON u.document_id = o.document_id AND u.page_index >= o.page_index GROUP BY o.document_id, o.page_index")
 q("join_outline_titles", "WITH p AS (SELECT document_id, page_index, min_by(text, block_order) AS title FROM paragraphs WHERE length(text) <= 60 GROUP BY document_id, page_index), o AS (SELECT document_id, page_index, min_by(text, block_id) AS heading FROM lines WHERE length(text) BETWEEN 4 AND 40 GROUP BY document_id, page_index) SELECT p.document_id, p.page_index, CASE WHEN o.heading IS NOT NULL AND length(o.heading) >= length(p.title) THEN o.heading ELSE p.title END AS title FROM p LEFT JOIN o ON p.document_id = o.document_id AND p.page_index = o.page_index")
-q("join_translation_bridge", "SELECT request_id, count(*) AS units, count(DISTINCT source_id) = count(*) AS once, count_if(source_id IS NULL) AS lost FROM (SELECT t.request_id, t.unit_id, CASE WHEN coalesce(trim(t.text), '') <> '' THEN t.unit_id END AS source_id FROM tunits t) b GROUP BY request_id")
 q("join_segments_units", "SELECT o.o_orderkey AS unit_id, count(s.segment_index) AS segments, coalesce(max(s.segment_index) + 1 = count(s.segment_index), false) AS contiguous FROM orders o LEFT JOIN segments s ON s.unit_id = o.o_orderkey GROUP BY o.o_orderkey")
-q("join_review_key", "SELECT c.c_custkey AS stimulus, n.n_name AS reviewer, r.r_name AS language FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey")
-q("join_annotations_default", "WITH a AS (SELECT id, CASE WHEN id % 7 = 0 THEN 'ambiguous' WHEN id % 3 = 0 THEN 'formula' END AS expected FROM rects) SELECT r.id, coalesce(a.expected, 'not_formula') AS expected FROM rects r LEFT JOIN a ON r.id = a.id WHERE coalesce(a.expected, '') <> 'ambiguous'")
 q("join_anchor_units", "SELECT u.unit_id, u.anchor_id, b.block_id FROM units u JOIN (SELECT document_id, min(block_id) AS block_id FROM paragraphs GROUP BY document_id) b ON u.document_id = b.document_id WHERE u.anchor_id IS NOT NULL")
 q("join_credits_dedupe", "SELECT document_id, language, present FROM (SELECT m.document_id, m.language, m.sha256_hex IS NOT NULL AS present, row_number() OVER (PARTITION BY m.document_id ORDER BY m.received_at, m.byte_size) AS rk FROM manifest m) t WHERE rk = 1")
 q("join_manifest_role", "SELECT document_id, file_path FROM entries WHERE entry_role = 'long_form'")
-TREE = "WITH RECURSIVE tree AS (SELECT c_custkey AS pid, c_custkey AS root, 0 AS depth FROM customer WHERE c_custkey < 10 UNION ALL SELECT c.c_custkey, t.root, t.depth + 1 FROM tree t JOIN customer c ON c.c_custkey $DIV 10 = t.pid AND c.c_custkey >= 10 WHERE t.depth < 6) SELECT root, count(*) AS processes, max(depth) AS depth, cast(sum(pid) AS bigint) AS total FROM tree GROUP BY root"
-q("join_process_tree", TREE)
 q("join_furniture_edge", "WITH k AS (SELECT document_id, trim(text) AS literal FROM lines WHERE h < 12 GROUP BY document_id, trim(text) HAVING count(DISTINCT page_index) >= 3) SELECT l.block_id FROM lines l WHERE EXISTS (SELECT 1 FROM k WHERE k.document_id = l.document_id AND k.literal = trim(l.text))")
 # set operations
-q("set_exact_cover", "WITH req AS (SELECT request_id, unit_id FROM tunits), done AS (SELECT request_id, unit_id FROM tunits WHERE coalesce(trim(text), '') <> ''), failed AS (SELECT request_id, unit_id FROM tunits WHERE coalesce(trim(text), '') = '') SELECT (SELECT count(*) FROM (SELECT * FROM req EXCEPT (SELECT * FROM done UNION SELECT * FROM failed)) a) = 0 AS covered, (SELECT count(*) FROM (SELECT * FROM done INTERSECT SELECT * FROM failed) b) = 0 AS disjoint_")
 q("set_ocr_pages", "SELECT document_id, page_index FROM candidates WHERE raster UNION SELECT document_id, page_index FROM truth WHERE degradation = 'scanned'")
 q("set_equal_matrix", "WITH a AS (SELECT DISTINCT layout, content FROM entries), b AS (SELECT * FROM (VALUES ('single_column', 'digital'), ('single_column', 'scanned'), ('single_column', 'mixed'), ('multi_column', 'digital'), ('multi_column', 'scanned'), ('multi_column', 'mixed')) AS v(layout, content)) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) x) = 0 AND (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) y) = 0 AS equal")
 q("set_case_ids", "SELECT (SELECT count(*) FROM (SELECT document_id FROM truth EXCEPT SELECT document_id FROM entries) x) AS unknown_documents, (SELECT count(DISTINCT document_id) FROM truth) AS documents")
-q("set_append_distinct", "SELECT job_id, $SIZE($UNIQUE($CAT($SORT($LIST(unit_id)), $SORT($LIST(unit_id))))) AS queued FROM units GROUP BY job_id")
-q("set_word_intersection", "WITH a AS (SELECT DISTINCT document_id, $EXPLODE($SPLIT(lower(text), $R'\\s+')) AS word FROM paragraphs), b AS (SELECT DISTINCT document_id, $EXPLODE($SPLIT(lower(text), $R'\\s+')) AS word FROM lines WHERE text IS NOT NULL) SELECT document_id, count(*) AS shared FROM (SELECT * FROM a INTERSECT SELECT * FROM b) i WHERE length(word) >= 4 AND $LIKE(word, '^[a-z]+$') GROUP BY document_id")

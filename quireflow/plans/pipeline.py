@@ -92,7 +92,6 @@ def prd_route(spark, d):
 
 @query("srt_voting_windows")
 def srt_voting_windows(spark, d):
-    """The catalogue's text, kept as the oracle, sees the first 6,400 characters and Latin letters only."""
     return quality.voting_windows(spread(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")))
 
 
@@ -128,7 +127,6 @@ def win_heading_continuation(spark, d):
 
 @query("agg_cer")
 def agg_cer(spark, d):
-    """The catalogue's text, kept as the oracle, sees the ASCII of paragraphs under 400 characters only."""
     block = F.concat("document_id", F.lit("-p"), F.col("page_index").cast("string"), F.lit("-direct-"), F.col("block_order").cast("string"))
     printed = view(spark, d, "paragraphs").select("document_id", "page_index", "block_id", block.alias("line_id"), "text")
     read = view(spark, d, "lines").where("text IS NOT NULL").select("document_id", "page_index", F.col("block_id").alias("line_id"), F.col("text").alias("reading"))
@@ -136,6 +134,39 @@ def agg_cer(spark, d):
     return map_rows(pairs, ["block_id", "text", "reading"], "block_id string, edits int, ref_length int, cer double, passed boolean", lambda ids, ts, rs: ((i, *prosody.character_error(r, t)) for i, t, r in zip(ids, ts, rs)))
 
 
+@query("agg_text_quality", QUALITY.replace("SELECT doc_id, text, lower(trim(lang)) AS lang,", "SELECT block_id AS doc_id, text, NULL AS lang,").replace("FROM documents WHERE text IS NOT NULL", "FROM (SELECT block_id, min(text) AS text FROM blocks WHERE degradation IS NULL AND text IS NOT NULL GROUP BY block_id)") + "SELECT doc_id AS block_id, chars, letters, accented, unreadable, words, single, vowelless FROM d")
+def agg_text_quality(spark, d):
+    return quality.counters(spread(view(spark, d, "paragraphs").select("block_id", "text"))).drop("text")
+
+
+def _folded(text: str) -> str:
+    """Case and diacritics folded, white space single."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", " ".join(text.split()).lower()) if unicodedata.category(c)[0] != "M")
+    return unicodedata.normalize("NFC", plain)
+
+
+@query("fn_fold")
+def fn_fold(spark, d):
+    return map_rows(view(spark, d, "truth").where("text IS NOT NULL"), ["block_id", "text"], "block_id string, folded string", lambda ids, ts: ((i, _folded(t)) for i, t in zip(ids, ts)))
+
+
+@query("fn_spoken_normalize")
+def fn_spoken_normalize(spark, d):
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", F.coalesce(F.lower(F.trim("lang")), F.lit("")).alias("lang"))
+    return map_rows(docs, ["doc_id", "text", "lang"], "doc_id long, normalized string", lambda ids, ts, ls: ((i, prosody.normalize(t, lang)) for i, t, lang in zip(ids, ts, ls)))
+
+
+@query("fn_visual_match")
+def fn_visual_match(spark, d):
+    """Rasters of four channels, made of vectors, each against the next: pixels with a channel that differs by more than 5."""
+    r = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor((v + 1) * 127.5).cast("int")).alias("px"))
+    pairs = r.join(r.select((F.col("vec_id") - 1).alias("vec_id"), F.col("px").alias("other")), "vec_id")
+    far = F.zip_with("px", "other", lambda a, b: F.abs(a - b) > 5)
+    pixels = F.transform(F.sequence(F.lit(0), F.floor(F.size("px") / 4) - 1), lambda i: F.exists(F.slice(far, (i * 4 + 1).cast("int"), 3), lambda x: x))
+    p = pairs.select("vec_id", F.size(F.filter(pixels, lambda x: x)).alias("differing"), F.floor(F.size("px") / 4).alias("n"))
+    return p.select("vec_id", "differing", (F.col("differing") * 200 <= F.col("n")).alias("matches"))
+
+
 @query("fn_nfc", "SELECT block_id, nfc_normalize(text) AS nfc FROM truth WHERE text IS NOT NULL")
 def fn_nfc(spark, d):
     return map_rows(view(spark, d, "truth").where("text IS NOT NULL"), ["block_id", "text"], "block_id string, nfc string", lambda ids, ts: ((i, unicodedata.normalize("NFC", t)) for i, t in zip(ids, ts)))
@@ -248,20 +279,30 @@ def join_ocr_line_fuzzy(spark, d):
 
 @query("agg_order_votes")
 def agg_order_votes(spark, d):
-    """The catalogue's text, kept as the oracle, votes on ten pages only."""
     return matching.vote_ranks(view(spark, d, "rects"))
 
 
 @query("prj_spread_regions")
 def prj_spread_regions(spark, d):
-    """The catalogue's text, kept as the oracle, merges ten pages only."""
     return matching.spread_regions(view(spark, d, "rects"), 200)
 
 
+def _detected(spark, d) -> DataFrame:
+    """Boxes a detector might give for the regions of the ground truth: each moved and grown by what its id hashes to."""
+    r = view(spark, d, "regions")
+    h = F.xxhash64("id")
+    move = lambda k, n: F.pmod(F.shiftright(h, k), F.lit(n)) - n // 2
+    return r.select((F.concat(F.lit("d-"), "id")).alias("id"), "page", (F.col("x") + move(3, 41)).alias("x"), (F.col("y") + move(11, 41)).alias("y"), (F.col("w") * (1 + move(19, 21) / 50)).alias("w"), (F.col("h") * (1 + move(27, 21) / 50)).alias("h"), "role", (F.col("confidence") * (1 - F.pmod(F.shiftright(h, 35), F.lit(10)) / 50)).alias("confidence"))
+
+
 @query("join_iou_greedy")
 def join_iou_greedy(spark, d):
-    r = view(spark, d, "rects")
-    return matching.greedy_pairs(r, r, 0.1)
+    return matching.greedy_pairs(view(spark, d, "regions"), _detected(spark, d), 0.5)
+
+
+@query("agg_iou_stats")
+def agg_iou_stats(spark, d):
+    return matching.match_report(view(spark, d, "regions").select("page", "id", "x", "y", "w", "h", "role", "confidence"), _detected(spark, d))
 
 
 @query("join_spatial_cluster")

@@ -6,7 +6,6 @@ ROT = "((abs(page_index) % 4) * 90)"
 q("prj_reading_rect", f"SELECT block_id, {ROT} AS rotation, CASE {ROT} WHEN 90 THEN y WHEN 180 THEN -(x + w) WHEN 270 THEN -(y + h) ELSE x END AS rx, CASE {ROT} WHEN 90 THEN -(x + w) WHEN 180 THEN -(y + h) WHEN 270 THEN x ELSE y END AS ry, CASE WHEN {ROT} IN (90, 270) THEN h ELSE w END AS rw, CASE WHEN {ROT} IN (90, 270) THEN w ELSE h END AS rh FROM lines")
 RELIABLE = "(x IS NOT NULL AND y IS NOT NULL AND w > 0 AND h > 0 AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(w) AND NOT isnan(h) AND coalesce(confidence, 0) >= 0.6)"
 q("prd_region_reliable", f"SELECT block_id, {RELIABLE} AS reliable FROM lines")
-q("prd_layout_usable", "SELECT id, role <> 'Brand#1' AND confidence >= 0.30 AS usable FROM rects")
 # Layout roles, and which of them are never read or only on demand.
 POLICY = "CASE WHEN role IN ('header', 'footer', 'footnote', 'vision_footnote', 'number', 'formula_number', 'seal') THEN 'never' WHEN role IN ('algorithm', 'chart', 'formula', 'image', 'reference', 'reference_content', 'table') THEN 'on_demand' WHEN role = 'unknown' THEN NULL ELSE 'automatic' END"
 ROLES = "(VALUES ('header'), ('footer'), ('footnote'), ('vision_footnote'), ('number'), ('formula_number'), ('seal'), ('algorithm'), ('chart'), ('formula'), ('image'), ('reference'), ('reference_content'), ('table'), ('doc_title'), ('figure_title'), ('paragraph_title'), ('abstract'), ('content'), ('text'), ('aside_text'), ('unknown')) AS r(role)"
@@ -27,9 +26,6 @@ SAME = "(abs(y + h / 2 - pcy) < 0.5 * mh AND x - (px + pw) BETWEEN -0.5 * mh AND
 LAGGED = f"(SELECT l.*, m.mh, {PREV} FROM lines l JOIN {MED} m ON l.document_id = m.document_id AND l.page_index = m.page_index {WIN.replace('document_id', 'l.document_id').replace('page_index', 'l.page_index').replace('y DESC', 'l.y DESC').replace(' x,', ' l.x,').replace('block_id', 'l.block_id')})"
 LAGGED = LAGGED.replace("lag(y + h / 2)", "lag(l.y + l.h / 2)").replace("lag(h)", "lag(l.h)").replace("lag(x)", "lag(l.x)").replace("lag(w)", "lag(l.w)")
 q("prd_same_visual_line", f"SELECT block_id, coalesce({SAME}, false) AS same_line FROM {LAGGED} t")
-q("prd_inline_punct", f"SELECT block_id, coalesce(NOT $LIKE(text, '[A-Za-zÀ-ÿ0-9]') AND {SAME}, false) AS inline_punct FROM {LAGGED} t WHERE text IS NOT NULL")
-q("prd_same_layout_region", "SELECT id, coalesce(role = lag(role) OVER w AND id % 50 = lag(page) OVER w, false) AS same_region FROM rects WINDOW w AS (PARTITION BY page ORDER BY id)")
-q("prd_drop_cap", "SELECT c.id AS cap, l.id AS line FROM rects c JOIN rects l ON c.page = l.page AND c.id <> l.id AND c.h >= 2 * l.h AND c.x + c.w <= l.x AND c.x + c.w >= l.x - 40 AND c.y < l.y + l.h AND l.y < c.y + c.h")
 q("prd_trusted_prose", "SELECT document_id, page_index, bool_or(coalesce(confidence, 0) >= 0.6 AND text IS NOT NULL AND text NOT LIKE '%|%') AS trusted FROM lines GROUP BY document_id, page_index")
 q("prj_ocr_record", "SELECT request_id, CASE WHEN n_ocr > 0 THEN 'ocr' ELSE 'direct' END AS route, CASE WHEN n_ocr > 0 AND ocr_status = 'completed' THEN 'ocr_completed' WHEN ocr_status = 'failed' THEN 'ocr_insufficient' WHEN raster THEN 'ocr_forced' ELSE 'direct_text_useful' END AS reason_code, CASE WHEN raster THEN 'vision-v1' ELSE 'direct-v1' END AS processor_revision, CASE WHEN ocr_status = 'failed' THEN 'degraded' ELSE 'completed' END AS status, ocr_error_code AS error_code FROM candidates")
 q("prj_page_status", "SELECT request_id, CASE WHEN n_direct + n_ocr = 0 THEN 'failed' WHEN ocr_status = 'failed' THEN 'degraded' ELSE 'completed' END AS status, CASE WHEN n_direct + n_ocr = 0 THEN 'direct_text_empty' END AS reason FROM candidates")
@@ -38,7 +34,6 @@ q("prd_translatable", "SELECT block_id FROM truth WHERE degradation IS NULL AND
 q("prd_translation_direction", "SELECT unit_id, coalesce(source_language IN ('es', 'en', 'pt') AND target_language IN ('es', 'en', 'pt') AND source_language <> target_language, false) AS supported FROM tunits")
 q("prd_voice_pair", "SELECT u.unit_id, p.voice IS NOT NULL AS allowed FROM units u LEFT JOIN (SELECT * FROM (VALUES ('quill', 'es'), ('lira', 'es'), ('sauce', 'es'), ('bruma', 'pt'), ('tern', 'pt'), ('sauce', 'en'), ('quill', 'en')) AS v(voice, lang)) p ON $PART(u.voice_id, '-', 1) = p.voice AND $PART(u.voice_id, '-', 2) = p.lang")
 q("prd_tts_units", "SELECT job_id, count(*) <= 64 AND count(DISTINCT unit_id) = count(*) AND bool_and(length(unit_id) BETWEEN 1 AND 256) AND bool_and(coalesce(trim(text), '') <> '' AND coalesce($BYTES(text), 0) <= 524288) AS valid FROM units GROUP BY job_id")
-q("prd_safe_error_code", "SELECT request_id, ocr_error_code IS NULL OR $LIKE(upper(ocr_error_code), '^[A-Z0-9_]{1,128}$') AS safe FROM candidates")
 q("prd_valid_id", "SELECT unit_id, $LIKE(unit_id, '^[A-Za-z0-9_-]{1,128}$') AS corpus_id, $LIKE(coalesce(anchor_id, ''), '^[A-Za-z0-9_+.-]{1,128}$') AS model_id FROM units")
 q("prd_sha256_hex", "SELECT document_id, coalesce($LIKE(sha256_hex, '^[0-9a-f]{64}$'), false) AS valid, substr(sha256_hex, 1, 32) AS document_key, substr(sha256_hex, 1, 16) AS short_key FROM entries")
 q("prd_safe_path", "SELECT document_id, $LIKE(file_path, '^[^/]') AND NOT $LIKE(file_path, $R'(^|/)\\.{1,2}(/|$)') AND NOT file_path LIKE '%//%' AS safe FROM entries WHERE file_path IS NOT NULL")
@@ -46,7 +41,6 @@ q("prd_artifact", "SELECT document_id, NOT $LIKE(lower(file_path), $R'\\.(exe|dl
 q("prd_truth_region", "SELECT block_id, coalesce(rx >= 0 AND ry >= 0 AND rw > 0 AND rh > 0 AND rx + rw <= 1.0 AND ry + rh <= 1.0, false) AS valid FROM truth")
 q("prd_gate_metric", "SELECT m.event_id, m.name IN ('click', 'view', 'error') AS known, m.seq BETWEEN 1 AND 100 AND m.numerator >= 0 AS valid FROM metrics m")
 q("prd_gate_request", "SELECT o_orderkey AS request, $LIKE(o_orderpriority, '^[A-Za-z0-9 _+.-]{1,128}$') AND o_custkey BETWEEN 1 AND 10000 AND o_totalprice BETWEEN 1 AND 7200000 AS valid FROM orders")
-q("prd_progress", "SELECT request_id, n_direct + n_ocr > 0 AND n_ocr <= n_direct + n_ocr AS valid FROM candidates")
 q("prd_resource_sample", "SELECT event_id, (numerator > 0 OR seq > 0) AND clock_ms > 0 AS valid FROM metrics")
 q("prd_needs_ocr_repair", "SELECT block_id, $LIKE(text, $R'[#�]|:!|\\S!\\S') AS needs_repair FROM lines WHERE text IS NOT NULL".replace("\\uFFFD", "�"))
 LETTERS = "length(regexp_replace({c}, '[^A-Za-zÀ-ÖØ-öø-ÿ]', ''$G))"
@@ -54,13 +48,6 @@ NONASCII = "length(regexp_replace({c}, '[^À-ÖØ-öø-ÿ]', ''$G))"
 PAIR = "(SELECT t.document_id, t.page_index, max(t.text) AS existing, max(l.text) AS recognised FROM (SELECT document_id, page_index, min(text) AS text FROM truth WHERE degradation = 'scanned' GROUP BY document_id, page_index) t JOIN (SELECT document_id, page_index, max(text) AS text FROM lines GROUP BY document_id, page_index) l ON t.document_id = l.document_id AND t.page_index = l.page_index GROUP BY t.document_id, t.page_index)"
 q("prd_broken_layer", f"SELECT document_id, page_index, {NONASCII.format(c='recognised')} >= 8 AND {NONASCII.format(c='existing')} * 10 < {NONASCII.format(c='recognised')} AS broken FROM {PAIR} p")
 q("prd_embed_route", f"SELECT document_id, page_index, CASE WHEN {LETTERS.format(c='existing')} * 5 < {LETTERS.format(c='recognised')} THEN 'over' WHEN {NONASCII.format(c='existing')} * 10 < {NONASCII.format(c='recognised')} THEN 'replace' ELSE 'none' END AS route FROM {PAIR} p")
-q("prd_outline_readable", "SELECT document_id, avg(CASE WHEN $LIKE(text, '[A-Za-zÀ-ÿ]{3}') THEN 1.0 ELSE 0.0 END) >= 0.5 AS readable FROM paragraphs WHERE length(text) <= 60 GROUP BY document_id")
-HEADING = "$SIZE($SPLIT(trim(text), $R'\\s+')) BETWEEN 1 AND 30 AND NOT $LIKE(trim(text), '[.,]$') AND length(regexp_replace(text, '[^A-Za-zÀ-ÿ]', ''$G)) >= 3 AND length(regexp_replace(text, '[^A-Za-zÀ-ÿ ]', ''$G)) * 100 >= length(text) * 75"
-q("prd_heading_candidate", f"SELECT block_id, {HEADING} AS heading FROM paragraphs")
-q("prd_title_reordering", "WITH t AS (SELECT DISTINCT lower(text) AS title, $JOIN($SORT($SPLIT(lower(trim(text)), $R'\\s+')), ' ') AS bag FROM lines WHERE length(text) BETWEEN 8 AND 28) SELECT a.title AS a, b.title AS b FROM t a JOIN t b ON a.bag = b.bag AND a.title < b.title")
-q("prd_physical_spread", "SELECT document_id, page_index, (max_right - min_x) * 100 >= 115 * (max_top - min_y) AS wide, n >= 2 AS both_sides FROM page_lines WHERE n > 0")
-q("prd_rotated_layout_rects", "SELECT id, page % 4 AS quarter, CASE page % 4 WHEN 1 THEN 800 - y - h WHEN 2 THEN 600 - x - w WHEN 3 THEN y ELSE x END AS px, CASE page % 4 WHEN 1 THEN x WHEN 2 THEN 800 - y - h WHEN 3 THEN 600 - x - w ELSE y END AS py FROM rects")
-q("prd_ocr_split", "SELECT document_id, page_index, count(*) > 0 AND count(DISTINCT CASE WHEN x < 300 THEN 0 ELSE 1 END) = 2 AS split FROM lines GROUP BY document_id, page_index")
 q("prj_visible_text", "SELECT unit_id, CASE WHEN source_language IS NOT NULL AND unit_index % 2 = 0 THEN upper(target_language) || ': ' || text ELSE text END AS visible FROM tunits WHERE text IS NOT NULL")
 q("prj_voice_language", "SELECT document_id, coalesce(CASE WHEN lower(trim(language)) IN ('es', 'en', 'pt') THEN lower(trim(language)) END, 'es') AS voice_language FROM entries")
 q("prd_restart_snapshot", "SELECT o_orderkey AS id, o_custkey >= 0 AND o_orderstatus IN ('O', 'F', 'P') AND o_totalprice / 100000.0 BETWEEN 0.5 AND 3 AS valid FROM orders")
@@ -68,7 +55,6 @@ q("prd_narration_rate", "SELECT o_orderkey AS id, greatest(0.5, least(2.0, floor
 q("prd_runtime_manifest", "SELECT count(*) = count(DISTINCT document_id) AND count(DISTINCT file_path) = count(file_path) AS unique_ids, bool_and($LIKE(document_id, '^[a-z0-9-]+$')) AS ids_ok, bool_and(sha256_hex IS NULL OR $LIKE(sha256_hex, '^[0-9a-f]{64}$')) AS hashes_ok FROM entries")
 q("prd_forbidden_sentinel", "SELECT doc_id, NOT (text LIKE '%@pausa%' OR text LIKE '%voz@2x%' OR text LIKE '%BEGIN PRIVATE%') AS clean FROM documents WHERE text IS NOT NULL")
 # 2.11
-q("prj_sentence_unit", "SELECT b.block_id || '-' || cast(s.i AS $STR) AS unit_id, b.block_id AS parent_unit_id, 'sentence' AS kind, s.i AS sentence_no FROM paragraphs b CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS v(i)) s WHERE s.i < $SIZE($SPLIT(b.text, $R'[.!?] '))")
 q("prd_truth_valid", "SELECT document_id, page_index, count(*) = max(block_order) - min(block_order) + 1 AND count(DISTINCT block_order) = count(*) AS dense, bool_and(text IS NULL OR trim(text) <> '' OR degradation = 'unreadable') AS text_ok FROM truth GROUP BY document_id, page_index")
 q("prd_entry_valid", "SELECT document_id, coalesce($LIKE(sha256_hex, '^[0-9a-f]{64}$'), false) AND byte_size > 0 AND coalesce(page_count, 0) BETWEEN 1 AND 100000 AND entry_role IN ('matrix', 'long_form', 'adversarial') AS valid FROM entries")
 q("prd_path_contained", "SELECT document_id, file_path LIKE 'documents/%' AND file_path NOT LIKE '%..%' AS contained FROM entries WHERE file_path IS NOT NULL")
@@ -76,15 +62,9 @@ q("prd_manifest_valid", "SELECT entry_role, count(*) BETWEEN 1 AND 100000 AND bo
 q("prd_runtime_match", "SELECT u.unit_id, e.document_id IS NOT NULL AND lower(trim(e.language)) = $PART(u.voice_id, '-', 2) AS matches FROM units u LEFT JOIN entries e ON u.document_id = e.document_id")
 q("prj_voices_for_language", "SELECT DISTINCT $PART(voice_id, '-', 2) AS language, $PART(voice_id, '-', 1) AS voice FROM units")
 q("prj_page_metric_rows", "SELECT request_id, 'nfr6' AS name, n_direct AS numerator, n_direct + n_ocr AS denominator FROM candidates UNION ALL SELECT request_id, 'cer', n_ocr, greatest(1, n_direct + n_ocr) FROM candidates")
-q("agg_series_summary", "SELECT name, count(*) AS n, $AT($SORT($LIST(numerator)), cast(count(*) $DIV 2 AS int) + 1) AS median_value, max(numerator) AS max_value FROM metrics GROUP BY name")
-q("prd_nfr7_form", "SELECT c_nationkey AS reviewer, count(*) AS answers, count_if(c_acctbal IS NULL) AS pending, bool_and(c_custkey % 5 + 1 BETWEEN 1 AND 5) AS scores_ok FROM customer GROUP BY c_nationkey")
-q("prj_nfr7_package", "SELECT reviewer, passage, stimulus_id, lpad(cast(row_number() OVER (PARTITION BY reviewer ORDER BY stimulus_id) AS $STR), 3, '0') || '.m4a' AS file_name FROM (SELECT c_nationkey AS reviewer, c_custkey AS passage, substr($SHA('seed|' || cast(c_nationkey AS $STR) || '|' || cast(c_custkey AS $STR)$256), 1, 12) AS stimulus_id FROM customer) t")
-q("prd_evidence_equal", "WITH a AS (SELECT request_id, n_direct, n_ocr FROM candidates), b AS (SELECT DISTINCT request_id, coalesce($SIZE(direct_blocks), 0) AS n_direct, coalesce($SIZE(ocr_blocks), 0) AS n_ocr FROM page_candidates) SELECT count(*) = 0 AS equal FROM (SELECT * FROM a EXCEPT SELECT * FROM b) d")
 q("prj_anchor_report", "SELECT document_id, page_index, max(x) - min(x) >= 200 AS multi_column, count_if(confidence >= 0.75) AS reliable, count_if(confidence < 0.75) AS unreliable, count_if(confidence IS NULL) AS unavailable FROM lines GROUP BY document_id, page_index")
 q("prd_gate_result", "SELECT request_id, ocr_status IS NULL OR (ocr_status IN ('completed', 'failed') AND (ocr_status = 'failed') = (ocr_error_code IS NOT NULL)) AS consistent FROM candidates")
 q("prj_incomplete_run", "SELECT request_id, CASE WHEN ocr_status = 'failed' THEN 'incomplete' ELSE 'complete' END AS status, CASE WHEN ocr_status = 'failed' THEN 0.0 ELSE 1.0 END AS confidence, ocr_error_code AS error FROM candidates")
-q("prj_spread_regions", "WITH p AS (SELECT * FROM rects WHERE page < 10), l AS (SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY y, x, id) - 1 AS ord FROM p WHERE x < 200), r AS (SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY y, x, id) - 1 AS ord FROM p WHERE x >= 200), m AS (SELECT page, max(ord) AS top FROM l GROUP BY page) SELECT page, id, ord FROM l WHERE page IN (SELECT page FROM r) UNION ALL SELECT r.page, r.id, r.ord + m.top + 1 FROM r JOIN m ON r.page = m.page")
-q("prj_detections", "SELECT page, id, x - w / 2.0 AS x1, y - h / 2.0 AS y1, x + w / 2.0 AS x2, y + h / 2.0 AS y2, rk FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY confidence DESC, id) AS rk FROM rects WHERE confidence >= 0.3) t WHERE rk <= 300")
 q("prj_sample_text", "WITH p AS (SELECT document_id, page_index, min(text) AS text, row_number() OVER (PARTITION BY document_id ORDER BY page_index) - 1 AS i, count(*) OVER (PARTITION BY document_id) AS n FROM paragraphs GROUP BY document_id, page_index) SELECT document_id, page_index, text FROM p WHERE n <= 8 OR i IN (0, n $DIV 8, 2 * n $DIV 8, 3 * n $DIV 8, 4 * n $DIV 8, 5 * n $DIV 8, 6 * n $DIV 8, 7 * n $DIV 8)")
 q("prj_recogniser_locale", "SELECT document_id, CASE lower(trim(language)) WHEN 'es' THEN 'es-ES' WHEN 'pt' THEN 'pt-BR' ELSE 'en-US' END AS locale FROM entries")
 q("prj_translated_rows", "SELECT 't-' || unit_id AS translated_unit_id, unit_id AS source_unit_id, row_number() OVER (PARTITION BY request_id ORDER BY unit_index, unit_id) - 1 AS order_key, coalesce(trim(text), '') = '' AS failed FROM tunits")

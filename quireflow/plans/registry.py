@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, catalog, joins, pipeline, projections, scalars, sources, windows  # noqa: F401
+from . import aggregates, catalog, joins, pages, pipeline, projections, rules, scalars, sources, windows  # noqa: F401
 
 QUERIES: dict = {**catalog.QUERIES, **pipeline.QUERIES}
 SQL: dict[str, str] = {**catalog.SQL, **pipeline.SQL}

@@ -6,27 +6,16 @@ q("fn_collapse_ws", "SELECT block_id, trim(regexp_replace(text, $R'[\\s\\x{00A0}
 q("fn_furniture_template", "SELECT block_id, regexp_replace(trim(regexp_replace(text, $R'\\s+', ' '$G)), '[0-9]+', '#'$G) AS template FROM lines WHERE text IS NOT NULL")
 q("fn_join_paragraph", "SELECT block_id, CASE WHEN nxt IS NULL THEN text WHEN $LIKE(text, '-$') THEN substr(text, 1, length(text) - 1) || nxt ELSE text || ' ' || nxt END AS joined FROM (SELECT block_id, text, lead(text) OVER (PARTITION BY document_id, page_index ORDER BY y DESC, x, block_id) AS nxt FROM lines WHERE text IS NOT NULL) t")
 q("fn_toc_spoken", "SELECT doc_id, regexp_replace('Title ' || cast(doc_id AS $STR) || ' .... ' || cast(n_chars AS $STR), $R'\\s*\\.{3,}\\s*[0-9]+', ''$G) AS spoken FROM documents")
-q("fn_attached_callouts", "SELECT block_id, regexp_extract(text, '[A-Za-zà-ÿ)]([0-9]{1,3})([^0-9A-Za-zà-ÿ]|$)', 1) AS callout FROM truth WHERE text IS NOT NULL")
-q("fn_contains_callout", "SELECT block_id, $LIKE(text, '[a-zà-ÿ.)]2([^0-9]|$)') AS has_callout_2 FROM truth WHERE text IS NOT NULL")
 q("fn_leading_callout", "SELECT block_id, regexp_extract(text, $R'^([0-9]{1,3})\\s', 1) AS numeral FROM truth WHERE text IS NOT NULL")
-OM = "SELECT block_id, regexp_replace(text, '([a-zà-ÿ)])[0-9]{1,3}([^0-9A-Za-zà-ÿ]|$)', {ref}$G) AS spoken FROM truth WHERE text IS NOT NULL"
-q("fn_omit_callouts", OM.replace("{ref}", "'$1$2'"), OM.replace("{ref}", r"'\1\2'"))
-q("fn_spoken_normalize", "SELECT doc_id, regexp_replace(regexp_replace(text, $R'\\s+', ' '$G), 'CHAPTER I ', 'Chapter one '$G) AS normalized FROM documents WHERE lang = 'en' AND text IS NOT NULL")
 q("fn_frontend_voice", "SELECT doc_id, CASE lower(lang) WHEN 'es' THEN 'es' WHEN 'en' THEN 'en-us' WHEN 'pt' THEN 'pt-br' END AS voice FROM documents")
 q("fn_espeak_stdin", "SELECT unit_id, $SHA(text || chr(10)$256) AS digest FROM units WHERE text IS NOT NULL")
 PJ = "SELECT unit_id, regexp_replace(text, ' ([,.;:!?—])', {ref}$G) AS joined FROM units WHERE text IS NOT NULL"
 q("fn_punct_join", PJ.format(ref="'$1'"), PJ.format(ref=r"'\1'"))
 q("fn_document_id", "SELECT document_id, substr($SHA(document_id$256), 1, 32) AS document_key, substr($SHA(document_id$256), 1, 16) AS cli_key, 'generation_' || substr($SHA(document_id$256), 1, 16) AS generation_id FROM entries")
 q("fn_carries_no_reading", "SELECT doc_id, $LIKE(text, $R'[\\x{FFFD}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}\\x{E000}-\\x{F8FF}]') AS unreadable FROM documents WHERE text IS NOT NULL")
-q("fn_fold", "SELECT DISTINCT c_mktsegment, lower(c_mktsegment) AS folded FROM customer")
-q("fn_iou", "SELECT a.id AS a, b.id AS b, round(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) * 1.0 / (a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))), 9) AS iou FROM rects a JOIN rects b ON a.page = b.page AND a.id < b.id")
-q("fn_coverage", "SELECT a.id AS a, b.id AS b, round(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) * 1.0 / (a.w * a.h), 9) AS coverage FROM rects a JOIN rects b ON a.page = b.page AND a.id <> b.id")
 q("fn_sqdist", "SELECT id, (x + w / 2.0 - 300) * (x + w / 2.0 - 300) + (y + h / 2.0 - 400) * (y + h / 2.0 - 400) AS sqdist FROM rects")
 q("fn_sigmoid", "SELECT s_suppkey, round(1 / (1 + exp(-greatest(-80.0, least(80.0, s_acctbal / 1000.0)))), 9) AS sigmoid FROM supplier")
-q("fn_full_image_rect", "SELECT id, x / 600.0 AS fx, y / 800.0 AS fy, w / 600.0 AS fw, h / 800.0 AS fh FROM rects")
-q("fn_render_size", "SELECT id, CASE WHEN page % 2 = 1 THEN h ELSE w END AS render_w, CASE WHEN page % 2 = 1 THEN w ELSE h END AS render_h FROM rects")
 q("fn_ocr_scale", "SELECT id, round(least(300.0 / 72, 3200.0 / greatest(w, h), sqrt(24000000.0 / (w * h))), 9) AS scale FROM rects")
-q("fn_visual_match", "SELECT page, count_if((x + y) % 17 > 5) * 200 <= count(*) AS matches FROM rects GROUP BY page")
 q("fn_self_hash", "SELECT document_id, $SHA(regexp_replace('{' || document_id || ':' || coalesce(sha256_hex, '') || '}', '[0-9a-f]{64}', '0'$G)$256) AS hash FROM entries")
 q("fn_parse_case", "SELECT doc_id, $PART(line, ':', 1) AS kind, cast($PART(line, ':', 2) AS int) AS pages, $PART(line, ':', 3) AS route FROM (SELECT doc_id, genre || ':' || cast(n_chars AS $STR) || ':' || source AS line FROM documents) t")
 q("fn_reading_progress", "SELECT document_id, page_index, round(least(1.0, greatest(0.0, page_index * 1.0 / greatest(1, max(page_index) OVER (PARTITION BY document_id)))), 9) AS progress FROM candidates")

@@ -3,9 +3,6 @@
 from .aggregates import upper_median
 from .catalog import q
 
-q("win_column_split", "WITH o AS (SELECT document_id, page_index, block_id, x, max(x + w) OVER (PARTITION BY document_id, page_index ORDER BY x, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS left_edge, lead(x) OVER (PARTITION BY document_id, page_index ORDER BY x, block_id) AS next_x, row_number() OVER (PARTITION BY document_id, page_index ORDER BY x, block_id) AS i, count(*) OVER (PARTITION BY document_id, page_index) AS n FROM lines), g AS (SELECT document_id, page_index, next_x, next_x - left_edge AS gap, i FROM o WHERE n >= 4 AND i >= 2 AND n - i >= 2 AND next_x - left_edge >= 12) SELECT document_id, page_index, max_by(next_x, gap * 1000 + i) AS boundary FROM g GROUP BY document_id, page_index")
-q("win_top_down_order", "SELECT block_id, document_id, page_index, row_number() OVER (PARTITION BY document_id, page_index ORDER BY CASE WHEN x < 300 THEN 0 ELSE 1 END, y + h DESC, x, block_id) AS pos FROM lines")
-q("win_layout_order", "SELECT id, page, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN x >= 200 THEN 1 ELSE 0 END, CASE WHEN h >= 50 THEN 0 ELSE 1 END, y DESC, x, id) AS pos FROM rects")
 EDGE = """WITH m AS (SELECT document_id, page_index, {med} AS mh, count(*) AS n FROM lines WHERE h IS NOT NULL GROUP BY document_id, page_index),
 o AS (SELECT l.document_id, l.page_index, l.block_id, m.mh, m.n, l.y + l.h / 2 AS cy, row_number() OVER a AS i, lag(l.y + l.h / 2) OVER a AS up, row_number() OVER b AS j, lag(l.y + l.h / 2) OVER b AS down FROM lines l JOIN m ON l.document_id = m.document_id AND l.page_index = m.page_index WHERE l.h IS NOT NULL
   WINDOW a AS (PARTITION BY l.document_id, l.page_index ORDER BY l.y + l.h / 2 DESC, l.block_id), b AS (PARTITION BY l.document_id, l.page_index ORDER BY l.y + l.h / 2, l.block_id)),
@@ -13,36 +10,20 @@ g AS (SELECT *, sum(CASE WHEN up - cy > 3 * mh THEN 1 ELSE 0 END) OVER (PARTITIO
 SELECT document_id, page_index, block_id, 'top' AS edge FROM g WHERE i <= least(6, n $DIV 2) AND gaps_above <= 1
 UNION ALL SELECT document_id, page_index, block_id, 'bottom' FROM g WHERE j <= least(6, n $DIV 2) AND gaps_below <= 1""".replace("{med}", upper_median("h"))
 q("win_edge_cluster", EDGE)
-q("win_heading_isolation", f"WITH m AS (SELECT page, {upper_median('h')} AS mh FROM rects GROUP BY page) SELECT r.id, r.h >= 1.35 * m.mh OR (r.h >= 1.2 * m.mh AND coalesce((lag(r.y) OVER w) - r.y > 2.4 * m.mh, true) AND coalesce(r.y - (lead(r.y) OVER w) > 2.4 * m.mh, true)) AS isolated FROM rects r JOIN m ON r.page = m.page WINDOW w AS (PARTITION BY r.page ORDER BY r.y DESC, r.id)")
-q("win_footnote_zone", "SELECT block_id, pos >= min(CASE WHEN note THEN pos END) OVER (PARTITION BY document_id, page_index) AS in_zone FROM (SELECT block_id, document_id, page_index, $LIKE(text, $R'^[0-9]{1,3}[.)]\\s') AS note, row_number() OVER (PARTITION BY document_id, page_index ORDER BY y DESC, x, block_id) AS pos FROM lines WHERE text IS NOT NULL) t")
-q("win_sentence_ordinal", "SELECT document_id, page_index, block_id, row_number() OVER (PARTITION BY document_id, page_index ORDER BY block_order, block_id) - 1 AS ordinal FROM paragraphs")
 q("win_segment_contiguity", "SELECT unit_id, segment_index, coalesce(sum(sample_count) OVER (PARTITION BY unit_id ORDER BY segment_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = segment_index * 25000 AS at_declared, cast(coalesce(sum(sample_count) OVER (PARTITION BY unit_id ORDER BY segment_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS unit_sample_offset FROM segments")
 q("win_fragment_start", "SELECT job, unit_id, cast(coalesce(sum(duration_ms) OVER (PARTITION BY job ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS start_ms FROM fragments")
-q("win_chapter_windows", "SELECT job, start_ms, end_ms FROM (SELECT job, start_ms, lead(start_ms) OVER (PARTITION BY job ORDER BY rn) AS end_ms FROM (SELECT job, rn, cast(coalesce(sum(duration_ms) OVER (PARTITION BY job ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS start_ms FROM fragments) a) t WHERE end_ms > start_ms")
 q("win_monotone_accept", "SELECT job, unit_id FROM (SELECT job, unit_id, duration_ms, max(duration_ms) OVER (PARTITION BY job ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM fragments) t WHERE best IS NULL OR duration_ms > best")
-q("win_strictly_increasing", "SELECT request_id, bool_and(coalesce(unit_index > prev, true)) AS increasing FROM (SELECT request_id, unit_index, lag(unit_index) OVER (PARTITION BY request_id ORDER BY unit_index, unit_id) AS prev FROM tunits) t GROUP BY request_id")
-q("win_nondecreasing_clock", "SELECT run_id, bool_and(coalesce(clock_ms >= prev, true)) AS ordered FROM (SELECT run_id, clock_ms, lag(clock_ms) OVER (PARTITION BY run_id ORDER BY seq) AS prev FROM metrics) t GROUP BY run_id")
 q("win_prescan_headings", "SELECT document_id, page_index, cast(grp AS bigint) AS grp, min(block_order) AS first_order, count(*) AS parts FROM (SELECT *, sum(CASE WHEN short AND NOT coalesce(prev, false) THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, page_index ORDER BY block_order, block_id) AS grp FROM (SELECT document_id, page_index, block_order, block_id, length(text) <= 60 AS short, lag(length(text) <= 60) OVER (PARTITION BY document_id, page_index ORDER BY block_order, block_id) AS prev FROM paragraphs) a) t WHERE short GROUP BY document_id, page_index, grp")
 q("win_narration_from_current", "SELECT job_id, unit_id, pos FROM (SELECT job_id, unit_id, unit_index, row_number() OVER (PARTITION BY job_id ORDER BY unit_index, unit_id) AS pos FROM units WHERE coalesce(trim(text), '') <> '' AND unit_index >= 2) t WHERE pos <= 5")
 q("win_translation_window", "SELECT request_id, unit_id FROM (SELECT request_id, unit_id, row_number() OVER (PARTITION BY request_id ORDER BY unit_index, unit_id) AS rn FROM tunits WHERE source_language IS NOT NULL) t WHERE rn <= 5")
-q("win_narration_batch", "SELECT job_id, unit_id, (row_number() OVER (PARTITION BY job_id ORDER BY unit_index, unit_id) - 1) $DIV 3 AS batch FROM units WHERE coalesce(trim(text), '') <> ''")
 q("win_reading_stream", "SELECT block_id, row_number() OVER (PARTITION BY document_id ORDER BY page_index, block_order, block_id) AS pos FROM paragraphs")
-q("win_visual_line_merge", "SELECT document_id, page_index, cast(line_no AS bigint) AS line_no, count(*) AS blocks FROM (SELECT document_id, page_index, sum(CASE WHEN prev IS NULL OR prev - y > h / 2 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, page_index ORDER BY y DESC, x, block_id) AS line_no FROM (SELECT *, lag(y) OVER (PARTITION BY document_id, page_index ORDER BY y DESC, x, block_id) AS prev FROM lines) a) t GROUP BY document_id, page_index, line_no")
 q("win_fragments_in_order", "SELECT document_id, page_index, count(*) AS found FROM (SELECT document_id, page_index, instr(text, ' ') AS a, instr(text, '. ') AS b FROM paragraphs) t WHERE a > 0 AND b > a GROUP BY document_id, page_index")
 q("win_hyphen_continuation", "SELECT block_id, coalesce(ends AND $LIKE(nxt, '^[a-zà-ÿ]'), false) AS merges FROM (SELECT block_id, $LIKE(text, '-$') AS ends, lead(text) OVER (PARTITION BY document_id, page_index ORDER BY y DESC, x, block_id) AS nxt FROM lines WHERE text IS NOT NULL) t")
-q("win_inferred_endnotes", "SELECT document_id, page_index, count(DISTINCT numeral) AS notes FROM (SELECT document_id, page_index, cast(regexp_extract(text, '[a-zà-ÿ.]([0-9]{1,3})([^0-9A-Za-z]|$)', 1) AS int) AS numeral FROM lines WHERE $LIKE(text, '[a-zà-ÿ.][0-9]{1,3}([^0-9A-Za-z]|$)')) t GROUP BY document_id, page_index HAVING count(DISTINCT numeral) >= 1")
 # sort, limit, top-k
 q("srt_nearest_pending", "SELECT document_id, min_by(page_index, abs(page_index - 3) * 10000 + page_index) AS page_index FROM candidates WHERE ocr_status IS NULL GROUP BY document_id")
-q("srt_spread_sample", "SELECT document_id, page_count, i * page_count $DIV 8 AS page_index FROM (SELECT document_id, page_count, $EXPLODE($SEQ(0, 7)) AS i FROM entries WHERE page_count > 8) t")
-q("srt_voting_windows", "SELECT doc_id, i, substr(text, i * 200 + 1, 200) AS window_text FROM (SELECT doc_id, text, $EXPLODE($SEQ(0, 31)) AS i FROM documents WHERE length(text) >= 200) t WHERE i * 200 < length(text) AND length(regexp_replace(substr(text, i * 200 + 1, 200), '[^A-Za-zÀ-ÿ]', ''$G)) >= 100")
-q("srt_furniture_sample", "SELECT document_id, k * page_count $DIV 8 * 2 + side AS page_index FROM (SELECT document_id, page_count, k, $EXPLODE($SEQ(0, 1)) AS side FROM (SELECT document_id, page_count, $EXPLODE($SEQ(0, 3)) AS k FROM entries WHERE page_count >= 8) a) t")
-q("srt_top300", "SELECT id, rk FROM (SELECT id, row_number() OVER (ORDER BY confidence DESC, id) AS rk FROM rects WHERE confidence >= 0.3) t WHERE rk <= 300")
-q("srt_longest_run", "SELECT job_id, unit_id FROM (SELECT job_id, unit_id, row_number() OVER (PARTITION BY job_id ORDER BY length(text) DESC, unit_id) AS rk FROM units WHERE text IS NOT NULL) t WHERE rk = 1")
 q("srt_hash_shuffle", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY $SHA('7|' || cast(c_nationkey AS $STR) || '|' || cast(c_custkey AS $STR)$256)) AS pos FROM customer")
 q("srt_first_fixed_limit", "SELECT job_id, unit_id, (row_number() OVER (PARTITION BY job_id ORDER BY unit_index, unit_id) - 1) $DIV 64 AS batch FROM units")
 # ordered state in batch form
-q("st_furniture_prime", "SELECT document_id, trim(text) AS template, count(DISTINCT page_index) AS seen FROM lines WHERE h < 12 AND page_index < 64 GROUP BY document_id, trim(text)")
-q("st_furniture_lru", "SELECT document_id FROM (SELECT document_id, row_number() OVER (ORDER BY first_seen, document_id) AS rn, count(*) OVER () AS n FROM (SELECT document_id, min(request_id) AS first_seen FROM candidates GROUP BY document_id) a) t WHERE rn > n - 4")
 q("st_next_page", "SELECT document_id, min(page_index) AS next_page FROM candidates WHERE ocr_status = 'failed' GROUP BY document_id")
 q("st_export_resume", "SELECT f.job, f.unit_id, cast(sum(f.duration_ms) OVER (PARTITION BY f.job ORDER BY f.rn) AS bigint) AS end_ms FROM fragments f WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = f.unit_id AND o.o_orderstatus = 'F')")
 q("st_translation_walk", "SELECT request_id, unit_id, (row_number() OVER (PARTITION BY request_id ORDER BY unit_index, unit_id) - 1) $DIV 5 AS round FROM tunits WHERE coalesce(trim(text), '') <> ''")

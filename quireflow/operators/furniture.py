@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.native import template, upper_median
+from ..runtime import cut
 
 PAGE = ("document_id", "page_index")
 MAX_SLOTS = 6
@@ -20,13 +21,13 @@ def edge_lines(lines: DataFrame) -> DataFrame:
     """Lines in the top or bottom slots of their page, with template, literal and whether they are narrow.
 
     At most six slots and half the page at each edge; a slot beyond the second gap of more than three median line
-    heights is not reached. Lines without height or text are ignored.
+    heights is not reached. Lines without height or text are ignored. All of it is windows over the page, so the
+    lines are shuffled once.
     """
-    lines = lines.where("h IS NOT NULL AND text IS NOT NULL").withColumn("cy", F.col("y") + F.col("h") / 2)
-    page = lines.groupBy(*PAGE).agg(F.count("*").alias("n"), upper_median(F.collect_list("h")).alias("mh"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("span"))
-    down = Window.partitionBy(*PAGE).orderBy(F.desc("cy"), "block_id")
-    up = Window.partitionBy(*PAGE).orderBy("cy", "block_id")
-    d = lines.join(page, list(PAGE))
+    page = Window.partitionBy(*PAGE)
+    down, up = page.orderBy(F.desc("cy"), "block_id"), page.orderBy("cy", "block_id")
+    d = lines.where("h IS NOT NULL AND text IS NOT NULL").withColumn("cy", F.col("y") + F.col("h") / 2)
+    d = d.withColumn("n", F.count("*").over(page)).withColumn("mh", upper_median(F.collect_list("h").over(page))).withColumn("span", F.max(F.col("x") + F.col("w")).over(page) - F.min("x").over(page))
     d = d.withColumn("i", F.row_number().over(down)).withColumn("j", F.row_number().over(up))
     d = d.withColumn("gap_above", (F.lag("cy").over(down) - F.col("cy") > 3 * F.col("mh")).cast("int")).withColumn("gap_below", (F.col("cy") - F.lag("cy").over(up) > 3 * F.col("mh")).cast("int"))
     d = d.withColumn("above", F.sum(F.coalesce("gap_above", F.lit(0))).over(down)).withColumn("below", F.sum(F.coalesce("gap_below", F.lit(0))).over(up))
@@ -44,30 +45,40 @@ def _repeats(seen: str) -> F.Column:
 
 
 def _pages(alias: str) -> list:
+    """Counts of pages, of even and of odd ones, over rows that are one for each page."""
     even = F.col("page_index") % 2 == 0
-    return [F.count_distinct("page_index").alias(alias), F.count_distinct(F.when(even, F.col("page_index"))).alias(f"{alias}_even"), F.count_distinct(F.when(~even, F.col("page_index"))).alias(f"{alias}_odd")]
+    return [F.count("*").alias(alias), F.count_if(even).alias(f"{alias}_even"), F.count_if(~even).alias(f"{alias}_odd")]
+
+
+def verdicts(edges: DataFrame) -> DataFrame:
+    """document_id, template, literal, by_template, exact, rule: every text seen at an edge, and whether it goes because
+    of its template or because it repeats letter for letter.
+
+    Each count is of rows already distinct by page, so no aggregate has to expand its input for distinct counts."""
+    cells = edges.groupBy("document_id", "template", "literal", "page_index").agg(F.count_if("top").alias("heads"), F.count_if(~F.col("top")).alias("feet"), F.count_if("narrow").alias("thin"), F.count_if(~F.col("narrow")).alias("wide"))
+    by_page = cells.groupBy("document_id", "template", "page_index").agg(*[F.sum(c).alias(c) for c in ("heads", "feet", "thin", "wide")])
+    tally = by_page.groupBy("document_id", "template").agg(*_pages("seen"), *[F.sum(c).alias(c) for c in ("heads", "feet", "thin", "wide")])
+    eligible = edges.select(*PAGE).distinct().groupBy("document_id").agg(*_pages("eligible"))
+    literal = cells.groupBy("document_id", "template", "literal").agg(*_pages("same"))
+    d = literal.join(tally.join(eligible, "document_id"), ["document_id", "template"])
+    masked = F.col("template").contains("#") & (F.col("seen") >= 3) & _repeats("seen") & (F.char_length("template") <= 120) & (F.col("thin") >= F.col("wide"))
+    plain = ~F.col("template").contains("#") & (((F.col("seen") >= 2) & (F.col("seen") == F.col("eligible"))) | ((F.col("seen") >= 3) & _repeats("seen")))
+    exact = (F.col("same") >= 3) & _repeats("same")
+    rule = F.when(F.col("feet") >= F.col("heads"), "remove_repeated_footer").otherwise("remove_repeated_header")
+    return d.select("document_id", "template", "literal", (masked | plain).alias("by_template"), exact.alias("exact"), rule.alias("rule")).where("by_template OR exact")
 
 
 def qualified(edges: DataFrame) -> DataFrame:
     """document_id, template, literal (null: every literal of the template), rule."""
-    eligible = edges.groupBy("document_id").agg(*_pages("eligible"))
-    tally = edges.groupBy("document_id", "template").agg(*_pages("seen"), F.count_if("top").alias("headers"), F.count_if(~F.col("top")).alias("footers"), F.count_if("narrow").alias("n_narrow"), F.count_if(~F.col("narrow")).alias("n_wide"))
-    tally = tally.join(eligible, "document_id")
-    rule = F.when(F.col("footers") >= F.col("headers"), "remove_repeated_footer").otherwise("remove_repeated_header").alias("rule")
-    masked = F.col("template").contains("#") & (F.col("seen") >= 3) & _repeats("seen") & (F.char_length("template") <= 120) & (F.col("n_narrow") >= F.col("n_wide"))
-    plain = ~F.col("template").contains("#") & (((F.col("seen") >= 2) & (F.col("seen") == F.col("eligible"))) | ((F.col("seen") >= 3) & _repeats("seen")))
-    by_template = tally.where(masked | plain).select("document_id", "template", F.lit(None).cast("string").alias("literal"), rule)
-    exact = edges.groupBy("document_id", "template", "literal").agg(*_pages("seen")).join(eligible, "document_id").where((F.col("seen") >= 3) & _repeats("seen")).select("document_id", "template", "literal")
-    exact = exact.join(tally.select("document_id", "template", rule), ["document_id", "template"]).join(by_template, ["document_id", "template"], "left_anti")
-    return by_template.unionByName(exact.select("document_id", "template", "literal", "rule"))
+    v = verdicts(edges)
+    return v.select("document_id", "template", F.when(~F.col("by_template"), F.col("literal")).alias("literal"), "rule").distinct()
 
 
 def removed(lines: DataFrame) -> DataFrame:
-    """document_id, page_index, block_id, rule of every line removed as furniture."""
-    edges = edge_lines(lines)
-    q = qualified(edges)
-    hit = edges.join(q.withColumnRenamed("literal", "only"), ["document_id", "template"]).where("only IS NULL OR only = literal")
-    return hit.select(*PAGE, "block_id", "rule").distinct()
+    """document_id, page_index, block_id, rule of every line removed as furniture. The edge lines, few of all, are
+    written once for the counts and for the lines themselves."""
+    edges = cut(edge_lines(lines))
+    return edges.join(verdicts(edges).select("document_id", "template", "literal", "rule"), ["document_id", "template", "literal"]).select(*PAGE, "block_id", "rule").distinct()
 
 
 def kept(lines: DataFrame) -> DataFrame:

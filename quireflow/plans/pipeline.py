@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prosody
 from ..functions.native import stable_id
-from ..operators import furniture, matching, paragraphs, quality, sessions
+from ..operators import furniture, matching, normalise, paragraphs, quality, sessions
 from ..operators.arrow import map_rows
 from ..runtime import checkpoint_dir, cut, spread, table
 from ..sources import files
@@ -105,6 +105,12 @@ def agg_paragraph_text(spark, d):
     return paragraphs.paragraph_groups(view(spark, d, "lines"))
 
 
+@query("prj_page_units")
+def prj_page_units(spark, d):
+    """Pages to reading units, end to end."""
+    return normalise.units(view(spark, d, "lines"))
+
+
 @query("win_footnote_rule", "SELECT l.block_id, $LIKE(l.text, $R'^[0-9]{1,3}[.)]\\s') AND l.confidence >= 0.6 AND l.y <= p.min_y + 0.25 * (p.max_top - p.min_y) AS footnote FROM lines l JOIN page_lines p ON l.document_id = p.document_id AND l.page_index = p.page_index WHERE l.text IS NOT NULL")
 def win_footnote_rule(spark, d):
     lines = view(spark, d, "lines").where("text IS NOT NULL")

@@ -367,10 +367,17 @@ def st_session_window(spark, d):
     return ev.groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), "user_id", "n")
 
 
-@query("st_furniture_incremental", "SELECT document_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[0-9]+', '#', 'g') AS template, count(DISTINCT page_index) AS pages FROM blocks WHERE text IS NOT NULL AND length(text) <= 40 GROUP BY 1, 2")
+@query("st_furniture_incremental")
 def st_furniture_incremental(spark, d):
-    edges = _stream(spark, d, "blocks").where("text IS NOT NULL AND char_length(text) <= 40").select("document_id", "page_index", "text")
-    return _drain(streams.furniture_so_far(edges), "complete")
+    """Pages as they arrive: each is observed, then stripped with the evidence so far."""
+    pages = _stream(spark, d, "page_candidates").select("document_id", "page_index", F.concat(F.coalesce("direct_blocks", F.array()), F.coalesce("ocr_blocks", F.array())).alias("lines"))
+    return _drain(streams.furniture_incremental(pages), "append")
+
+
+@query("st_bounded_buffer")
+def st_bounded_buffer(spark, d):
+    ops = _stream(spark, d, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.when(F.col("event_type").isin("view", "click"), "push").otherwise("pop").alias("operation"))
+    return _drain(streams.bounded_buffer(ops, 4), "update")
 
 
 def _folder(spark) -> str:
@@ -388,10 +395,12 @@ def src_worker_ndjson(spark, d):
 
 @query("src_corpus_manifest", "SELECT document_id AS id, entry_role AS role, page_count FROM entries")
 def src_corpus_manifest(spark, d):
+    """Manifests of at most 500 entries a file, far below the size limit that the source checks, read back through it."""
     path = f"{_folder(spark)}/manifest"
     e = view(spark, d, "entries").select(F.struct(F.col("document_id").alias("id"), F.col("entry_role").alias("role"), "page_count").alias("e"))
-    files.write_rows(e.groupBy(F.pmod(F.hash("e.id"), F.lit(4)).alias("k")).agg(F.collect_list("e").alias("entries")).drop("k"), path)
-    return spark.read.schema(files.MANIFEST).json(path).select(F.explode("entries").alias("e")).select("e.id", "e.role", "e.page_count")
+    parts = max(4, -(-e.count() // 500))
+    files.write_documents(e.groupBy(F.pmod(F.xxhash64("e.id"), F.lit(parts)).alias("k")).agg(F.collect_list("e").alias("entries")).drop("k"), path, parts)
+    return files.read_manifest(spark, path).select("id", "role", "page_count")
 
 
 @query("snk_state_store", "SELECT document_id, page_index, n_direct FROM candidates")
@@ -406,24 +415,27 @@ def src_dir_walk(spark, d):
     return files.list_files(spark, d).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", "sha256_hex")
 
 
-@query("src_ground_truth", "SELECT document_id, page_index, block_id FROM paragraphs")
+SENTENCES = "WITH s AS (SELECT document_id, page_index, block_id, string_split(regexp_replace(trim(text), '([.!?…])\\s+', '\\1' || chr(30), 'g'), chr(30)) AS ss FROM paragraphs) SELECT document_id, page_index, block_id, unnest(generate_series(0, len(ss) - 1)) AS sentence_no, unnest(ss) AS text FROM s"
+
+
+@query("src_ground_truth", SENTENCES)
 def src_ground_truth(spark, d):
+    """Ground truth written a page a line with its paragraphs and sentences, and read back through the source."""
     path = f"{_folder(spark)}/truth"
-    p = view(spark, d, "paragraphs")
-    sentence = F.array(F.struct(F.lit("s0").alias("sentence_id"), F.col("text")))
-    block = F.struct("block_id", F.col("block_order").alias("order"), "text", F.array(F.struct(F.lit("p0").alias("paragraph_id"), sentence.alias("sentences"))).alias("paragraphs"))
-    pages = p.groupBy("document_id", "page_index").agg(F.collect_list(block).alias("blocks"))
+    ss = F.split(F.regexp_replace(F.trim("text"), "([.!?…])\\s+", "$1\x1e"), "\x1e")
+    sentences = F.transform(ss, lambda s, i: F.struct(F.concat(F.lit("s"), i.cast("string")).alias("sentence_id"), s.alias("text")))
+    block = F.struct("block_id", F.col("block_order").alias("order"), "text", F.array(F.struct(F.lit("p0").alias("paragraph_id"), sentences.alias("sentences"))).alias("paragraphs"))
+    pages = view(spark, d, "paragraphs").groupBy("document_id", "page_index").agg(F.collect_list(block).alias("blocks"))
     files.write_rows(pages.select("document_id", F.lit(1).alias("revision"), F.array(F.struct("page_index", "blocks")).alias("pages")), path)
-    flat = spark.read.schema(files.TRUTH).json(path).select("document_id", F.explode("pages").alias("p")).select("document_id", "p.page_index", F.explode("p.blocks").alias("b"))
-    return flat.select("document_id", "page_index", "b.block_id")
+    return files.read_truth(spark, path, lines=True).select("document_id", "page_index", "block_id", F.col("sentence_no").cast("long").alias("sentence_no"), "text")
 
 
-@query("src_model_manifest", "SELECT document_id AS id, sha256_hex FROM entries")
+@query("src_model_manifest", "SELECT document_id AS id, sha256_hex, byte_size AS size_bytes, coalesce(regexp_matches(sha256_hex, '^[0-9a-f]{64}$'), false) AND coalesce(byte_size, 0) > 0 AND file_path IS NOT NULL AS valid FROM entries")
 def src_model_manifest(spark, d):
     path = f"{_folder(spark)}/models"
     e = view(spark, d, "entries")
-    files.write_rows(e.select(F.col("document_id").alias("id"), F.array(F.struct("sha256_hex", F.col("file_path").alias("relative_path"))).alias("artifacts")), path)
-    return spark.read.schema(files.MODEL).json(path).select("id", F.explode("artifacts").alias("a")).select("id", "a.sha256_hex")
+    files.write_rows(e.select(F.col("document_id").alias("id"), F.array(F.struct("sha256_hex", F.col("byte_size").alias("size_bytes"), F.col("file_path").alias("relative_path"))).alias("artifacts")), path)
+    return files.read_models(spark, path, lines=True).select("id", "sha256_hex", "size_bytes", "valid")
 
 
 @query("src_state_load", "SELECT document_id, page_index FROM candidates")

@@ -69,6 +69,14 @@ q("win_strictly_increasing", f"SELECT request_id, bool_and(coalesce(unit_index >
 q("win_nondecreasing_clock", "SELECT run_id, bool_and(coalesce(clock_ms >= prev, true)) AS ordered FROM (SELECT run_id, clock_ms, lag(clock_ms) OVER (PARTITION BY run_id ORDER BY event_id) AS prev FROM metrics) t GROUP BY run_id", "SELECT run_id, list_sort(c) = c AS ordered FROM (SELECT run_id, list(clock_ms ORDER BY event_id) AS c FROM metrics GROUP BY run_id) t")
 q("srt_longest_run", "SELECT job_id, first_index, length_ FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY length_ DESC, first_index) AS rk FROM (SELECT job_id, min(unit_index) AS first_index, count(*) AS length_ FROM (SELECT job_id, unit_index, unit_index - row_number() OVER (PARTITION BY job_id ORDER BY unit_index, unit_id) AS island FROM units WHERE coalesce(trim(text), '') <> '') a GROUP BY job_id, island) b) t WHERE rk = 1")
 
+# A snapshot is saved, taken once, or cleared: a take finds what was saved if nothing came between.
+ACT = "CASE event_type WHEN 'purchase' THEN 'save' WHEN 'view' THEN 'take' WHEN 'signup' THEN 'clear' END"
+q(
+    "st_restart_snapshot",
+    f"SELECT user_id, event_id, CASE WHEN prev = 'save' THEN saved END AS taken FROM (SELECT user_id, event_id, act, lag(act) OVER w AS prev, lag(event_id) OVER w AS saved FROM (SELECT user_id, event_id, {ACT} AS act FROM events) a WHERE act IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) t WHERE act = 'take'",
+    f"WITH a AS (SELECT user_id, event_id, {ACT} AS act FROM events) SELECT t.user_id, t.event_id, CASE WHEN p.act = 'save' THEN p.event_id END AS taken FROM a t ASOF LEFT JOIN (SELECT * FROM a WHERE act IS NOT NULL) p ON p.user_id = t.user_id AND p.event_id < t.event_id WHERE t.act = 'take'",
+)
+
 # sets -------------------------------------------------------------------------------------------------------------
 WANTED = "requested AS (SELECT document_id, page_index FROM candidates), covered AS (SELECT DISTINCT document_id, page_index FROM lines WHERE text IS NOT NULL), failed AS (SELECT document_id, page_index FROM candidates WHERE ocr_status = 'failed')"
 q(

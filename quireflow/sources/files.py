@@ -22,7 +22,11 @@ def read_worker(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(WORKER + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
-def _limited(spark: SparkSession, path: str, schema: str, most: int) -> DataFrame:
+def _limited(spark: SparkSession, path: str, schema: str, most: int, lines: bool = False) -> DataFrame:
+    """Documents that are a file each, of at most ``most`` bytes; or one a line of a file, then ``most`` holds for a line."""
+    if lines:
+        raw = spark.read.text(path).where(F.octet_length("value") <= most)
+        return raw.select(F.from_json("value", schema).alias("d")).select("d.*")
     df = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     return df.where(F.col("_metadata.file_size") <= most)
 
@@ -32,16 +36,19 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return _limited(spark, path, MANIFEST, MIB).select(F.explode("entries").alias("e")).select("e.*")
 
 
-def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ground-truth sentence, four levels flattened; files over 8 MiB are not read."""
-    d = _limited(spark, path, TRUTH, 8 * MIB).select("document_id", F.explode("pages").alias("p"))
+def read_truth(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per ground-truth sentence, four levels flattened; documents over 8 MiB are not read."""
+    d = _limited(spark, path, TRUTH, 8 * MIB, lines).select("document_id", F.explode("pages").alias("p"))
     d = d.select("document_id", "p.page_index", F.explode("p.blocks").alias("b"))
     d = d.select("document_id", "page_index", "b.block_id", F.posexplode_outer("b.paragraphs").alias("paragraph_no", "para"))
     return d.select("document_id", "page_index", "block_id", "paragraph_no", F.posexplode_outer("para.sentences").alias("sentence_no", "s")).select("document_id", "page_index", "block_id", "paragraph_no", "sentence_no", F.col("s.text").alias("text"))
 
 
-def read_models(spark: SparkSession, path: str) -> DataFrame:
-    return _limited(spark, path, MODEL, MIB).select("id", "model_revision", "purpose", F.explode_outer("artifacts").alias("a")).select("id", "model_revision", "purpose", "a.*")
+def read_models(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Artifacts of model manifests; ``valid``: a hash of 64 hexadecimal digits, a size, and a relative path without dot segments."""
+    d = _limited(spark, path, MODEL, MIB, lines).select("id", "model_revision", "purpose", F.explode_outer("artifacts").alias("a")).select("id", "model_revision", "purpose", "a.*")
+    path_ok = F.col("relative_path").isNotNull() & ~F.col("relative_path").rlike("^/|(^|/)\\.{1,2}(/|$)|//")
+    return d.withColumn("valid", F.coalesce(F.col("sha256_hex").rlike("^[0-9a-f]{64}$"), F.lit(False)) & (F.coalesce("size_bytes", F.lit(0)) > 0) & path_ok)
 
 
 def _sha256(path: str) -> str:
@@ -75,6 +82,11 @@ def write_state(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "document_id").parquet(path)
 
 
+def write_documents(df: DataFrame, path: str, parts: int) -> None:
+    """One JSON object a file: the rows are dealt to as many tasks, each of which starts a new file with every row."""
+    df.repartition(parts).write.option("maxRecordsPerFile", 1).mode("overwrite").json(path)
+
+
 def write_rows(df: DataFrame, path: str) -> None:
     """One JSON object a line."""
     df.write.mode("overwrite").json(path)

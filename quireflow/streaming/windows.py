@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.native import template
+from ..operators.evidence import Evidence, page_edges
 from ..operators.sessions import advance, apply_action, new_pages
 from ..runtime import ship
 
@@ -51,7 +51,48 @@ def page_sessions(actions: DataFrame, count: int = 8) -> DataFrame:
     return actions.groupBy("session").applyInPandasWithState(run, "session string, page_index int, state string", "states array<string>, errors array<string>, visible int, cancelled boolean", "update", GroupStateTimeout.NoTimeout)
 
 
-def furniture_so_far(edges: DataFrame) -> DataFrame:
-    """Evidence by document and template as pages arrive: pages seen, each counted once however often delivered."""
-    d = edges.withColumn("template", template(F.col("text"))).dropDuplicates(["document_id", "page_index", "template"])
-    return d.groupBy("document_id", "template").agg(F.count("*").alias("pages"))
+def furniture_incremental(pages: DataFrame) -> DataFrame:
+    """document_id, page_index, block_id, rule: what is stripped from each page with the evidence up to it.
+
+    ``pages`` is a stream of document_id, page_index, lines (array of block_id, text, x, y, w, h), one row a page. The
+    state of a document are its tallies; a page delivered again adds no evidence. Within a batch pages are taken in
+    the order of their numbers.
+    """
+    ship(pages.sparkSession)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        e = Evidence(state.get[0] if state.exists else None)
+        out: dict[tuple, tuple] = {}
+        for r in pd.concat(list(batches)).sort_values("page_index", kind="stable").itertuples():
+            edges = page_edges([x if isinstance(x, dict) else x.asDict() for x in r.lines])
+            e.observe(int(r.page_index), edges)
+            for block, rule in e.strip(edges):
+                out.setdefault((r.page_index, block), (key[0], r.page_index, block, rule))
+        state.update((e.save(),))
+        yield pd.DataFrame(list(out.values()), columns=["document_id", "page_index", "block_id", "rule"])
+
+    return pages.groupBy("document_id").applyInPandasWithState(run, "document_id string, page_index int, block_id string, rule string", "tallies string", "append", GroupStateTimeout.NoTimeout)
+
+
+def bounded_buffer(operations: DataFrame, capacity: int) -> DataFrame:
+    """session, pushed, popped, refused, starved, held: a queue of at most ``capacity`` items as keyed state.
+
+    ``operations`` is a stream of session, seq, operation ('push' or 'pop'). A push to a full queue is refused, a pop
+    from an empty one finds nothing; state and result are six numbers, however long the log."""
+    ship(operations.sparkSession)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pushed, popped, refused, starved, held = state.get if state.exists else (0, 0, 0, 0, 0)
+        for op in pd.concat(list(batches)).sort_values("seq", kind="stable")["operation"]:
+            if op == "push" and held < capacity:
+                pushed, held = pushed + 1, held + 1
+            elif op == "push":
+                refused += 1
+            elif held:
+                popped, held = popped + 1, held - 1
+            else:
+                starved += 1
+        state.update((pushed, popped, refused, starved, held))
+        yield pd.DataFrame([(key[0], pushed, popped, refused, starved, held)], columns=["session", "pushed", "popped", "refused", "starved", "held"])
+
+    return operations.groupBy("session").applyInPandasWithState(run, "session string, pushed long, popped long, refused long, starved long, held long", "pushed long, popped long, refused long, starved long, held long", "update", GroupStateTimeout.NoTimeout)

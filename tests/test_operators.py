@@ -155,3 +155,33 @@ def test_common_subsequence_against_brute_force(a, b):
         for j, y in enumerate(b):
             table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
     assert prosody.lcs_length(list(a), list(b)) == table[-1][-1] == len(prosody.lcs_pairs(a, b))
+
+
+def test_incremental_furniture_ends_where_the_batch_does(spark, sf):
+    """The last page of a document is stripped with all evidence, so it loses what the batch removes from it."""
+    from quireflow.operators.evidence import Evidence, page_edges
+
+    lines = spark.createDataFrame([("d", p, f"{p}-{k}", t, 50.0, y, w, 10.0) for p in range(8) for k, (t, y, w) in enumerate([(f"Head {p}", 780.0, 90.0), (f"{'abcdefgh'[p] * 5} body", 400.0, 400.0), (f"{'hgfedcba'[p] * 4} more", 380.0, 400.0), ("Imprint", 20.0, 80.0)])], "document_id string, page_index int, block_id string, text string, x double, y double, w double, h double")
+    batch = {(r.page_index, r.block_id, r.rule) for r in furniture.removed(lines).collect()}
+    e, last = Evidence(), set()
+    rows = lines.orderBy("page_index").collect()
+    for p in range(8):
+        edges = page_edges([r.asDict() for r in rows if r.page_index == p])
+        e.observe(p, edges)
+        e.observe(p, edges)
+        e = Evidence(e.save())
+        last = {(p, b, rule) for b, rule in e.strip(edges)}
+        assert bool(last) == (p >= 1)
+    assert last == {x for x in batch if x[0] == 7} and len(last) == 2
+
+
+def test_bounded_buffer_stream(spark, tmp_path):
+    from quireflow.streaming import windows as streams
+
+    rows = [("a", n, op) for n, op in enumerate(["pop", "push", "push", "push", "pop", "pop", "pop"])]
+    spark.createDataFrame(rows, "session string, seq long, operation string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("session string, seq long, operation string").parquet(str(tmp_path / "in"))
+    q = streams.bounded_buffer(stream, 2).writeStream.outputMode("update").format("memory").queryName("buffer").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    r = spark.sql("SELECT * FROM buffer").collect()[-1]
+    assert (r.pushed, r.popped, r.refused, r.starved, r.held) == (2, 2, 1, 2, 0)

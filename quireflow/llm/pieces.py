@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,18 +58,50 @@ def boundary_strength(text: str, cut: int) -> int:
     return CLAUSE if before in "、，；：" else HARD
 
 
+# Characters before which no natural boundary can lie have none of these on their left.
+_MAY = re.compile("[ \n。！？।」』”、，；：]")
+
+
+class Boundaries:
+    """Places of the natural boundaries of a text by strength, found in one pass and looked up by bisection."""
+
+    def __init__(self, text: str) -> None:
+        self.at: dict[int, list[int]] = {s: [] for s in (PARAGRAPH, SENTENCE, CLAUSE, SPACE)}
+        for m in _MAY.finditer(text):
+            s = boundary_strength(text, m.end())
+            if s > HARD:
+                self.at[s].append(m.end())
+
+    def best(self, aim: int, lo: int, hi: int) -> int | None:
+        """The strongest boundary from ``lo`` to ``hi``, of equally strong ones the nearest to ``aim``, the earlier of two."""
+        for places in self.at.values():
+            k = bisect_left(places, aim)
+            left = places[k - 1] if k and places[k - 1] >= lo else None
+            right = places[k] if k < len(places) and places[k] <= hi else None
+            if left is not None and (right is None or aim - left <= right - aim):
+                return left
+            if right is not None:
+                return right
+        return None
+
+
 def cut_points(text: str, limit: int, overlap: int, reach: float = 0.5) -> list[int]:
     """Cut ends of the pieces of a text over the limit; the last is its length.
 
     The fewest pieces that can hold the text are tried first, with targets of equal length; each target moves
     to the strongest boundary near it (``reach`` of the free room) that keeps this piece and the rest within
     the limit. If some target finds no boundary at all, one more piece is tried, up to twice as many; only
-    then is a word cut.
+    then is a word cut. The text is read once; a trial costs a bisection for each piece and ends at the first
+    target that fails, and a text with fewer boundaries than cuts is not tried again.
     """
     n_chars = len(text)
     fewest = -(-(n_chars - overlap) // (limit - overlap))
+    near = Boundaries(text)
+    enough = sum(map(len, near.at.values()))
     fallback = None
     for n in range(fewest, 2 * fewest + 1):
+        if fallback is not None and enough < n - 1:
+            break
         cuts, natural, step = [], True, (n_chars - overlap) / n
         for i in range(1, n):
             prev = cuts[-1] if cuts else overlap
@@ -76,20 +109,17 @@ def cut_points(text: str, limit: int, overlap: int, reach: float = 0.5) -> list[
             hi = min((cuts[-1] - overlap if cuts else 0) + limit, n_chars - (n - i))
             aim = min(max(round(overlap + i * step), lo), hi)
             room = max(8, int(step * reach))
-            best = None
-            for c in range(max(lo, aim - room), min(hi, aim + room) + 1):
-                s = boundary_strength(text, c)
-                if s > HARD and (best is None or (s, -abs(c - aim)) > best[0]):
-                    best = ((s, -abs(c - aim)), c)
-            if best is None:
+            c = near.best(aim, max(lo, aim - room), min(hi, aim + room))
+            if c is None:
                 natural = False
-                best = (None, next((c for c in range(aim, lo - 1, -1) if boundary_strength(text, c) >= 0), aim))
-            cuts.append(best[1])
-        cuts.append(n_chars)
+                if fallback is not None:
+                    break
+                c = next((c for c in range(aim, lo - 1, -1) if boundary_strength(text, c) >= 0), aim)
+            cuts.append(c)
         if natural:
-            return cuts
+            return [*cuts, n_chars]
         if fallback is None:
-            fallback = cuts
+            fallback = [*cuts, n_chars]
     return fallback
 
 

@@ -94,46 +94,98 @@ def _edges(n: int) -> list[int]:
     return sorted({i for i in (0, 1, n - 2, n - 1) if 0 <= i < n})
 
 
-# Hidden Markov model over the lines of a page. States: header, folio, body. Log probabilities.
-_START = (log(0.3), log(0.1), log(0.6))
-_MOVE = (
-    (log(0.05), log(0.25), log(0.7)),
-    (log(0.25), log(0.05), log(0.7)),
-    (log(0.03), log(0.05), log(0.92)),
-)
-
-
-def emissions(title: bool, folio: float, edge: int) -> tuple[float, float, float]:
-    """Log likelihood of the features of a line in each state: it is a repeated title, how well it fits the
+# Hidden Markov model over the lines of a page. States: header, folio, body; and break, a body line that ends a
+# paragraph, which is told from body where paragraphs are put together. What is typed in below is only where the
+# estimation starts: the tables are fitted to the pages (``LineModel.fit``).
+_START = (0.3, 0.1, 0.6)
+_MOVE = ((0.05, 0.25, 0.7), (0.25, 0.05, 0.7), (0.03, 0.05, 0.92))
+_LAYOUT = ((0.2, 0.3, 0.5), (0.2, 0.3, 0.5), (0.9, 0.07, 0.03))
+PRIOR = 20.0
+FIT_PAGES = 1500
+
+
+def _first_guess(state: int, title: int, folio: int, edge: int) -> float:
+    """How likely the text features of an edge line are in a state: it is a repeated title, how well it fits the
     document's folios (0 none, 1 shape of one, 2 the expected number), and its distance from the page edge."""
-    if edge > 1:
-        return -50.0, -50.0, 0.0
-    h = log(0.9) if title else log(1e-5)
-    f = (log(1e-7), log(0.02), log(0.9))[int(folio)] + (0.0 if edge == 0 else -0.7)
-    b = log(1e-3) if title else (log(0.2), log(0.05), log(1e-4))[int(folio)]
-    return h, f, b
-
-
-def decode_page(features: list[tuple[bool, float, int]]) -> list[int]:
-    """Most likely states (Viterbi)."""
-    score, back = None, []
-    for f in features:
-        e = emissions(*f)
-        if score is None:
-            score = [_START[s] + e[s] for s in range(3)]
-            continue
-        step = [max(range(3), key=lambda p: score[p] + _MOVE[p][s]) for s in range(3)]
-        back.append(step)
-        score = [score[step[s]] + _MOVE[step[s]][s] + e[s] for s in range(3)]
-    if score is None:
+    if state == HEADER:
+        return 0.9 if title else 1e-5
+    if state == FOLIO:
+        return (1e-7, 0.02, 0.9)[folio] * (0.5 if edge else 1.0)
+    return 1e-3 if title else (0.2, 0.05, 1e-4)[folio]
+
+
+class LineModel:
+    """Log probabilities of states, moves and features. Layout of a line: 0 set like the others of its page, 1 smaller
+    or set in, 2 both; -1 where the page has no coordinates, which says nothing."""
+
+    def __init__(self, start=_START, move=_MOVE, text=None, layout=_LAYOUT) -> None:
+        text = text or [{(t, f, e): _first_guess(s, t, f, e) for t in (0, 1) for f in (0, 1, 2) for e in (0, 1)} for s in range(3)]
+        self.raw = (start, move, text, layout)
+        self.start = [log(p) for p in start]
+        self.move = [[log(p) for p in row] for row in move]
+        self.text = [{k: log(p) for k, p in t.items()} for t in text]
+        self.layout = [[log(p) for p in row] for row in layout]
+
+    def emissions(self, title: int, folio: int, edge: int, layout: int) -> tuple[float, ...]:
+        if edge > 1:
+            return -50.0, -50.0, 0.0
+        return tuple(self.text[s][title, folio, edge] + (self.layout[s][layout] if layout >= 0 else 0.0) for s in range(3))
+
+    def decode(self, features: list[tuple[int, int, int, int]]) -> list[int]:
+        """Most likely states (Viterbi)."""
+        return viterbi(self.start, self.move, [self.emissions(*f) for f in features])
+
+    def fit(self, pages: list[list[tuple[int, int, int, int]]], rounds: int = 2) -> LineModel:
+        """The model whose tables are the counts over the most likely states of the pages, with the first guess as
+        ``PRIOR`` lines of each kind."""
+        start0, move0, text0, layout0 = LineModel().raw
+        model = self
+        for _ in range(rounds):
+            start, move = [PRIOR * p for p in start0], [[PRIOR * p for p in row] for row in move0]
+            text, layout = [{k: PRIOR * p for k, p in t.items()} for t in text0], [[PRIOR * p for p in row] for row in layout0]
+            for page in pages:
+                states = model.decode(page)
+                for k, (state, (t, f, e, y)) in enumerate(zip(states, page)):
+                    if k:
+                        move[states[k - 1]][state] += 1
+                    else:
+                        start[state] += 1
+                    if e <= 1:
+                        text[state][t, f, e] += 1
+                        if y >= 0:
+                            layout[state][y] += 1
+            share = lambda xs: [x / sum(xs) for x in xs]
+            model = LineModel(share(start), [share(r) for r in move], [{k: v / sum(t.values()) for k, v in t.items()} for t in text], [share(r) for r in layout])
+        return model
+
+
+def viterbi(start: list[float], move: list[list[float]], emissions: list[tuple[float, ...]]) -> list[int]:
+    if not emissions:
         return []
-    out = [max(range(3), key=lambda s: score[s])]
+    n = range(len(start))
+    score, back = [start[s] + emissions[0][s] for s in n], []
+    for e in emissions[1:]:
+        step = [max(n, key=lambda p: score[p] + move[p][s]) for s in n]  # noqa: B023
+        back.append(step)
+        score = [score[step[s]] + move[step[s]][s] + e[s] for s in n]
+    out = [max(n, key=lambda s: score[s])]
     for step in reversed(back):
         out.append(step[out[-1]])
     return out[::-1]
 
 
-PAGES = "src string, document_id string, page_index int, lines array<struct<block_id:string,line_no:int,text:string>>"
+PAGES = "src string, document_id string, page_index int, lines array<struct<block_id:string,line_no:int,text:string>>, layout array<int>, ys array<double>"
+
+
+def _edge_layout(e: str) -> F.Column:
+    """Layout of the first two and last two boxes of an array: one for a height below nine tenths of the page's median,
+    one for a left edge more than a median height right of the median left edge."""
+    n = F.size(e)
+    middle = lambda f: F.get(F.sort_array(F.transform(e, lambda x: x[f])), F.floor(n / 2).cast("int"))
+    at = F.filter(F.array(F.lit(0), F.lit(1), n - 2, n - 1), lambda i: (i >= 0) & (i < n))
+    box = lambda i: F.get(e, i)
+    h, left = middle("h"), middle("x")
+    return F.transform(F.array_sort(F.array_distinct(at)), lambda i: F.coalesce((box(i)["h"] < 0.9 * h).cast("int") + (box(i)["x"] > left + h).cast("int"), F.lit(-1)))
 
 
 def scanned_pages(spark, sf_dir: str) -> DataFrame:
@@ -146,12 +198,13 @@ def scanned_pages(spark, sf_dir: str) -> DataFrame:
         .where("degradation = 'scanned' AND text IS NOT NULL")
         .groupBy("document_id", "page_index")
         .agg(F.array_sort(F.collect_set(F.struct("block_order", "block_id", "text"))).alias("b"))
-        .select(F.lit("b").alias("src"), "document_id", "page_index", F.flatten(F.transform("b", lambda x: F.transform(F.split(x["text"], "\n"), lambda t, i: F.struct(x["block_id"].alias("block_id"), i.cast("int").alias("line_no"), t.alias("text"))))).alias("lines"))
+        .select(F.lit("b").alias("src"), "document_id", "page_index", F.flatten(F.transform("b", lambda x: F.transform(F.split(x["text"], "\n"), lambda t, i: F.struct(x["block_id"].alias("block_id"), i.cast("int").alias("line_no"), t.alias("text"))))).alias("lines"), F.lit(None).cast("array<int>").alias("layout"), F.lit(None).cast("array<double>").alias("ys"))
     )
     o = (
         table(spark, sf_dir, "page_candidates")
         .where("size(ocr_blocks) > 0")
-        .select(F.lit("o").alias("src"), "document_id", "page_index", F.transform(F.filter("ocr_blocks", lambda e: e["text"].isNotNull()), lambda e: F.struct(e["block_id"].alias("block_id"), F.lit(0).alias("line_no"), e["text"].alias("text"))).alias("lines"))
+        .withColumn("boxes", F.filter("ocr_blocks", lambda e: e["text"].isNotNull()))
+        .select(F.lit("o").alias("src"), "document_id", "page_index", F.transform("boxes", lambda e: F.struct(e["block_id"].alias("block_id"), F.lit(0).alias("line_no"), e["text"].alias("text"))).alias("lines"), _edge_layout("boxes").alias("layout"), F.transform("boxes", lambda e: e["y"]).alias("ys"))
     )
     return b.unionByName(o).where("size(lines) > 0")
 
@@ -189,31 +242,50 @@ def label_lines(pages: DataFrame) -> DataFrame:
 
     every = edges.select("document_id", "page_index").distinct().join(page_titles, ["document_id", "page_index"], "left").join(shift, "document_id", "left")
     rows = pages.join(every, ["document_id", "page_index"], "left")
+    model = fit_model(pages, every)
 
     def make_lines():
-        def kernel(srcs, docs, idx, lines, titles, folios):
-            for s, d, p, ls, ts, fo in zip(srcs, docs, idx, lines, titles, folios):
-                for row in page_lines([x["text"] for x in ls], p, set(ts or ()), fo):
+        def kernel(srcs, docs, idx, lines, layouts, titles, folios):
+            for s, d, p, ls, lay, ts, fo in zip(srcs, docs, idx, lines, layouts, titles, folios):
+                for row in page_lines([x["text"] for x in ls], p, set(ts or ()), fo, lay, model):
                     i, j, *rest = row
                     x, y = ls[i], ls[j] if j is not None else None
                     yield s, d, p, x["block_id"], x["line_no"], y and y["block_id"], y and y["line_no"], *rest
 
         return kernel
 
-    return arrow_rows(rows, ["src", "document_id", "page_index", "lines", "titles", "folios"], LINES, make_lines)
+    return arrow_rows(rows, ["src", "document_id", "page_index", "lines", "layout", "titles", "folios"], LINES, make_lines)
+
+
+def fit_model(pages: DataFrame, every: DataFrame, most: int = FIT_PAGES) -> LineModel:
+    """The line model fitted to at most ``most`` pages, the first by hash; only the features of their edge lines, four
+    small tuples a page, come to the driver."""
+    keys = pages.select("src", "document_id", "page_index").orderBy(F.xxhash64("src", "document_id", "page_index"), "src", "document_id", "page_index").limit(most).distinct()
+    chosen = pages.join(F.broadcast(keys), ["src", "document_id", "page_index"], "left_semi").dropDuplicates(["src", "document_id", "page_index"])
+    rows = chosen.join(every, ["document_id", "page_index"], "left")
+
+    def make():
+        def kernel(idx, lines, layouts, titles, folios):
+            for p, ls, lay, ts, fo in zip(idx, lines, layouts, titles, folios):
+                yield ([x for f in edge_features([x["text"] for x in ls], p, set(ts or ()), fo, lay) for x in f],)
+
+        return kernel
+
+    flat = arrow_rows(rows, ["page_index", "lines", "layout", "titles", "folios"], "features array<int>", make).collect()
+    return LineModel().fit(sorted([tuple(r.features[i : i + 4]) for i in range(0, len(r.features), 4)] for r in flat))
 
 
 LINES = "src string, document_id string, page_index int, block_id string, line_no int, next_block string, next_line int, label int, opens boolean, last boolean, mark boolean, tail string, head string, first string, inner array<string>"
 
 
-def page_lines(texts: list[str], page: int, titles: set[str], folios: dict | None):
+def page_lines(texts: list[str], page: int, titles: set[str], folios: dict | None, layout: list[int] | None = None, model: LineModel | None = None):
     """(line, next body line, label, opens, last, mark, tail, head, first, inner) of every line of a page.
 
     For body lines: the last word without its mark (``tail``), the first word of the next body line of the page
     (``head``), the own first word and all other words; ``opens`` if it is the first of the page, ``last`` if no
     body line follows on the page.
     """
-    labels = label_page(texts, page, titles, folios)
+    labels = label_page(texts, page, titles, folios, layout, model)
     body = [i for i, lab in enumerate(labels) if lab == BODY and texts[i].strip()]
     nxt = dict(zip(body, body[1:]))
     real = set(body)
@@ -226,33 +298,41 @@ def page_lines(texts: list[str], page: int, titles: set[str], folios: dict | Non
         yield i, j, lab, i == body[0], j is None, mark, tail, first_word(texts[j]) if j is not None else None, first, inner
 
 
-def label_page(texts: list[str], page: int, titles: set[str], folios: dict | None) -> list[int]:
+def edge_features(texts: list[str], page: int, titles: set[str], folios: dict | None, layout: list[int] | None) -> list[tuple[int, int, int, int]]:
+    """(title, folio, edge, layout) of the edge lines of a page, with one line standing for all further in."""
     n = len(texts)
     at = _edges(n)
-    feats: list[list] = []
+    feats: list[list[int]] = []
     expected = False
-    for i in at:
+    for k, i in enumerate(at):
         t = texts[i]
-        edge = min(i, n - 1 - i)
-        title, folio = False, 0
-        if edge <= 1:
-            r = folio_readings(t)
-            if r:
-                folio = 1
-                if folios and folios["n"] >= 2 and page + folios["shift"] in r[1] or r[0][:1] == "w" or len(r[0].strip("brewomand")) and not r[0].startswith("roman"):
-                    folio = 2
-            title = bool(titles) and may_be_title(t) and title_key(t) in titles
-            expected = expected or folio == 2
-        feats.append([title, folio, edge])
+        folio = 0
+        r = folio_readings(t)
+        if r:
+            folio = 1
+            if folios and folios["n"] >= 2 and page + folios["shift"] in r[1] or r[0][:1] == "w" or len(r[0].strip("brewomand")) and not r[0].startswith("roman"):
+                folio = 2
+        title = bool(titles) and may_be_title(t) and title_key(t) in titles
+        expected = expected or folio == 2
+        feats.append([int(title), folio, min(i, n - 1 - i), layout[k] if layout and k < len(layout) else -1])
     if not expected and folios and folios["n"] >= 2:
         for f, i in zip(feats, at):
             r = folio_readings(texts[i]) if f[1] == 1 else None
             if r and f[2] == 0 and r[0] == folios["style"]:
                 f[1] = 2
-    # All lines further in can only be body: one of them stands for the whole stretch.
-    inner = [[False, 0, 2]] if n > 4 else []
-    states = decode_page([tuple(f) for f in [*feats[:2], *inner, *feats[2:]]] if inner else [tuple(f) for f in feats])
-    return [*states[:2], *[BODY] * (n - 4), *states[3:]] if inner else states
+    inner = [[0, 0, 2, -1]] if n > 4 else []
+    return [tuple(f) for f in ([*feats[:2], *inner, *feats[2:]] if inner else feats)]
+
+
+_FIRST = LineModel()
+
+
+def label_page(texts: list[str], page: int, titles: set[str], folios: dict | None, layout: list[int] | None = None, model: LineModel | None = None) -> list[int]:
+    """Labels of the lines of a page. A running head or page number stands at an edge, so all lines further in are body
+    or break, and one of them stands for the whole stretch."""
+    n = len(texts)
+    states = (model or _FIRST).decode(edge_features(texts, page, titles, folios, layout))
+    return [*states[:2], *[BODY] * (n - 4), *states[3:]] if n > 4 else states
 
 
 LONG = 40
@@ -461,28 +541,56 @@ def line_noise(spark, sf_dir: str) -> DataFrame:
 PARAGRAPHS = "src string, document_id string, page_index int, paragraph_no int, text string, glued boolean, open boolean"
 
 
-def page_paragraphs(lines: list[tuple[str, int, bool]]) -> list[tuple[str, bool, bool]]:
-    """(text, glued, open) of the paragraphs of a page from its (text, label, divided) lines.
+BREAK = 3
+_ENDS = regex.compile("[.!?…。][»”’\")]*$")
+_CAPITAL = regex.compile(r"[^\p{L}\p{N}]*[\p{Lu}\p{Lo}\p{N}]")
+# Body and break: how a page begins, how they follow each other, and in each the likelihood of a line that ends a
+# sentence, is short, is followed by a wide gap, and by a line that begins with a capital.
+_BREAK_START = [log(0.9), log(0.1)]
+_BREAK_MOVE = [[log(0.85), log(0.15)], [log(0.9), log(0.1)]]
+_BREAK_TRUE = ((0.12, 0.08, 0.02, 0.15), (0.97, 0.75, 0.4, 0.98))
+
 
-    Headers and folios go, divided words are joined. A line that ends a sentence well before the usual right edge
-    ends the paragraph. ``open``: the last one does not end a sentence; ``glued``: it even ends within a word.
+def break_lines(lines: list[str], gaps: list[float | None]) -> list[bool]:
+    """Which body lines of a page end a paragraph: the most likely sequence of body and break.
+
+    A line is short below 0.8 of the usual length (three quarters of the lines are no longer); a gap is wide above 1.3
+    of the usual one, and says nothing where there are no coordinates."""
+    if not lines:
+        return []
+    usual = sorted(map(len, lines))[(len(lines) * 3) // 4]
+    known = sorted(g for g in gaps if g is not None and g > 0)
+    wide = 1.3 * known[len(known) // 2] if known else None
+    emissions = []
+    for k, t in enumerate(lines):
+        gap = gaps[k] if k < len(gaps) else None
+        seen = (bool(_ENDS.search(t)), len(t) < 0.8 * usual, None if wide is None or gap is None else gap > wide, bool(_CAPITAL.match(lines[k + 1])) if k + 1 < len(lines) else None)
+        emissions.append(tuple(sum(log(p if x else 1 - p) for x, p in zip(seen, ps) if x is not None) for ps in _BREAK_TRUE))
+    return [s == 1 for s in viterbi(_BREAK_START, _BREAK_MOVE, emissions)]
+
+
+def page_paragraphs(lines: list[tuple]) -> list[tuple[str, bool, bool]]:
+    """(text, glued, open) of the paragraphs of a page from its (text, label, divided[, y]) lines.
+
+    Headers and folios go, divided words are joined, and a line in the break state ends the paragraph; a divided
+    line never does. ``open``: the last one does not end a sentence; ``glued``: it even ends within a word.
     """
-    body = [(t, d) for t, lab, d in lines if lab == BODY and t.strip()]
+    body = [(x[0], x[2], x[3] if len(x) > 3 else None) for x in lines if x[1] == BODY and x[0].strip()]
     if not body:
         return []
-    usual = sorted(len(t) for t, _ in body)[(len(body) * 3) // 4]
+    gaps = [a[2] - b[2] if a[2] is not None and b[2] is not None else None for a, b in zip(body, body[1:])]
+    ends = break_lines([t.strip() for t, _, _ in body], gaps)
     out: list[str] = []
     text, glue = "", True
-    for t, d in body:
+    for (t, d, _), end in zip(body, ends):
         text += ("" if glue else " ") + (_MARK_END.sub("", t) if d else t.strip())
         glue = d or bool(_MARK_END.search(t))  # a hyphen of the word's own stays, without a space
-        if not glue and regex.search("[.!?…。][»”’\")]*$", t.strip()) and len(t) < 0.8 * usual:
+        if end and not glue:
             out.append(text)
             text, glue = "", True
     done = [(x, False, False) for x in out]
     if text:
-        ended = bool(regex.search("[.!?…。][»”’\")]*$", text))
-        done.append((text, glue, not ended))
+        done.append((text, glue, not _ENDS.search(text)))
     return done
 
 
@@ -498,9 +606,9 @@ def scanned_paragraphs(spark, sf_dir: str) -> DataFrame:
     a = analyse(spark, sf_dir)
     at = ["block_id", "line_no"]
     fixes = wrong_tokens(a).where("repair <> token").groupBy(*at).agg(F.collect_set(F.struct("token", "repair")).alias("fixes"))
-    text = a["pages"].select("src", "document_id", "page_index", F.posexplode("lines").alias("seq", "x")).select("src", "document_id", "page_index", "seq", "x.*")
+    text = a["pages"].select("src", "document_id", "page_index", "ys", F.posexplode("lines").alias("seq", "x")).select("src", "document_id", "page_index", "seq", F.get("ys", F.col("seq")).alias("y"), "x.*")
     rows = text.join(a["lines"].select("src", *at, "label"), ["src", *at]).join(fixes, at, "left").join(a["divided"].select(*at, F.lit(True).alias("divided")).distinct(), at, "left")
-    pages = rows.groupBy("src", "document_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "label", F.coalesce("divided", F.lit(False)).alias("divided"), "fixes"))).alias("ls"))
+    pages = rows.groupBy("src", "document_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "label", F.coalesce("divided", F.lit(False)).alias("divided"), "fixes", "y"))).alias("ls"))
 
     def make():
         def kernel(srcs, docs, idx, pages):
@@ -510,7 +618,7 @@ def scanned_paragraphs(spark, sf_dir: str) -> DataFrame:
                     t = x["text"]
                     for f in sorted(x["fixes"] or (), key=lambda f: -len(f["token"])):
                         t = t.replace(f["token"], f["repair"])
-                    lines.append((t, x["label"], x["divided"]))
+                    lines.append((t, x["label"], x["divided"], x["y"]))
                 for n, (t, glued, opened) in enumerate(page_paragraphs(lines)):
                     yield s, d, p, n, t, glued, opened
 

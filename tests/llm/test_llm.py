@@ -96,6 +96,29 @@ def test_pieces_prefer_sentence_ends_and_few_pieces():
     assert len(pieces.split_text("x" * 1000, 100, 10)) == 11
 
 
+def test_long_unspaced_texts_are_cut_in_linear_time():
+    import time
+
+    began = time.process_time()
+    got = pieces.split_text("漢" * 400_000, 2000, 100)
+    assert all(len(p) <= 2000 for _, p, _, _ in got) and time.process_time() - began < 3
+    sparse = ("漢字仮名" * 700 + "。") * 140
+    assert "".join(p if not k else p[100:] for k, p, _, _ in pieces.split_text(sparse, 2000, 100)) == sparse
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab .,\n。", max_size=120), st.integers(1, 60), st.integers(0, 119), st.integers(0, 119))
+def test_nearest_strongest_boundary_against_brute_force(text, aim, a, b):
+    lo, hi = max(1, min(a, b)), min(max(a, b), len(text))
+    aim = min(max(aim, lo), max(lo, hi))
+    best = None
+    for c in range(lo, hi + 1):
+        s = pieces.boundary_strength(text, c)
+        if s > pieces.HARD and (best is None or (s, -abs(c - aim)) > best[0]):
+            best = ((s, -abs(c - aim)), c)
+    assert pieces.Boundaries(text).best(aim, lo, hi) == (best and best[1])
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 def test_page_labels():
     titles = {scans.title_key("LA SAL Y LA MEMORIA")}
@@ -120,6 +143,73 @@ def test_line_ends():
     assert scans.plainly_misread("b0tánico") and scans.plainly_misread("fr@se") and not scans.plainly_misread("cap_6.txt") and not scans.plainly_misread("1777")
 
 
+def test_line_model_learns_layout_from_pages():
+    """Small lines set in at the edges are running heads of this book; a page whose title is misread follows them."""
+    body = [(0, 0, 2, -1)]
+    pages = [[(1, 0, 0, 2), (0, 0, 1, 0), *body, (0, 0, 1, 0), (0, 2, 0, 2)] for _ in range(80)] + [[(0, 0, 0, 0), (0, 0, 1, 0), *body, (0, 0, 1, 0), (0, 0, 0, 0)] for _ in range(40)]
+    model = scans.LineModel().fit(pages)
+    assert model.decode(pages[0]) == [0, 2, 2, 2, 1] and model.decode(pages[-1]) == [2, 2, 2, 2, 2]
+    assert model.decode([(0, 1, 0, 2), (0, 0, 1, 0)])[0] == 1 and scans.LineModel().decode([(0, 1, 0, 0), (0, 0, 1, 0)])[0] == 2
+    assert all(abs(sum(x) - 1) < 1e-9 for x in (model.raw[0], *model.raw[1], *model.raw[3])) and scans.LineModel().fit([]).decode([]) == []
+
+
+def test_break_state_ends_paragraphs():
+    full = "a line that is as long as the page is wide"
+    lines = [f"{full} one", f"{full} two", "the end.", f"Next {full}", f"{full} and it stops."]
+    assert scans.break_lines(lines, [14.0, 14.0, 14.0, 14.0]) == [False, False, True, False, False]
+    assert scans.break_lines([f"{full}.", f"Next {full}", full, full], [14.0, 14.0, 14.0]) == [False] * 4
+    assert scans.break_lines([f"{full}.", f"Next {full}", full, full], [40.0, 14.0, 14.0])[0]
+    assert [p for p, *_ in scans.page_paragraphs([(t, 2, False) for t in lines])] == [f"{full} one {full} two the end.", f"Next {full} {full} and it stops."]
+    assert scans.break_lines([], []) == [] and scans.page_paragraphs([]) == []
+
+
+def test_long_titles_folios_and_words_are_read():
+    title = "The Long And Very Winding Title Of A Book That Fills The Whole Line And Then Some More " * 2
+    assert scans.may_be_title(title) and scans.folio_readings("— — — — — — 12 — — — — — —")[1] == [12]
+
+
+def test_misread_words_of_any_length(spark):
+    """Beyond the length up to which changes are tried one by one, a shared spelling finds the word."""
+    long_word = "unconstitutionalsupernumeraryinterrelationshipsadministratively"
+    vocab = spark.createDataFrame([(long_word, 90), ("house", 90)], "word string, n long")
+    words = spark.createDataFrame([(long_word.replace("s", "5", 2), 1), (long_word.replace("rn", "m"), 1), ("h0use", 1), ("x" * 60, 1)], "word string, n long")
+    got = {r.word: r.fixed for r in scans.misread_words(vocab, words).collect()}
+    assert got == {long_word.replace("s", "5", 2): long_word, long_word.replace("rn", "m"): long_word, "h0use": "house"}
+
+
+def test_scans_found_and_paragraphs_on_planted_pages(spark, tmp_path):
+    """Planted heads, folios, divided and misread words: all are found and nothing else."""
+    rnd = random.Random(5)
+    words = "salina cuaderno biblioteca lampara jardin capitulo narrador ventana archivo impresor manuscrito revision".split()
+    blocks, planted = [], set()
+    for d in range(6):
+        for p in range(8):
+            lines = [" ".join(rnd.choice(words) for _ in range(8)) for _ in range(10)]
+            name = f"d{d}-p{p}"
+            at = rnd.randrange(2, 8)
+            w = rnd.choice(words)
+            lines[at] += f" {w[:4]}-"
+            lines[at + 1] = f"{w[4:]} {lines[at + 1]}"
+            planted.add((name, at + 1, "hyphen"))
+            bad = rnd.choice([i for i in range(1, 9) if i not in (at, at + 1)])
+            parts = lines[bad].split()
+            parts[3] = parts[3].replace("a", "@", 1) if "a" in parts[3] else parts[3].replace("i", "|", 1)
+            if parts[3] != lines[bad].split()[3]:
+                planted.add((name, bad + 1, "misread"))
+            lines[bad] = " ".join(parts)
+            planted |= {(name, 0, "header"), (name, 11, "folio")}
+            blocks.append((f"doc{d}", p, name, 0, "\n".join([f"TRATADO DE LA SAL {'ABCDEF'[d]}", *lines, str(20 + p)]), "scanned"))
+    clean = [(f"c{k}", 0, f"c{k}", 0, " ".join(words), None) for k in range(30)]
+    spark.createDataFrame(blocks + clean, "document_id string, page_index int, block_id string, block_order int, text string, degradation string").write.parquet(str(tmp_path / "blocks.parquet"))
+    e = "array<struct<block_id string, text string, x double, y double, w double, h double, confidence double>>"
+    spark.createDataFrame([], f"document_id string, page_index int, direct_blocks {e}, ocr_blocks {e}").write.parquet(str(tmp_path / "page_candidates.parquet"))
+    got = {tuple(r) for r in scans.p3_found(spark, str(tmp_path)).collect()}
+    both = len(got & planted)
+    assert both >= 0.99 * len(planted) and both >= 0.99 * len(got), (len(planted), len(got), both, sorted(planted - got)[:3], sorted(got - planted)[:3])
+    text = {r.text for r in scans.p3_paragraphs(spark, str(tmp_path)).collect()}
+    assert not any("TRATADO" in t or "-" in t or "@" in t for t in text)
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 SENTENCES = [
     ("La Sra. Ruiz vive en EE. UU. desde 1852. El Dr. Paz no.", 2),
@@ -159,6 +249,16 @@ def test_sentences_cover_all_but_white_space(text):
     assert all(text[i].isspace() for i in range(len(text)) if i not in inside)
 
 
+def test_terminators_of_every_script():
+    """Each character with the sentence-break property STerm ends a sentence in a text of its own script."""
+    import regex
+
+    marks = [chr(c) for c in range(0x80, 0x110000) if regex.match(r"\p{Sentence_Break=STerm}", chr(c))]
+    assert len(marks) > 140
+    missed = [m for m in marks if len(sentences.sentence_spans(f"Word{m} Other word")) != 2]
+    assert not missed, missed
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 def test_equal_looking_texts_get_one_form():
     base = "Él revisó el índice de la crónica"

@@ -275,14 +275,15 @@ def fit_model(pages: DataFrame, every: DataFrame, most: int = FIT_PAGES) -> Line
     return LineModel().fit(sorted([tuple(r.features[i : i + 4]) for i in range(0, len(r.features), 4)] for r in flat))
 
 
-LINES = "src string, document_id string, page_index int, block_id string, line_no int, next_block string, next_line int, label int, opens boolean, last boolean, mark boolean, tail string, head string, first string, inner array<string>"
+LINES = "src string, document_id string, page_index int, block_id string, line_no int, next_block string, next_line int, label int, opens boolean, last boolean, mark boolean, tail string, head string, first string, words array<string>"
 
 
 def page_lines(texts: list[str], page: int, titles: set[str], folios: dict | None, layout: list[int] | None = None, model: LineModel | None = None):
-    """(line, next body line, label, opens, last, mark, tail, head, first, inner) of every line of a page.
+    """(line, next body line, label, opens, last, mark, tail, head, first, words) of every line of a page.
 
     For body lines: the last word without its mark (``tail``), the first word of the next body line of the page
-    (``head``), the own first word and all other words; ``opens`` if it is the first of the page, ``last`` if no
+    (``head``), the own first word; ``words`` are its last, its first (null where punctuation closes the line or it has
+    but one) and all others; ``opens`` if it is the first of the page, ``last`` if no
     body line follows on the page.
     """
     labels = label_page(texts, page, titles, folios, layout, model)
@@ -295,7 +296,7 @@ def page_lines(texts: list[str], page: int, titles: set[str], folios: dict | Non
             continue
         mark, tail, inner, first = split_line(texts[i])
         j = nxt.get(i)
-        yield i, j, lab, i == body[0], j is None, mark, tail, first_word(texts[j]) if j is not None else None, first, inner
+        yield i, j, lab, i == body[0], j is None, mark, tail, first_word(texts[j]) if j is not None else None, first, [tail, first, *inner]
 
 
 def edge_features(texts: list[str], page: int, titles: set[str], folios: dict | None, layout: list[int] | None) -> list[tuple[int, int, int, int]]:
@@ -390,9 +391,8 @@ def raw_words(spark, sf_dir: str, lines: DataFrame) -> DataFrame:
     last words may be parts of words and count 0); ``printed`` if it occurs in a line. Tokens still carry their punctuation."""
     clean = clean_blocks(spark, sf_dir).select("text").unionByName(direct_elements(spark, sf_dir).select("text")).where("text IS NOT NULL")
     a = clean.select(F.explode(F.split("text", "\\s+")).alias("token"), F.lit(1).alias("n"), F.lit(False).alias("printed"))
-    b = lines.select(F.explode("inner").alias("token"), F.lit(1).alias("n"), F.lit(True).alias("printed"))
-    c = lines.where("tail IS NOT NULL OR first IS NOT NULL").select(F.explode(F.array("tail", "first")).alias("token"), F.lit(0).alias("n"), F.lit(True).alias("printed"))
-    return a.unionByName(b).unionByName(c).where("token IS NOT NULL AND token <> ''").groupBy("token").agg(F.sum("n").alias("n"), F.bool_or("printed").alias("printed"))
+    b = lines.select(F.posexplode("words").alias("pos", "token")).select("token", F.when(F.col("pos") < 2, 0).otherwise(1).alias("n"), F.lit(True).alias("printed"))
+    return a.unionByName(b).where("token IS NOT NULL AND token <> ''").groupBy("token").agg(F.sum("n").alias("n"), F.bool_or("printed").alias("printed"))
 
 
 def misread_words(vocab: DataFrame, words: DataFrame) -> DataFrame:
@@ -495,9 +495,7 @@ def analyse(spark, sf_dir: str) -> dict[str, DataFrame]:
 
     # Misread words: all words but the parts of divided ones, which are taken out of the few that are found.
     # Patterns and joins run over distinct tokens; the lines are then searched for the few that are wrong.
-    tokens = body.select(*at, F.lit(0).alias("place"), F.explode("inner").alias("token"))
-    outer = body.select(*at, F.explode(F.array(F.struct(F.lit(1).alias("place"), F.col("tail").alias("token")), F.struct(F.lit(2).alias("place"), F.col("first").alias("token")))).alias("k")).select(*at, "k.*").where("token IS NOT NULL")
-    tokens = tokens.unionByName(outer)
+    tokens = body.select(*at, F.posexplode("words").alias("pos", "token")).where("token IS NOT NULL").select(*at, F.when(F.col("pos") < 2, F.col("pos") + 1).otherwise(0).alias("place"), "token")
     letters = "printed AND word RLIKE '[\\\\p{L}@€|]'"
     printed = raw.where(letters).select("token", "word", (F.col("word").rlike(_ODD_FORM) & ~F.col("word").rlike(_PLAIN_FORM)).alias("plain"))
     repaired = printed.join(misread_words(vocab, vocab.where(letters).select("word", "n")), "word", "left").where("plain OR fixed IS NOT NULL")
@@ -548,7 +546,7 @@ _CAPITAL = regex.compile(r"[^\p{L}\p{N}]*[\p{Lu}\p{Lo}\p{N}]")
 # sentence, is short, is followed by a wide gap, and by a line that begins with a capital.
 _BREAK_START = [log(0.9), log(0.1)]
 _BREAK_MOVE = [[log(0.85), log(0.15)], [log(0.9), log(0.1)]]
-_BREAK_TRUE = ((0.12, 0.08, 0.02, 0.15), (0.97, 0.75, 0.4, 0.98))
+_BREAK_TRUE = ((0.12, 0.08, 0.02, 0.15), (0.97, 0.92, 0.4, 0.98))
 
 
 def break_lines(lines: list[str], gaps: list[float | None]) -> list[bool]:

@@ -166,6 +166,20 @@ def same_looking_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def same_looking_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, class_id, representative, n_members, n_links: one row for each key whose form is stored in several spellings.
+
+    ``representative`` is the least key of the own spelling, ``n_members`` the keys of the class and ``n_links`` those
+    of them stored in other characters than this one. Spellings are counted before they are grouped to classes, so
+    copies of one spelling, however many, weigh one row there; nothing is paired.
+    """
+    h = consistent_forms(df, key, text).where("form IS NOT NULL AND form <> ''").select("key", F.xxhash64("form").alias("f1"), F.xxhash64(F.reverse("form")).alias("f2"), F.xxhash64("text").alias("t1")).distinct()
+    spellings = h.groupBy("f1", "f2", "t1").agg(F.count("*").alias("n"), F.min("key").alias("representative"))
+    classes = spellings.groupBy("f1", "f2").agg(F.count("*").alias("spellings"), F.sum("n").alias("n_members")).where("spellings > 1").drop("spellings")
+    known = spellings.join(classes, ["f1", "f2"])
+    return h.join(known, ["f1", "f2", "t1"]).select("key", F.concat(F.hex("f1"), F.hex("f2")).alias("class_id"), "representative", "n_members", (F.col("n_members") - F.col("n")).alias("n_links"))
+
+
 def p5_input(spark, sf_dir: str) -> DataFrame:
     return spread(clean_blocks(spark, sf_dir).select("block_id", "text")).unionByName(spread(direct_elements(spark, sf_dir).select("block_id", "text")))
 
@@ -178,5 +192,9 @@ def p5_forms(spark, sf_dir: str) -> DataFrame:
     return consistent_forms(p5_input(spark, sf_dir), "block_id", "text").select(F.col("key").alias("block_id"), "form").distinct()
 
 
-QUERIES = {"p5_found": p5_found, "p5_forms": p5_forms}
+def p5_classes(spark, sf_dir: str) -> DataFrame:
+    return same_looking_classes(p5_input(spark, sf_dir), "block_id", "text").withColumnRenamed("key", "block_id")
+
+
+QUERIES = {"p5_found": p5_found, "p5_forms": p5_forms, "p5_classes": p5_classes}
 SQL: dict[str, str] = {}

@@ -26,8 +26,10 @@ def _ranges(*pairs: tuple[int, int]) -> str:
 
 
 def target_characters() -> str:
-    """Letters and signs whose garbled forms are precomputed: all scripts of the corpora, CJK included."""
-    return _TYPOGRAPHIC + _ranges((0xA0, 0x17F), (0x370, 0x3FF), (0x400, 0x45F), (0x5D0, 0x5EA), (0x600, 0x6FF), (0x900, 0x97F), (0xE00, 0xE7F), (0x2010, 0x2044), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xFF01, 0xFF5E))
+    """Letters and signs whose garbled forms are precomputed: those of all living scripts in wide use, CJK and Hangul included."""
+    european = _ranges((0xA0, 0x24F), (0x370, 0x3FF), (0x400, 0x58F), (0x10A0, 0x10FF), (0x1E00, 0x1FFF))
+    asian = _ranges((0x5D0, 0x5EA), (0x600, 0x6FF), (0x900, 0xDFF), (0xE00, 0xEFF), (0x1000, 0x109F), (0x1200, 0x137F), (0x1780, 0x17FF))
+    return _TYPOGRAPHIC + european + asian + _ranges((0x2010, 0x2044), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFF01, 0xFF5E))
 
 
 def wrong_decode(data: bytes, encoding: str) -> str:

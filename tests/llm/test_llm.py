@@ -55,6 +55,21 @@ def test_utf8_misread_is_restored(wrong):
     assert garbled.replace_spans(twice, auto.spans(twice)) == CLEAN
 
 
+@pytest.mark.parametrize("text", ["한국어 문장", "ქართული ენა", "தமிழ் மொழி", "বাংলা ভাষা", "ភាសាខ្មែរ"])
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1"])
+def test_scripts_of_the_world_are_restored(text, wrong):
+    bad = garbled.wrong_decode(text.encode(), wrong)
+    assert garbled.replace_spans(bad, garbled.Automaton.shared().spans(bad)) == text
+
+
+def test_long_words_are_tried(spark):
+    """A garbled word of more than 64 letters is repaired like any other."""
+    word = "ñ" + "abcdefghij" * 8
+    rows = [(str(i), f"{word} fin") for i in range(8)] + [("bad", f"{word.encode('cp1252').decode('cp437')} fin")]
+    got = {r.key: r.repaired for r in garbled.garbled_records(spark.createDataFrame(rows, "key string, text string"), "key", "text").collect()}
+    assert got == {"bad": f"{word} fin"}
+
+
 def test_correct_text_is_left_alone():
     auto = garbled.Automaton.shared()
     for t in (CLEAN, CLEAN.upper(), "NÃO ERA A EDIÇÃO CERTA", "MANHÃ\xa0SEGUINTE", "Прежнее издание было с ошибками", "盐の章 第9章", "Ѕrа. Еіn ѕеñоrа", "5 ± 2 µm · ½ ß"):
@@ -281,6 +296,22 @@ def test_pairs_against_brute_force(spark):
     assert got == want
 
 
+def test_classes_hold_what_the_pairs_do(spark):
+    """Every member's links are its pairs; a title in two spellings a thousand times each gives two thousand rows."""
+    words = ["sopa", "сора", "sора", "ｓopa", "x"]
+    rnd = random.Random(4)
+    rows = [(f"b{i:02d}", rnd.choice(words)) for i in range(40)] + [("n", None), ("e", "")]
+    df = spark.createDataFrame(rows + rows[:3], "key string, text string")
+    links = {}
+    for a, b in (tuple(r) for r in forms.same_looking_pairs(df, "key", "text").collect()):
+        links[a] = links.get(a, 0) + 1
+        links[b] = links.get(b, 0) + 1
+    got = forms.same_looking_classes(df, "key", "text").collect()
+    assert {r.key: r.n_links for r in got} == links and len({r.class_id for r in got}) == 1
+    hot = spark.range(2000).selectExpr("cast(id AS string) AS key", "CASE WHEN id % 2 = 0 THEN 'La sopa' ELSE 'La sоpa' END AS text")
+    assert [tuple(r) for r in forms.same_looking_classes(hot, "key", "text").groupBy("n_members", "n_links").count().collect()] == [(2000, 1000, 2000)]
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 def test_languages_held_out(spark, sf):
     labelled = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 2 = 0").selectExpr("text", "lang", "source")

@@ -44,9 +44,12 @@ def spread(df: DataFrame, *keys: str, per_core: int = 1) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where it is unset, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder of the cluster (``spark.checkpoint.dir``). Where it is unset a local session gets a temporary
+    folder, as in tests; a cluster is refused, as its executors would each write to a disk of their own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="quireflow-checkpoint-")
         spark.sparkContext.setCheckpointDir(shared)
     elif not spark.sparkContext.getCheckpointDir():

@@ -17,9 +17,10 @@ class Bins:
     """Open bins ordered by residual: for each residual the bins that have it, and one integer whose set bits are
     the residuals in use, so that the next larger residual is found by bit operations."""
 
-    def __init__(self, capacity: int) -> None:
+    def __init__(self, capacity: int, source_slack: float = 1 / 64) -> None:
         self.capacity = capacity
-        self.at: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.slack = capacity * source_slack
+        self.at: list[dict[int, None]] = [{} for _ in range(capacity + 1)]  # in order of arrival
         self.used = 0
         self.residual: list[int] = []
         self.sources: list[int] = []
@@ -27,12 +28,12 @@ class Bins:
 
     def _put(self, b: int) -> None:
         r = self.residual[b]
-        self.at[r].append(b)
+        self.at[r][b] = None
         self.used |= 1 << r
 
     def _take(self, b: int) -> None:
         r = self.residual[b]
-        self.at[r].remove(b)
+        del self.at[r][b]
         if not self.at[r]:
             self.used &= ~(1 << r)
 
@@ -40,7 +41,9 @@ class Bins:
         """The bin for an item; ``source`` and ``cluster`` are bits (0: none).
 
         From the tightest residual upwards, the first bin without a copy of the item and without another item
-        of its source is taken; if there is none, the tightest without a copy; else a new bin is opened.
+        of its source is taken; if there is none, the tightest without a copy; else a new bin is opened. Copies are
+        a hard conflict: the search goes on until a bin without one is found. Sources are a soft one: a bin that has
+        the source already is passed over only for bins looser by up to ``source_slack`` of the capacity.
         """
         fallback = -1
         rest = self.used >> size
@@ -58,7 +61,7 @@ class Bins:
                     break
                 if fallback < 0:
                     fallback = b
-            if fallback >= 0 and found < 0 and r - self.residual[fallback] > self.capacity // 64:
+            if fallback >= 0 and found < 0 and r - self.residual[fallback] > self.slack:
                 break  # a looser bin would cost more space than a mixed source is worth
         if found < 0:
             found = fallback
@@ -77,9 +80,9 @@ class Bins:
         return found
 
 
-def pack(items: list[tuple], capacity: int) -> list[int]:
+def pack(items: list[tuple], capacity: int, source_slack: float = 1 / 64) -> list[int]:
     """Bin number of each (size, source, cluster) item, largest first; ties keep their order. Sizes 1 to capacity."""
-    bins = Bins(capacity)
+    bins = Bins(capacity, source_slack)
     source_bit: dict = {}
     count: dict = {}
     for _, _, c in items:
@@ -94,13 +97,13 @@ def pack(items: list[tuple], capacity: int) -> list[int]:
     return out
 
 
-def fill_containers(sizes: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def fill_containers(sizes: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS, source_slack: float = 1 / 64) -> DataFrame:
     """container_id, key, piece_no, token_start, token_end: every item in a container of ``capacity`` tokens.
 
     ``sizes`` has key, source, n_tokens, cluster. An item is split only if it alone exceeds the capacity, into
     pieces of the whole capacity and a rest. Items of no tokens (null or empty text) need no container and give
     no row. Copies of one text (equal ``cluster``) never share a container; items of one source share one only
-    where that saves space. Re-delivered keys must be merged before.
+    where another would leave more than ``source_slack`` of the capacity further unused (1: wherever any other fits). Re-delivered keys must be merged before.
 
     Whole pieces fill a container each and are never gathered. The rest is dealt into shards by hash of the key,
     about ``shard_items`` items each, so a task's group is bounded and a hot source is spread evenly; each shard is
@@ -120,7 +123,7 @@ def fill_containers(sizes: DataFrame, capacity: int, shard_items: int = SHARD_IT
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "key"], ascending=[False, True], kind="stable")
         clusters = pdf["cluster"].astype("object").where(pdf["cluster"].notna(), None)
-        bins = pack(list(zip(pdf["size"].tolist(), pdf["source"].tolist(), clusters.tolist())), capacity)
+        bins = pack(list(zip(pdf["size"].tolist(), pdf["source"].tolist(), clusters.tolist())), capacity, source_slack)
         shard = int(pdf["shard"].iloc[0])
         return pd.DataFrame(
             {"container_id": [f"s{shard}-{b}" for b in bins], "key": pdf["key"], "piece_no": pdf["piece_no"].astype("int32"), "token_start": (pdf["n_tokens"] - pdf["size"]).astype("int32"), "token_end": pdf["n_tokens"].astype("int32")}

@@ -390,6 +390,16 @@ def test_packing_invariants(items):
         assert sum(v * 2 <= 64 for v in load.values()) <= 1
 
 
+def test_sources_mix_with_full_slack():
+    """With the whole capacity as slack no two items of a source share a bin while another bin could take one."""
+    items = [(4, s, None) for s in "ab" * 8]
+    for slack, most in ((1.0, 1), (0.0, 2)):
+        held = {}
+        for (_, s, _), b in zip(items, packing.pack(items, 8, slack)):
+            held.setdefault(b, []).append(s)
+        assert all(len(v) == 2 for v in held.values()) and max(v.count(x) for v in held.values() for x in v) <= most
+
+
 def test_containers_hold_every_token_once(spark):
     rows = [(i, f"s{i % 3}", s, s if i % 5 else 7) for i, s in enumerate([0, 1, 100, 250, 99, 100, 100, 333, 5, 5, 60, 40, 41])]
     sizes = spark.createDataFrame(rows, "key long, source string, n_tokens int, cluster long")
@@ -512,3 +522,28 @@ def test_query_equals_oracle(spark, sf, name):
 def test_query_runs(spark, sf, name):
     df = queries.queries()[name](spark, sf)
     assert df.count() > 0
+
+
+def test_joined_entries_find_what_sent_ones_do(spark, sf):
+    """Above the bound of what is sent to all tasks, the learnt entries are joined to the texts with equal results."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    sent = {tuple(r) for r in personal.find_personal(docs, "doc_id", "text").collect()}
+    joined = {tuple(r) for r in personal.find_personal(docs, "doc_id", "text", most_sent=0).collect()}
+    assert sent and joined == sent
+
+
+def test_personal_items_are_found_at_every_size(spark):
+    """Planted items in a corpus, and in the same corpus with ten times as many other texts: the same are found."""
+    given, family = ["Teresa", "Ramiro", "Odalys", "Benito"], ["Caldeirao", "Montescuro", "Villarrasa", "Peñalonga"]
+    rows, want = [], set()
+    for i in range(160):
+        name, phone, mail = f"{given[i % 4]} {family[i // 4 % 4]}", f"+34 6{i % 90 + 10} {100 + i} {200 + i}", f"user{i}@buzon.example"
+        text = f"Escribe a {name} <{mail}> o llama al {phone}."
+        rows.append((i, text))
+        want |= {(i, "name", name), (i, "email", mail), (i, "phone", phone)}
+    for times in (1, 10):
+        more = [(1000 + k, f"Nota {k}: el tiempo de La Rioja fue bueno y Los Andes quedan lejos.") for k in range(200 * times)]
+        df = spark.createDataFrame(rows + more, "doc_id long, text string")
+        got = {(r.key, r.pii_kind, r.item) for r in personal.find_personal(df, "doc_id", "text").collect()}
+        both = len(got & want)
+        assert both >= 0.98 * len(want) and both >= 0.98 * len(got), (times, len(want), len(got), both, sorted(want - got)[:3], sorted(got - want)[:3])

@@ -50,6 +50,12 @@ def _pages(alias: str) -> list:
     return [F.count("*").alias(alias), F.count_if(even).alias(f"{alias}_even"), F.count_if(~even).alias(f"{alias}_odd")]
 
 
+def tally(edges: DataFrame, *keys: str) -> DataFrame:
+    """keys, pages, headers, footers, narrow, wide of the edge lines; rows are made distinct by page before they are counted."""
+    by_page = edges.groupBy(*keys, "page_index").agg(F.count_if("top").alias("headers"), F.count_if(~F.col("top")).alias("footers"), F.count_if("narrow").alias("narrow"), F.count_if(~F.col("narrow")).alias("wide"))
+    return by_page.groupBy(*keys).agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("headers", "footers", "narrow", "wide")])
+
+
 def verdicts(edges: DataFrame) -> DataFrame:
     """document_id, template, literal, by_template, exact, rule: every text seen at an edge, and whether it goes because
     of its template or because it repeats letter for letter.

@@ -32,5 +32,3 @@ q("agg_overlay_body_size", f"SELECT document_id, page_index, round(least(22, gre
 q("agg_audio_levels", "SELECT unit_id, max(abs(sample_count - 25000)) AS peak, round(sqrt(avg((sample_count - 25000) * (sample_count - 25000) * 1.0)), 4) AS rms, max(abs(sample_count - 25000)) >= 24000 AS clipping FROM segments GROUP BY unit_id")
 q("agg_furniture_nonautomatic", "WITH f AS (SELECT document_id, trim(text) AS title FROM lines WHERE h < 12 GROUP BY document_id, trim(text)) SELECT f.document_id, count(DISTINCT f.title) AS fragments, count(DISTINCT t.block_id) AS blocks FROM f LEFT JOIN paragraphs t ON t.document_id = f.document_id AND trim(t.text) = f.title GROUP BY f.document_id")
 q("agg_language_vote", "WITH v AS (SELECT document_id, lower($PART(voice_id, '-', 2)) AS lang, cast(sum(coalesce(length(text), 0)) AS bigint) AS weight FROM units GROUP BY document_id, lower($PART(voice_id, '-', 2))), t AS (SELECT document_id, lang, weight, sum(weight) OVER (PARTITION BY document_id) AS total FROM v) SELECT document_id, lang FROM t WHERE weight * 100 >= 55 * total AND lang IN ('es', 'en', 'pt') AND weight > 0")
-q("agg_furniture_tally", "WITH t AS (SELECT l.document_id, l.page_index, regexp_replace(trim(regexp_replace(l.text, $R'\\s+', ' '$G)), '[0-9]+', '#'$G) AS template, l.y >= p.max_top - 40 AS head, l.w * 100 <= 75 * (p.max_right - p.min_x) AS narrow FROM lines l JOIN page_lines p ON l.document_id = p.document_id AND l.page_index = p.page_index WHERE l.text IS NOT NULL AND p.n >= 2 AND (l.y >= p.max_top - 40 OR l.y <= p.min_y + 40)) SELECT document_id, template, count(DISTINCT page_index) AS pages, count_if(head) AS headers, count_if(NOT head) AS footers, count_if(narrow) AS narrow, count_if(NOT narrow) AS wide FROM t WHERE template <> '' GROUP BY document_id, template")
-q("agg_furniture_exact", "SELECT document_id, regexp_replace(trim(text), '[0-9]+', '#'$G) AS template, trim(text) AS literal, count(DISTINCT page_index) AS pages FROM lines WHERE h < 12 AND text IS NOT NULL GROUP BY document_id, regexp_replace(trim(text), '[0-9]+', '#'$G), trim(text)")

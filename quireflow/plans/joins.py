@@ -3,12 +3,10 @@
 from .catalog import q
 
 q("join_artifact_anti", "WITH e AS (SELECT DISTINCT document_id FROM entries), o AS (SELECT DISTINCT document_id FROM lines) SELECT document_id, 'missing' AS problem FROM e WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.document_id = e.document_id) UNION ALL SELECT document_id, 'unexpected' FROM o WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.document_id = o.document_id)")
-q("join_outline_titles", "WITH p AS (SELECT document_id, page_index, min_by(text, block_order) AS title FROM paragraphs WHERE length(text) <= 60 GROUP BY document_id, page_index), o AS (SELECT document_id, page_index, min_by(text, block_id) AS heading FROM lines WHERE length(text) BETWEEN 4 AND 40 GROUP BY document_id, page_index) SELECT p.document_id, p.page_index, CASE WHEN o.heading IS NOT NULL AND length(o.heading) >= length(p.title) THEN o.heading ELSE p.title END AS title FROM p LEFT JOIN o ON p.document_id = o.document_id AND p.page_index = o.page_index")
 q("join_segments_units", "SELECT o.o_orderkey AS unit_id, count(s.segment_index) AS segments, coalesce(max(s.segment_index) + 1 = count(s.segment_index), false) AS contiguous FROM orders o LEFT JOIN segments s ON s.unit_id = o.o_orderkey GROUP BY o.o_orderkey")
 q("join_anchor_units", "SELECT u.unit_id, u.anchor_id, b.block_id FROM units u JOIN (SELECT document_id, min(block_id) AS block_id FROM paragraphs GROUP BY document_id) b ON u.document_id = b.document_id WHERE u.anchor_id IS NOT NULL")
 q("join_credits_dedupe", "SELECT document_id, language, present FROM (SELECT m.document_id, m.language, m.sha256_hex IS NOT NULL AS present, row_number() OVER (PARTITION BY m.document_id ORDER BY m.received_at, m.byte_size) AS rk FROM manifest m) t WHERE rk = 1")
 q("join_manifest_role", "SELECT document_id, file_path FROM entries WHERE entry_role = 'long_form'")
-q("join_furniture_edge", "WITH k AS (SELECT document_id, trim(text) AS literal FROM lines WHERE h < 12 GROUP BY document_id, trim(text) HAVING count(DISTINCT page_index) >= 3) SELECT l.block_id FROM lines l WHERE EXISTS (SELECT 1 FROM k WHERE k.document_id = l.document_id AND k.literal = trim(l.text))")
 # set operations
 q("set_ocr_pages", "SELECT document_id, page_index FROM candidates WHERE raster UNION SELECT document_id, page_index FROM truth WHERE degradation = 'scanned'")
 q("set_equal_matrix", "WITH a AS (SELECT DISTINCT layout, content FROM entries), b AS (SELECT * FROM (VALUES ('single_column', 'digital'), ('single_column', 'scanned'), ('single_column', 'mixed'), ('multi_column', 'digital'), ('multi_column', 'scanned'), ('multi_column', 'mixed')) AS v(layout, content)) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) x) = 0 AND (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) y) = 0 AS equal")

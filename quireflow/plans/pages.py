@@ -105,6 +105,10 @@ q("prd_outline_readable", f"SELECT document_id, avg(CASE WHEN $LIKE(text, $R'\\p
 q("agg_title_repeat", f"SELECT document_id, {FOLD} AS title, count(DISTINCT page_index) AS pages FROM lines WHERE text IS NOT NULL AND {HEADING} GROUP BY document_id, {FOLD} HAVING count(DISTINCT page_index) >= 3")
 q("agg_outline_cap", f"SELECT p.document_id, coalesce(h.titles, 0) AS titles, coalesce(h.titles, 0) <= greatest(4, p.pages * 3 $DIV 5) AS kept FROM (SELECT document_id, count(DISTINCT page_index) AS pages FROM paragraphs GROUP BY document_id) p LEFT JOIN (SELECT document_id, count(*) AS titles FROM paragraphs WHERE {HEADING} GROUP BY document_id) h ON h.document_id = p.document_id")
 q("prd_title_reordering", f"WITH t AS (SELECT DISTINCT document_id, {FOLD} AS title, $JOIN($SORT($SPLIT({FOLD}, ' ')), ' ') AS bag FROM paragraphs WHERE {HEADING}) SELECT document_id, bag, count(*) AS orders, min(title) AS title FROM t GROUP BY document_id, bag HAVING count(*) >= 2")
+q("win_prescan_headings", f"SELECT document_id, page_index, cast(run AS bigint) AS run, min(pos) AS first_pos, count_if($LIKE(text, $R'\\p{{L}}')) AS parts, CASE WHEN max(CASE WHEN run_start = 1 THEN h / mh END) >= 2.5 THEN 0 ELSE 1 END AS level FROM (SELECT *, sum(run_start) OVER (PARTITION BY document_id, page_index ORDER BY pos) AS run FROM (SELECT *, CASE WHEN big AND NOT coalesce(lag(big) OVER (PARTITION BY document_id, page_index ORDER BY pos), false) THEN 1 ELSE 0 END AS run_start FROM (SELECT document_id, page_index, block_id, text, h, mh, pos, h >= 1.2 * mh AND $LIKE(text, $R'\\p{{L}}') OR NOT $LIKE(text, $R'\\p{{L}}') AS big FROM {NEXT} n WHERE text IS NOT NULL) a) b) t WHERE big AND run > 0 GROUP BY document_id, page_index, run HAVING count_if($LIKE(text, $R'\\p{{L}}')) > 0".replace("h >= 1.2 * mh", "h >= 1.35 * mh"))
+LETTERS = "length(regexp_replace({c}, $R'[^\\p{L}]', ''$G))"
+q("join_outline_titles", f"WITH p AS (SELECT document_id, page_index, min_by(text, block_order) AS title FROM paragraphs WHERE {HEADING} GROUP BY document_id, page_index), o AS (SELECT document_id, page_index, min_by(text, pos) AS heading FROM ordered WHERE text IS NOT NULL AND block_id LIKE '%-ocr-%' AND {HEADING} GROUP BY document_id, page_index), j AS (SELECT p.document_id, p.page_index, p.title, o.heading, $JOIN($SORT($SPLIT({FOLD.replace('text', 'p.title')}, ' ')), ' ') AS a, $JOIN($SORT($SPLIT({FOLD.replace('text', 'o.heading')}, ' ')), ' ') AS b FROM p LEFT JOIN o ON {on('p', 'o')}) SELECT document_id, page_index, CASE WHEN heading IS NOT NULL AND {LETTERS.replace('{c}', 'heading')} >= {LETTERS.replace('{c}', 'title')} AND NOT (a = b AND heading <> title) THEN heading ELSE title END AS title FROM j")
+q("win_hyphen_continuation", f"SELECT block_id, coalesce(ends AND $LIKE(nxt, $R'^\\p{{Ll}}') AND ncol = col AND cy - ncy <= 2.1 * mh, false) AS merges FROM (SELECT block_id, col, mh, y + h / 2 AS cy, $LIKE(text, $R'\\p{{L}}-$') AS ends, lead(text) OVER w AS nxt, lead(col) OVER w AS ncol, lead(y + h / 2) OVER w AS ncy FROM {NEXT} n WHERE text IS NOT NULL WINDOW w AS (PARTITION BY document_id, page_index ORDER BY pos)) t")
 ASOF = f"""WITH e AS (SELECT document_id, page_index, CASE WHEN {HEADING} THEN 0 ELSE 1 END AS kind, min(block_order) AS ord FROM paragraphs GROUP BY document_id, page_index, CASE WHEN {HEADING} THEN 0 ELSE 1 END)"""
 q(
     "join_chapter_asof",

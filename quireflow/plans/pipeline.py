@@ -52,6 +52,27 @@ def join_furniture_semi(spark, d):
     return furniture.removed(view(spark, d, "lines"))
 
 
+EDGES = FURNITURE[: FURNITURE.index(",\nel AS")]
+
+
+@query("agg_furniture_tally", EDGES + " SELECT document_id, template, count(DISTINCT page_index) AS pages, count(CASE WHEN top THEN 1 END) AS headers, count(CASE WHEN NOT top THEN 1 END) AS footers, count(CASE WHEN narrow THEN 1 END) AS narrow, count(CASE WHEN NOT narrow THEN 1 END) AS wide FROM e GROUP BY document_id, template")
+def agg_furniture_tally(spark, d):
+    return furniture.tally(furniture.edge_lines(view(spark, d, "lines")), "document_id", "template")
+
+
+@query("agg_furniture_exact", EDGES + " SELECT document_id, template, literal, count(DISTINCT page_index) AS pages FROM e GROUP BY document_id, template, literal")
+def agg_furniture_exact(spark, d):
+    return furniture.tally(furniture.edge_lines(view(spark, d, "lines")), "document_id", "template", "literal").select("document_id", "template", "literal", "pages")
+
+
+@query("join_furniture_edge", EDGES + ", k AS (SELECT document_id, literal FROM e GROUP BY document_id, literal HAVING count(DISTINCT page_index) >= 3) SELECT DISTINCT e.block_id FROM e JOIN k ON k.document_id = e.document_id AND k.literal = e.literal")
+def join_furniture_edge(spark, d):
+    """Edge lines whose text stands at the edge of three pages or more of the document."""
+    edges = cut(furniture.edge_lines(view(spark, d, "lines")))
+    known = edges.select("document_id", "literal", "page_index").distinct().groupBy("document_id", "literal").count().where("count >= 3")
+    return edges.join(known, ["document_id", "literal"], "left_semi").select("block_id").distinct()
+
+
 @query("join_furniture_anti", f"SELECT document_id, page_index, block_id FROM lines EXCEPT SELECT document_id, page_index, block_id FROM ({FURNITURE}) f".replace("FROM (WITH", "FROM (WITH"))
 def join_furniture_anti(spark, d):
     return furniture.kept(view(spark, d, "lines")).select("document_id", "page_index", "block_id").distinct()

@@ -45,7 +45,8 @@ q("prd_resource_sample", "SELECT event_id, (numerator > 0 OR seq > 0) AND clock_
 q("prd_needs_ocr_repair", "SELECT block_id, $LIKE(text, $R'[#�]|:!|\\S!\\S') AS needs_repair FROM lines WHERE text IS NOT NULL".replace("\\uFFFD", "�"))
 LETTERS = "length(regexp_replace({c}, '[^A-Za-zÀ-ÖØ-öø-ÿ]', ''$G))"
 NONASCII = "length(regexp_replace({c}, '[^À-ÖØ-öø-ÿ]', ''$G))"
-PAIR = "(SELECT t.document_id, t.page_index, max(t.text) AS existing, max(l.text) AS recognised FROM (SELECT document_id, page_index, min(text) AS text FROM truth WHERE degradation = 'scanned' GROUP BY document_id, page_index) t JOIN (SELECT document_id, page_index, max(text) AS text FROM lines GROUP BY document_id, page_index) l ON t.document_id = l.document_id AND t.page_index = l.page_index GROUP BY t.document_id, t.page_index)"
+# All text of a page, as the layer has it and as it was recognised; only letters are counted, so their order is any.
+PAIR = "(SELECT t.document_id, t.page_index, t.text AS existing, l.text AS recognised FROM (SELECT document_id, page_index, $JOIN($SORT($LIST(text)), ' ') AS text FROM truth WHERE degradation = 'scanned' AND text IS NOT NULL GROUP BY document_id, page_index) t JOIN (SELECT document_id, page_index, $JOIN($SORT($LIST(text)), ' ') AS text FROM lines WHERE text IS NOT NULL GROUP BY document_id, page_index) l ON t.document_id = l.document_id AND t.page_index = l.page_index)"
 q("prd_broken_layer", f"SELECT document_id, page_index, {NONASCII.format(c='recognised')} >= 8 AND {NONASCII.format(c='existing')} * 10 < {NONASCII.format(c='recognised')} AS broken FROM {PAIR} p")
 q("prd_embed_route", f"SELECT document_id, page_index, CASE WHEN {LETTERS.format(c='existing')} * 5 < {LETTERS.format(c='recognised')} THEN 'over' WHEN {NONASCII.format(c='existing')} * 10 < {NONASCII.format(c='recognised')} THEN 'replace' ELSE 'none' END AS route FROM {PAIR} p")
 q("prj_visible_text", "SELECT unit_id, CASE WHEN source_language IS NOT NULL AND unit_index % 2 = 0 THEN upper(target_language) || ': ' || text ELSE text END AS visible FROM tunits WHERE text IS NOT NULL")

@@ -13,12 +13,10 @@ q("win_edge_cluster", EDGE)
 q("win_segment_contiguity", "SELECT unit_id, segment_index, coalesce(sum(sample_count) OVER (PARTITION BY unit_id ORDER BY segment_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = segment_index * 25000 AS at_declared, cast(coalesce(sum(sample_count) OVER (PARTITION BY unit_id ORDER BY segment_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS unit_sample_offset FROM segments")
 q("win_fragment_start", "SELECT job, unit_id, cast(coalesce(sum(duration_ms) OVER (PARTITION BY job ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS start_ms FROM fragments")
 q("win_monotone_accept", "SELECT job, unit_id FROM (SELECT job, unit_id, duration_ms, max(duration_ms) OVER (PARTITION BY job ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM fragments) t WHERE best IS NULL OR duration_ms > best")
-q("win_prescan_headings", "SELECT document_id, page_index, cast(grp AS bigint) AS grp, min(block_order) AS first_order, count(*) AS parts FROM (SELECT *, sum(CASE WHEN short AND NOT coalesce(prev, false) THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, page_index ORDER BY block_order, block_id) AS grp FROM (SELECT document_id, page_index, block_order, block_id, length(text) <= 60 AS short, lag(length(text) <= 60) OVER (PARTITION BY document_id, page_index ORDER BY block_order, block_id) AS prev FROM paragraphs) a) t WHERE short GROUP BY document_id, page_index, grp")
 q("win_narration_from_current", "SELECT job_id, unit_id, pos FROM (SELECT job_id, unit_id, unit_index, row_number() OVER (PARTITION BY job_id ORDER BY unit_index, unit_id) AS pos FROM units WHERE coalesce(trim(text), '') <> '' AND unit_index >= 2) t WHERE pos <= 5")
 q("win_translation_window", "SELECT request_id, unit_id FROM (SELECT request_id, unit_id, row_number() OVER (PARTITION BY request_id ORDER BY unit_index, unit_id) AS rn FROM tunits WHERE source_language IS NOT NULL) t WHERE rn <= 5")
 q("win_reading_stream", "SELECT block_id, row_number() OVER (PARTITION BY document_id ORDER BY page_index, block_order, block_id) AS pos FROM paragraphs")
 q("win_fragments_in_order", "SELECT document_id, page_index, count(*) AS found FROM (SELECT document_id, page_index, instr(text, ' ') AS a, instr(text, '. ') AS b FROM paragraphs) t WHERE a > 0 AND b > a GROUP BY document_id, page_index")
-q("win_hyphen_continuation", "SELECT block_id, coalesce(ends AND $LIKE(nxt, '^[a-zà-ÿ]'), false) AS merges FROM (SELECT block_id, $LIKE(text, '-$') AS ends, lead(text) OVER (PARTITION BY document_id, page_index ORDER BY y DESC, x, block_id) AS nxt FROM lines WHERE text IS NOT NULL) t")
 # sort, limit, top-k
 q("srt_nearest_pending", "SELECT document_id, min_by(page_index, abs(page_index - 3) * 10000 + page_index) AS page_index FROM candidates WHERE ocr_status IS NULL GROUP BY document_id")
 q("srt_hash_shuffle", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY $SHA('7|' || cast(c_nationkey AS $STR) || '|' || cast(c_custkey AS $STR)$256)) AS pos FROM customer")

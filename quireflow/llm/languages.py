@@ -107,8 +107,9 @@ class Profiles:
     def best(self, text: str, prefer: str | None = None) -> tuple[str | None, float]:
         """(language, confidence) of prepared text: smallest size wins; None where the margin is too narrow.
 
-        The margin to pass is 8 bytes and a tenth of the text over the preferred language, 4 bytes and a
-        twentieth over any other; and beside a preferred language the other must know the text (``known``).
+        The margin to pass is 8 bytes and a tenth of the text over the preferred language, 4 bytes (8 if none is
+        preferred) and a twentieth over any other; and a language that is not the preferred one must know the text
+        (``known``), which a few bytes can never show.
         Every language of the script is tried. Confidence is 1 - smallest/second size, 1 if the script allows one language.
         """
         return self.decide(*self.sizes(text), prefer)
@@ -136,7 +137,7 @@ class Profiles:
         conf = 1 - a / max(b, 1)
         if lang == prefer:
             return lang, conf
-        if prefer in sizes and (sizes[prefer] - a < max(8, 0.1 * n) or a > self.known.get(lang, 1.0) * n):
+        if a > self.known.get(lang, 1.0) * n or prefer in sizes and sizes[prefer] - a < max(8, 0.1 * n):
             return None, conf
         if b - a < max(4 if prefer else 8, 0.05 * n):
             return None, conf

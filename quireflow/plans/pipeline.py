@@ -367,8 +367,12 @@ def _drain(df: DataFrame, mode: str) -> DataFrame:
 
 
 def _stream(spark, d, name: str) -> DataFrame:
-    schema = table(spark, d, name).schema
-    df = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """A table as a stream of its files, be it one file or a folder of them: a stream reads folders, and the name of the
+    table picks the one file out of the folder of all tables."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    source = spark.readStream.schema(table(spark, d, name).schema)
+    df = source.parquet(f"{d}/{name}.parquet") if folder else source.option("pathGlobFilter", f"{name}.parquet").parquet(d)
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 
 

@@ -76,6 +76,24 @@ def test_correct_text_is_left_alone():
         assert auto.spans(t) == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["Derrière l’étagère, jusqu’à ce que L’ÉDITION… «Él» y —él— «¿está»… dijo", "كتب سطرا سطرا، بصبر، في القبو الرطب؟ تحت المصباح الأخضر؟ «نحن ننتظر إذ»", "KOŚCIÓŁ «LEYÓ» Ó… Ó”", "«Правда» и «СССР», ТАСС… ТАСС— ТАСС”", "аrсhіνе’ѕ dіrесtоr, máѕ dіfíϲіlеѕ…»"],
+)
+def test_marks_beside_letters_are_no_proof(text):
+    assert garbled.Automaton.shared().spans(text) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "wrong"),
+    [("Վանո և Ոսկան", "mac_roman"), ("Я и она: «Правда», а я — нет…", "mac_roman"), ("Он ушёл", "cp1256"), ("Nguyễn thị Hạnh", "cp1252"), ("și viața țara", "cp1252"), ("虽然没有人要求。", "cp1252")],
+)
+def test_runs_of_marks_and_letters_are_restored(text, wrong):
+    """A sequence that correct text can hold still counts beside others of its script."""
+    bad = f"Correcto, l’étage: “{garbled.wrong_decode(text.encode(), wrong)} fin. ”{garbled.wrong_decode(text.encode(), wrong)}"
+    assert garbled.replace_spans(bad, garbled.Automaton.shared().spans(bad)) == f"Correcto, l’étage: “{text} fin. ”{text}"
+
+
 def test_mixed_text_is_repaired_in_part():
     bad = "La canción es la " + garbled.wrong_decode("crónica".encode(), "cp1252") + " única"
     assert garbled.replace_spans(bad, garbled.Automaton.shared().spans(bad)) == "La canción es la crónica única"

@@ -64,7 +64,7 @@ class Evidence:
         for t in {e[1] for e in edges}:
             for k in both:
                 self.templates.setdefault(t, [0] * 7)[k] += 1
-        for key in {json.dumps(e[1:3]) for e in edges}:
+        for key in {f"{e[1]}\n{e[2]}" for e in edges}:  # neither holds a line feed
             for k in both:
                 self.literals.setdefault(key, [0] * 3)[k] += 1
         for _, t, _, top, narrow in edges:
@@ -75,7 +75,7 @@ class Evidence:
         return seen[0] * 5 >= self.eligible[0] * 3 or any(seen[k] >= 3 and seen[k] * 5 >= self.eligible[k] * 3 for k in (1, 2))
 
     def _rule(self, template: str, literal: str) -> str | None:
-        key = json.dumps((template, literal))
+        key = f"{template}\n{literal}"
         if key not in self._rules:
             t, same = self.templates.get(template), self.literals.get(key, [0, 0, 0])
             if not t:

@@ -59,17 +59,23 @@ def furniture_incremental(pages: DataFrame) -> DataFrame:
     the order of their numbers.
     """
     ship(pages.sparkSession)
+    fields = ["block_id", "text", "x", "y", "w", "h"]
+    # Plain arrays, one for each field, reach Python in a fraction of the time that structs take.
+    usable = pages.select("document_id", "page_index", F.filter("lines", lambda x: x["text"].isNotNull() & x["h"].isNotNull()).alias("lines"))
+    pages = usable.select("document_id", "page_index", *[F.col(f"lines.{c}").alias(c) for c in fields])
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         e = Evidence(state.get[0] if state.exists else None)
         out: dict[tuple, tuple] = {}
-        for r in pd.concat(list(batches)).sort_values("page_index", kind="stable").itertuples():
-            edges = page_edges([x if isinstance(x, dict) else x.asDict() for x in r.lines])
-            e.observe(int(r.page_index), edges)
+        rows = [r for b in batches for r in zip(b["page_index"].tolist(), *(b[c] for c in fields))]
+        for page, *columns in sorted(rows, key=lambda r: r[0]):
+            edges = page_edges([dict(zip(fields, x)) for x in zip(*(c.tolist() for c in columns))])
+            e.observe(int(page), edges)
             for block, rule in e.strip(edges):
-                out.setdefault((r.page_index, block), (key[0], r.page_index, block, rule))
+                out.setdefault((page, block), (key[0], page, block, rule))
         state.update((e.save(),))
-        yield pd.DataFrame(list(out.values()), columns=["document_id", "page_index", "block_id", "rule"])
+        if out:
+            yield pd.DataFrame(list(out.values()), columns=["document_id", "page_index", "block_id", "rule"])
 
     return pages.groupBy("document_id").applyInPandasWithState(run, "document_id string, page_index int, block_id string, rule string", "tallies string", "append", GroupStateTimeout.NoTimeout)
 
